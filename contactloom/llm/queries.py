@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import fingerprints, mixing, sharding, token_counts
-from contactloom.llm.common import table
+from contactloom.llm import bpe, fingerprints, mixing, sharding, token_counts, token_ids
+from contactloom.llm.common import scratch, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch(spark, "token-ids")
+    token_ids.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    out = token_ids.read(spark, folder)
+    return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.encode(docs, path)
+    out = out.withColumn("decoded", bpe.decoded(F.col("ids"), path))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size")
@@ -51,7 +67,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op8_sharding, op9_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op4_token_ids, op6_byte_bpe, op8_sharding, op9_mixing, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
