@@ -14,9 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import let, spread, words
+from contactloom.llm.common import let, shingle_hashes, spread
 
-SHINGLE = 5
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
 LOW_BITS = 8
@@ -25,16 +24,6 @@ PROBES = 12
 CHANCE = 1.0 / (1 << LOW_BITS)
 
 
-def shingle_hashes(text: Column, shingle: int = SHINGLE) -> Column:
-    """A hash for each run of `shingle` words, repeats kept; one for all words where there are fewer."""
-
-    def of(h: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(h) - shingle), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(shingle)]))
-        return F.when(F.size(h) >= shingle, runs).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
-
-    return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
-
-
 def bin_of(value: Column) -> Column:
     return F.shiftrightunsigned(value, 64 - BIN_BITS).cast("int")
 

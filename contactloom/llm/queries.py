@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import bpe, fingerprints, mixing, sharding, token_counts, token_ids
+from contactloom.llm import bpe, fingerprints, mixing, near_dedup, sharding, token_counts, token_ids
 from contactloom.llm.common import scratch, table
 
 
@@ -27,6 +27,10 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -67,7 +71,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_token_ids, op6_byte_bpe, op8_sharding, op9_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op4_token_ids, op5_near_dedup, op6_byte_bpe, op8_sharding, op9_mixing, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
