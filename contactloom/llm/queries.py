@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import bpe, fingerprints, mixing, near_dedup, sharding, token_counts, token_ids
+from contactloom.llm import bpe, fingerprints, mixing, near_dedup, sharding, token_counts, token_ids, toxicity
 from contactloom.llm.common import scratch, table
 
 
@@ -19,6 +19,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = toxicity.fit(docs, labels.where(~held_out))
+    out = toxicity.with_scores(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = scratch(spark, "token-ids")
@@ -71,7 +79,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_token_ids, op5_near_dedup, op6_byte_bpe, op8_sharding, op9_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_token_ids, op5_near_dedup, op6_byte_bpe, op8_sharding, op9_mixing, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
