@@ -102,7 +102,7 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("lo").alias("shard"), "quotas")
 
 
-def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), shards: int = 16, repeats: int = 3, seed: int = 17, chunk_rows: int = 500, content: str = "text") -> DataFrame:
+def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), shards: int = 16, repeats: int = 3, seed: int = 17, chunk_rows: int = 500, content: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """The rows with size, source_size, target and `draws`: one struct (shard int, copy int, order long) for each time
     the mix takes the row, none where it is left out. `order` is the shuffled place in a shard.
 
@@ -146,5 +146,5 @@ def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id"
         return F.when((at < F.col("target")) & (F.col("size") > 0), F.struct(shard.alias("shard"), copy.cast("int").alias("copy"), F.xxhash64(F.lit(seed + 1), "__hash", copy).alias("order")))
 
     draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), drawn), lambda d: d.isNotNull())
-    names = [c for c in df.columns if c not in made and not c.startswith("__")]
+    names = [c for c in df.columns if c not in made and (c in carry or not c.startswith("__"))]
     return out.select(*names, "source_size", "target", draws.alias("draws"))

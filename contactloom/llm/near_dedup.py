@@ -140,3 +140,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     rows = rows.join(least, "label", "left")
     found = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key"))
     return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"), found.eqNullSafe(F.col("key")).alias("kept"))
+
+
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+    """The rows that are kept, one of each group; all columns stay. Rows that repeat a key and a shingle set are one.
+    Texts without words are in no group and all stay."""
+    kept = near_duplicates(df, key, text, percent).where("kept")
+    counts = written(kept.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"), F.max("n_shingles").alias("__most")), "kept")
+    rows = df.join(counts, df[key].eqNullSafe(counts["__key"]))
+    single = rows.where("__n = 1").select(*df.columns)
+    several = rows.where("__n > 1").withColumn("__s", summary(df[text]))
+    empty = several.where("__s.n = 0").select(*df.columns)
+    several = several.where("__s.n > 0").withColumn("__node", F.col("__s.node")).dropDuplicates(["__key", "__node"]).select(*df.columns)
+    return single.unionByName(several).unionByName(empty)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import bpe, fingerprints, mixing, near_dedup, sharding, token_counts, token_ids, toxicity
+from contactloom.llm import bpe, fingerprints, hamming, languages, mixing, near_dedup, sharding, token_counts, token_ids, toxicity
 from contactloom.llm.common import scratch, table
 
 
@@ -27,6 +27,24 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    out = hamming.nearest(rows, rows.where("id % 100 = 0"), k=10)
+    return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "distance")
+
+
+#: Brute force: signs compared one by one.
+OP3_SQL = """
+WITH signs AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings),
+pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.s, r.s), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+  FROM signs q JOIN signs r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = scratch(spark, "token-ids")
@@ -47,6 +65,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    field = languages.fit(docs.where(~held_out))
+    out = languages.labelled(docs.select("doc_id", "text"), field)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size")
@@ -78,9 +104,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NUMBERED = (op1_token_counts, op2_toxicity, op3_topk_search, op4_token_ids, op5_near_dedup, op6_byte_bpe, op7_languages, op8_sharding, op9_mixing, op10_fingerprints)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_token_ids, op5_near_dedup, op6_byte_bpe, op8_sharding, op9_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in NUMBERED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_topk_search": OP3_SQL}
