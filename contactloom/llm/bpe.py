@@ -29,7 +29,7 @@ from contactloom.llm.common import on_workers, written
 from contactloom.llm.pretokens import Numbers, pretokens, ranges
 from contactloom.llm.token_ids import binaries, chunks
 
-BLOCK_CHARS = 1 << 24
+BLOCK_CHARS = 1 << 25
 
 
 @cache
@@ -55,15 +55,26 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Integers packed: their number, variable-length bytes, then a general compressor at its fastest."""
-    control, data = varbytes.encode(values)
-    return len(values).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(control + data)
+    """Integers packed: their number, then variable-length bytes in planes (control bytes, first bytes, second bytes of
+    those that have one, and so on), each by a general compressor at its fastest."""
+    values = np.ascontiguousarray(values, "<u4")
+    planes = [varbytes.encode(values)[0]]
+    each = values.view(np.uint8).reshape(-1, 4)
+    planes += [each[values >= (1 << 8 * k) if k else slice(None), k].tobytes() for k in range(4)]
+    packed = [zstandard.ZstdCompressor(level=1).compress(p) for p in planes]
+    return np.array([len(values), *map(len, packed)], "<u8").tobytes() + b"".join(packed)
 
 
 def unsqueeze(packed: bytes) -> np.ndarray:
-    count = int.from_bytes(packed[:8], "little")
-    raw, split = zstandard.ZstdDecompressor().decompress(packed[8:]), -(-count // 4)
-    return varbytes.decode(raw[:split], raw[split:], count)
+    count, *sizes = np.frombuffer(packed[:48], "<u8").tolist()
+    ends = np.cumsum([48, *sizes]).tolist()
+    control, *planes = (zstandard.ZstdDecompressor().decompress(packed[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True))
+    lengths = varbytes.LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
+    out = np.frombuffer(planes[0], np.uint8).astype(np.uint32)
+    for k in range(1, 4):
+        if planes[k]:
+            out[lengths > k] |= np.frombuffer(planes[k], np.uint8).astype(np.uint32) << (8 * k)
+    return out
 
 
 FIELDS = "block bigint, bucket int, keys array<{key}>, counts array<int>, lengths binary, body binary"
@@ -81,14 +92,19 @@ def exploded(df: DataFrame, key: str, text: str, buckets: int, block_chars: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, key_type = TaskContext.get().partitionId() << 32, None
-        numbers, keys, counts, at = Numbers(), [], [], []
+        numbers, keys, counts, positions = Numbers(), [], [], []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            words = [w.encode("utf-8", "surrogatepass") for w in numbers]
+            at = np.concatenate(positions) if positions else np.zeros(0, np.uint32)
+            counted = np.argsort(-np.bincount(at, minlength=len(numbers)), kind="stable")
+            number_of = np.empty(len(numbers), np.uint32)
+            number_of[counted] = np.arange(len(numbers))  # frequent words get small numbers
+            given = list(numbers)
+            words = [given[i].encode() for i in counted.tolist()]
             bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
             order = np.argsort(bucket, kind="stable")
-            yield row(key_type, block, -1, keys, counts, squeeze(np.concatenate(at) if at else np.zeros(0, np.uint32)), squeeze(order))
+            yield row(key_type, block, -1, keys, counts, squeeze(number_of[at]), squeeze(order))
             bounds = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 own = [words[i] for i in order[a:b].tolist()]
@@ -102,11 +118,11 @@ def exploded(df: DataFrame, key: str, text: str, buckets: int, block_chars: int)
                     found = pretokens(t or "")
                     keys.append(k)
                     counts.append(len(found))
-                    at.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                    positions.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
                     held += len(t or "")
                     if held >= block_chars:
                         yield from flush()
-                        numbers, keys, counts, at, held, block = Numbers(), [], [], [], 0, block + 1
+                        numbers, keys, counts, positions, held, block = Numbers(), [], [], [], 0, block + 1
         if keys:
             yield from flush()
 
@@ -139,9 +155,10 @@ def word_ids(words: DataFrame, path: str, key: str) -> DataFrame:
     return words.repartition("bucket").mapInArrow(run, words.schema)
 
 
-def assembled(rows: DataFrame, key: str) -> DataFrame:
-    """(key, ids) from a block's rows in bucket order, the one of bucket -1 first."""
+def assembled(rows: DataFrame, key: str, path: str, decode: bool) -> DataFrame:
+    """(key, ids), with `decode` also their bytes, from a block's rows in bucket order, the one of bucket -1 first."""
     kind = rows.schema["keys"].dataType.elementType.simpleString()
+    names = [key, "ids", *["decoded"] * decode]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, lengths, ids, key_type = None, [], [], None
@@ -159,8 +176,9 @@ def assembled(rows: DataFrame, key: str) -> DataFrame:
                 took = n_of[own]
                 ends = np.concatenate([[0], np.cumsum(took)])
                 marks = np.concatenate([[0], np.cumsum(counts[a:b])])
-                out = flat[ranges(start_of[own], took)].astype("<u4", copy=False)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], key_type), binaries(out, np.diff(ends[marks])).cast(pa.binary())], [key, "ids"])
+                out, n_ids = flat[ranges(start_of[own], took)].astype("<u4", copy=False), np.diff(ends[marks])
+                more = [binaries(*bytes_of(out, n_ids, path)).cast(pa.binary())] if decode else []
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], key_type), binaries(out, n_ids).cast(pa.binary()), *more], names)
 
         for batch in batches:
             key_type = batch.schema.field("keys").type.value_type
@@ -175,18 +193,26 @@ def assembled(rows: DataFrame, key: str) -> DataFrame:
         if head is not None:
             yield from flush()
 
-    return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, f"`{key}` {kind}, ids binary")
+    return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, f"`{key}` {kind}, ids binary" + ", decoded binary" * decode)
 
 
-def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(key, ids): the ids of each row's text as little-endian unsigned 32-bit integers, by the ranks at `path`. Null
-    and empty texts have none. Repeated rows and keys, and null keys, give a row each; an empty table an empty one."""
+def bytes_of(ids: np.ndarray, counts: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids joined with the token-byte table: the bytes of all texts in a row, and how many each text has."""
+    flat, starts, lengths = token_bytes(path)
+    n = lengths[ids]
+    ends, marks = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(counts)])
+    return flat[ranges(starts[ids], n)], np.diff(ends[marks])
+
+
+def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, decode: bool = False) -> DataFrame:
+    """(key, ids): the ids of each row's text as little-endian unsigned 32-bit integers, by the ranks at `path`; with
+    `decode` also `decoded`, the bytes that `decoded()` gives for them, in the same task. Null and empty texts have none. Repeated rows and keys, and null keys, give a row each; an empty table an empty one."""
     spark = df.sparkSession
     on_workers(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = written(exploded(df, key, text, buckets, block_chars), "words")
     ids = word_ids(rows.where("bucket >= 0"), path, key)
-    return assembled(rows.where("bucket < 0").union(ids), key)
+    return assembled(rows.where("bucket < 0").union(ids), key, path, decode)
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -194,16 +220,12 @@ def decoded(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        flat, starts, lengths = token_bytes(path)
         for batch in batches:
             out = []
             for a, b in chunks(batch, 1 << 20):
-                part = batch.slice(a, b - a).to_pylist()
-                at = np.frombuffer(b"".join(p or b"" for p in part), "<u4")
-                n = lengths[at]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                marks = np.concatenate([[0], np.cumsum([len(p or b"") // 4 for p in part])])
-                out.append(binaries(flat[ranges(starts[at], n)], np.diff(ends[marks])).cast(pa.binary()))
+                part = [p or b"" for p in batch.slice(a, b - a).to_pylist()]
+                counts = np.fromiter(map(len, part), np.int64, len(part)) // 4
+                out.append(binaries(*bytes_of(np.frombuffer(b"".join(part), "<u4"), counts, path)).cast(pa.binary()))
             yield pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return run(ids)

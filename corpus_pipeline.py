@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of the ids and of the bytes they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe.encode(docs, path).withColumn("decoded", bpe.decoded(F.col("ids"), path))
+    out = bpe.encode(docs, path, decode=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
