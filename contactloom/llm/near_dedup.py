@@ -2,21 +2,25 @@
 
 One hash function orders the shingles of a text; its sketch is the K least. Texts of equal sets are one class.
 Sketch values are counted over the corpus; a class keeps the rarest ones that it needs, so that two classes whose
-sketches share LEAST values meet in at least one inverted list (prefix filter). Lists give candidate pairs, the
-sketch of the union estimates their overlap, and full sets confirm them.
-
-Links of J >= 0.85 share LEAST of K = 48 sketch values but for one in 10^10: each of the 48 least values of the union
-is shared with probability J.
-
-Only components are asked for, so pairs inside a known component are not made:
-1. In each list, one member, another for each list, meets all others: a spanning set, linear in the lists.
-   Each class first tries its best partner, then the others outside its component.
-2. What is left are pairs of one list in different components. In a list, members outside its commonest component
-   meet all members of other components. No pair across components is left out.
+sketches share as many values as a link asks for meet in at least one inverted list (prefix filter). A link of J >= t
+shares each of the K least values of the union with probability t; `shared_at_least` leaves out one link in 10^10.
+
+1. Lists of short sketches find the classes that may have a partner at all. Only their texts are fetched again.
+2. Lists of long sketches, which are whole sets for most texts, give pairs. A class's place in a list, by rarity, bounds
+   what the pair can share, and a pair that can't reach the level ends in the join.
+3. The sketch of the union estimates the overlap, and full sets confirm it.
+
+Only components are asked for, so pairs inside a known component are not made. First, in each list, one member
+meets all others: a spanning set, linear in the lists. Each class tries its best partner, then
+the others outside its component. What is left are pairs of one list in different components: classes of
+such lists meet in lists of whole sets, where members outside a list's commonest component meet all members of other
+components. No pair across components is left out.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,11 +28,22 @@ from pyspark.sql import functions as F
 from contactloom.llm.common import let, shingle_hashes, written
 from contactloom.llm.components import components
 
-K = 48
-LEAST = 22
+K, LONG_K = 48, 192
+#: As a sketch's length: the whole set.
+WHOLE = 1 << 30
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def shared_at_least(k: int, percent: int, missed: float = 1e-10) -> int:
+    """The most values that sketches of k share in all but a share `missed` of links at the level."""
+    t, below = percent / 100, 0.0
+    for m in range(k + 1):
+        below += comb(k, m) * t**m * (1 - t) ** (k - m)
+        if below > missed:
+            return max(1, m)
+    return k
+
+
 def shingle_set(text: Column) -> Column:
     """The distinct hashes of five-word shingles, ascending; A-Z as a-z."""
     return F.sort_array(F.array_distinct(shingle_hashes(F.translate(text, UPPER, LOWER))))
@@ -38,19 +53,30 @@ def summary(text: Column) -> Column:
     return let(shingle_set(text), lambda s: F.struct(F.size(s).cast("long").alias("n"), F.xxhash64(s).alias("node"), F.slice(s, 1, K).alias("sketch")))
 
 
-def needed(n: Column) -> Column:
-    """How many sketch values a class of n shingles shares at least with one it links to."""
-    return F.greatest(F.lit(1), F.floor(F.least(n, F.lit(K)) * LEAST / K)).cast("int")
+def needed(n: Column, k: int, percent: int) -> Column:
+    """How many values of its sketch a class of n shingles shares with one that it links to. Where no partner can have
+    more than k shingles, both sketches are whole sets, and the number is exact."""
+    exact = F.ceil(n * percent / 100)
+    return (exact if k == WHOLE else F.when(n <= k * percent // 100, exact).otherwise(shared_at_least(k, percent))).cast("int")
+
+
+def can_link(i: Column, k_i: Column, n_i: Column, j: Column, k_j: Column, n_j: Column, k: int, percent: int) -> Column:
+    """Whether classes that first meet at places i and j of their sketches can share enough."""
+    exact = F.ceil((n_i + n_j) * percent / (100 + percent))
+    least = exact if k == WHOLE else F.when((n_i <= k) & (n_j <= k), exact).otherwise(shared_at_least(k, percent))
+    return (F.least(k_i - i, k_j - j) >= least) & (100 * F.least(n_i, n_j) >= percent * F.greatest(n_i, n_j))
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, node, n): for each class its rarest sketch values, lists of one left out."""
+def inverted_lists(classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """(value, node, n, k, at): for each class its rarest sketch values, lists of one left out; at: how many of its sketch
+    are rarer."""
     rows = classes.select("node", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     common = rows.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rows = rows.join(common, "value")
-    own = W.partitionBy("node")  # K rows at most
-    rows = rows.withColumn("at", F.row_number().over(own.orderBy("df", "value"))).withColumn("shared", F.count(F.lit(1)).over(own))
-    return rows.where(F.col("at") + F.col("k") - F.col("shared") <= F.col("k") - needed(F.col("n")) + 1).select("value", "node", "n")
+    own = W.partitionBy("node")  # k rows at most
+    at = F.col("k") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "value")) - 1
+    rows = rows.withColumn("at", at)
+    return rows.where(F.col("at") <= F.col("k") - needed(F.col("n"), k, percent)).select("value", "node", "n", "k", "at")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -62,7 +88,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, K)
     both = F.array_intersect("s_a", "s_b")
     got = let(union, lambda u: F.struct(F.size(F.array_intersect(u, both)).alias("x"), F.size(u).alias("k")))
-    rows = rows.where(sizes).withColumn("got", got).where(F.col("got.x") * K >= LEAST * F.col("got.k"))
+    rows = rows.where(sizes).withColumn("got", got).where(F.col("got.x") * K >= shared_at_least(K, percent) * F.col("got.k"))
     return rows.select("a", "b", (F.col("got.x") / F.col("got.k")).alias("est"))
 
 
@@ -89,16 +115,32 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.where("c_a != c_b").drop("c_a", "c_b")
 
 
-def apart(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a list whose classes are in different components and near enough in size."""
+def mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of lists whose classes are in several components, with their component and the list's commonest."""
     rows = labelled(lists, labels, "node", "c")
     groups = rows.groupBy("value", "c").agg(F.count(F.lit(1)).alias("g"))
     mixed = groups.groupBy("value").agg(F.max_by("c", F.struct("g", "c")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    rows = written(rows.join(mixed, "value"), "lists")
-    x = rows.where("c != most").select("value", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x"))
-    y = rows.select("value", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"), (F.col("c") == F.col("most")).alias("first"))
-    near = (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")) & (F.col("c_x") != F.col("c_y")) & (F.col("first") | (F.col("x") < F.col("y")))
-    return x.join(y, (x["value"] == y["value"]) & near).select(*ordered(F.col("x"), F.col("y"))).distinct()
+    return written(rows.join(mixed, "value"), "lists")
+
+
+def apart(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a list whose classes are in different components and can link. Classes that such lists name meet
+    again in lists of their whole sets, where few but real partners do."""
+    some = mixed_lists(lists, labels).select("node").distinct()
+    whole = sets.join(some, "node").select("node", F.size("set").cast("long").alias("n"), F.col("set").alias("sketch"))
+    rows = mixed_lists(inverted_lists(whole, WHOLE, percent), labels)
+    x, y = (rows.select("value", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "n", "k", "at", "c")], (F.col("c") == F.col("most")).alias(f"{p}_most")) for p in "xy")
+    near = can_link(*[F.col(f"{p}_{c}") for p in "xy" for c in ("at", "k", "n")], WHOLE, percent)
+    near = near & (F.col("x_c") != F.col("y_c")) & (F.col("y_most") | (F.col("x_node") < F.col("y_node")))
+    return x.where("NOT x_most").join(y, "value").where(near).select(*ordered(F.col("x_node"), F.col("y_node"))).distinct()
+
+
+def spanning(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each list's members with one of them: the one with the fewest rarer values, as a text that others are
+    copies of has, then the least by a hash of list and class."""
+    hub = lists.groupBy("value").agg(F.min(F.struct("at", F.xxhash64("value", "node").alias("h"), "node", "n", "k")).alias("hub"))
+    near = can_link(*[F.col(c) for c in ("at", "k", "n", "hub.at", "hub.k", "hub.n")], LONG_K, percent)
+    return lists.join(hub, "value").where((F.col("node") != F.col("hub.node")) & near).select(*ordered(F.col("node"), F.col("hub.node"))).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -109,21 +151,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     texts have none and link with nothing, not even each other. Rows of one key are rows of their own; among rows that
     share their component's smallest key all are kept. A null key is reached only if no other is. Other columns aren't
     read. An empty table gives an empty table."""
-    spark = df.sparkSession
-    base = df.select(F.col(key).alias("key"), summary(F.col(text)).alias("s")).select("key", "s.*")
+    base = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), summary(F.col(text)).alias("s")).select("key", "hash", "s.*")
     base = written(base, "sketches")
-    some = base.where("n > 0")
-    classes = written(some.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("key").alias("key")), "classes")
-    lists = written(inverted_lists(classes), "lists")
-
-    hub = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("value", "node"), "node"))["node"].alias("hub"))
-    pairs = lists.join(hub, "value").where("node != hub").select(*ordered(F.col("node"), F.col("hub"))).distinct()
-    pairs = written(estimated(pairs, classes, percent), "pairs")
-
-    # full sets of the classes that stand in a list with others, from one row's text each
-    wanted = lists.select("node").distinct().join(classes, "node").select(F.col("key").alias(key), "node")
-    again = df.select(key, text).join(wanted, df[key].eqNullSafe(wanted[key])).select("node", shingle_set(df[text]).alias("set"))
-    sets = written(again.where(F.xxhash64("set") == F.col("node")).dropDuplicates(["node"]), "sets")
+    of_one = F.struct(F.col("key").isNull().alias("no"), "key", "hash")  # a row whose text stands for the class
+    classes = base.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(of_one).alias("one"))
+    classes = written(classes, "classes")
+
+    few = inverted_lists(classes, K, percent).select("node").distinct()
+    wanted = few.join(classes, "node").select("node", F.col("one.key").alias("__key"), F.col("one.hash").alias("__hash"))
+    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
+    rows = rows.join(wanted, (rows["__hash"] == wanted["__hash"]) & rows["__key"].eqNullSafe(wanted["__key"]))
+    rows = rows.groupBy("node").agg(F.first("__text").alias("__text"))  # rows that repeat a key and a text
+    sets = written(rows.select("node", shingle_set(F.col("__text")).alias("set")), "sets")
+    long = sets.select("node", F.size("set").cast("long").alias("n"), F.slice("set", 1, LONG_K).alias("sketch"))
+    lists = written(inverted_lists(long, LONG_K, percent), "lists")
+    pairs = written(estimated(spanning(lists, percent), classes, percent), "pairs")
 
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a"))
     links = written(confirmed(best, sets, percent), "links")
@@ -131,7 +173,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     rest = across(pairs, labels).join(best, ["a", "b"], "left_anti")
     links = links.union(written(confirmed(rest, sets, percent), "links"))
     labels = written(components(links), "labels")
-    left = apart(lists, labels, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    left = apart(lists, labels, sets, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     links = links.union(written(confirmed(estimated(left, classes, percent), sets, percent), "links"))
     labels = components(links)
 
