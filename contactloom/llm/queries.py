@@ -57,6 +57,23 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: All pairs that share a shingle, then what each document can reach.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM starts),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM x JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * x >= 85 * (p.n + q.n - x)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, steps.b FROM reach JOIN steps ON steps.a = reach.r),
+lowest AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN lowest USING (doc_id)
+"""
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -88,8 +105,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("print", fingerprints.fingerprint(F.col("text")))
-    docs = fingerprints.with_next(docs, "doc_id", "text", ["print"])
+    docs = fingerprints.with_next(docs, "doc_id", "text", {"print": fingerprints.fingerprint})
     docs = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), fingerprints.edited(F.col("text"), F.col("next_text")).alias("edited"), "print", "next_print")
     docs = docs.withColumn("edited_print", fingerprints.fingerprint(F.col("edited")))
     return docs.select(
@@ -111,4 +127,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk_search": OP3_SQL}
+    return {"op3_topk_search": OP3_SQL, "op5_near_dedup": OP5_SQL}
