@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import let, shingle_hashes, spread
+from contactloom.llm.common import cut_points, let, part_of, shingle_hashes
 
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
@@ -102,41 +102,22 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.greatest(F.lit(0.0), (same - CHANCE) / (1 - CHANCE)))
 
 
-def cut_points(df: DataFrame, key: str, rows_per_part: int, most_bits: int = 16) -> list[int]:
-    """2^b - 1 ascending keys that part the rows about evenly; at most 2^16 - 1 numbers come to the driver."""
-    parts = spread(df.count(), rows_per_part, 1, 1 << most_bits)
-    if parts == 1:
-        return []
-    found = df.stat.approxQuantile(key, [i / parts for i in range(1, parts)], 1 / (4 * parts)) or [0.0] * (parts - 1)
-    return sorted(int(x) for x in found)
-
-
-def part_of(key: Column, cuts: list[int]) -> Column:
-    """How many cut points are at or below the key, by binary search; 0 for null."""
-    bits = len(cuts).bit_length()
-    if not bits:
-        return F.lit(0)
-    table = F.lit(cuts).cast("array<bigint>")
-    steps = F.lit([1 << (bits - 1 - i) for i in range(bits)])
-    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= key, at + step).otherwise(at))
-    return F.when(key.isNull(), 0).otherwise(found)
-
-
-def with_next(df: DataFrame, key: str, text: str, carry: list[str], rows_per_part: int = 500) -> DataFrame:
+def with_next(df: DataFrame, key: str, text: str, derive: dict[str, Callable[[Column], Column]], rows_per_part: int = 500) -> DataFrame:
     """Each row's successor by descending key (null last; rows of one key by text), the last row's being the first:
-    `next_<column>` for the text and the columns of `carry`. Rows are parted by key range, and each part gets a guard,
-    the first row of the part below, so that no task sorts all rows."""
+    `next_<column>` for the text and the columns of `derive`, which are made of the text, once a row. Rows are parted by
+    key range, and each part gets a guard, the first row of the part below, so that no task sorts all rows."""
     cuts = cut_points(df, key, rows_per_part)
     df = df.withColumn("__part", part_of(F.col(key), cuts))
     first = df.groupBy("__part").agg(F.max(key).alias("__key"))
     down = W.orderBy(F.col("__part").desc())
     first = first.withColumn("__for", F.coalesce(F.lag("__part").over(down), F.min("__part").over(W.partitionBy())))
-    g = df.join(F.broadcast(first) if len(cuts) < (1 << 16) else first, ["__part"]).where(F.col(key).eqNullSafe(F.col("__key")))
-    g = g.groupBy("__for").agg(F.min(F.struct(F.coalesce(F.col(text), F.lit("")).alias("__t"), *carry)).alias("__g"))
-    guard = g.select(F.col("__for").alias("__part"), F.lit(True).alias("__guard"), F.col("__g.__t").alias(text), *[F.col(f"__g.{c}").alias(c) for c in carry])
+    bounded = F.broadcast(first) if len(cuts) < (1 << 16) else first  # a row a part
+    g = df.join(bounded, ["__part"]).where(F.col(key).eqNullSafe(F.col("__key"))).groupBy("__for").agg(F.min(F.coalesce(text, F.lit(""))).alias(text))
+    guard = g.select(F.col("__for").alias("__part"), F.lit(True).alias("__guard"), text)
     both = df.withColumn("__guard", F.lit(False)).unionByName(guard, allowMissingColumns=True)
+    both = both.withColumns({c: f(F.col(text)) for c, f in derive.items()})
     order = W.partitionBy("__part").orderBy("__guard", F.col(key).desc(), F.coalesce(F.col(text), F.lit("")))
-    for c in (text, *carry):
+    for c in (text, *derive):
         both = both.withColumn(f"next_{c}", F.lead(c).over(order))
     return both.where(~F.col("__guard")).drop("__guard", "__part")
 

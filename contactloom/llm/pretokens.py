@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -25,6 +26,27 @@ def pretokens(text: str) -> list[str]:
     return FAST.findall(text) if is_plain(text) else FULL.findall(text)
 
 
+UNEVEN = re.compile(r" \s")
+
+
+def pieces(text: str) -> list[str] | None:
+    """A plain text cut before its spaces, where no match crosses a cut: where no space has white space behind it. The
+    space itself is left out, and the first piece, which has none, is marked. None for other texts."""
+    if UNEVEN.search(text) or not is_plain(text):
+        return None
+    out = text.split(" ")
+    out[0] = FIRST + out[0]
+    return out
+
+
+#: Marks the first piece; no plain text has it.
+FIRST = "\0"
+
+
+def piece_tokens(piece: str) -> list[str]:
+    return FAST.findall(piece[1:] if piece[:1] == FIRST else " " + piece)
+
+
 class Numbers(dict):
     """Words numbered from 0 as they come."""
 
@@ -65,7 +87,7 @@ class WordIds:
         total, count = int(n.sum()), self.known + len(ids)
         self.flat = self.grown(self.flat, self.used + total)
         self.starts, self.lengths = self.grown(self.starts, count), self.grown(self.lengths, count)
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), self.dtype, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), self.dtype, total)
         self.starts[self.known : count] = self.used + np.cumsum(n) - n
         self.lengths[self.known : count] = n
         self.used, self.known = self.used + total, count
@@ -75,7 +97,7 @@ class WordIds:
         if len(self.numbers) > self.most:
             self.clear()
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        at = np.fromiter((n for t in texts for n in map(self.numbers.__getitem__, t)), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
         if len(self.numbers) > self.known:
             new = list(self.numbers)[self.known :] if self.known else list(self.numbers)
             self.learn(new)

@@ -2,8 +2,8 @@
 
 Texts are encoded once and the ids kept in the shared scratch folder. Ids are counted in the tasks and ranked over
 the corpus, so that the 256 most frequent take one byte. Documents are dealt by key range, sorted, and written in
-blocks: a Parquet file whose rows are blocks (part, block, start within the part, keys, lengths, control bytes, data
-bytes) beside the table of ids by rank. Reading adds up the parts' ids, decodes block by block, and gives a row a
+blocks: Parquet files whose rows are blocks (part, block, start within the part, keys, lengths, control bytes, data
+bytes) beside the table of ids by rank. A document starts at a control byte of its own. Reading adds up the parts' ids, decodes block by block, and gives a row a
 document.
 """
 
@@ -14,23 +14,25 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactloom.llm import varbytes
-from contactloom.llm.common import on_workers, scratch
-from contactloom.llm.pretokens import FAST, WordIds, is_plain
+from contactloom.llm.common import cut_points, on_workers, part_of, scratch
+from contactloom.llm.pretokens import WordIds, piece_tokens, pieces
 
 #: Characters that one round of encoding takes, and ids that a block holds (a longer document is a block).
 BATCH_CHARS = 1 << 20
 BLOCK_IDS = 1 << 18
+#: Rows of a part, a range of keys in the files.
+PART_ROWS = 2000
 
 
 class Encoder:
-    """The library's ids of whole texts. Plain texts go word by word through a dictionary, each new word once through
-    the library's model; other texts, and those with a special token's string, go whole through the library."""
+    """The library's ids of whole texts. Plain texts go piece by piece, cut before spaces, through a dictionary, and each
+    new word once through the library's model; other texts, and those with a special token's string, go whole through
+    the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -41,24 +43,31 @@ class Encoder:
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         moved = [b for b in range(256) if b not in set(kept)]
         self.table = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
-        self.words = WordIds(self.of_words, np.uint32)
+        self.words = WordIds(self.of_pieces, np.uint32)
+        self.known: dict[str, list[int]] = {}
 
-    def of_words(self, words: list[str]) -> list[list[int]]:
-        tokenize = self.whole.model.tokenize
-        return [[t.id for t in tokenize(w.encode().decode("latin-1").translate(self.table))] for w in words]
+    def of_word(self, word: str) -> list[int]:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = self.known[word] = [t.id for t in self.whole.model.tokenize(word.encode().decode("latin-1").translate(self.table))]
+        return ids
+
+    def of_pieces(self, pieces: list[str]) -> list[list[int]]:
+        if len(self.known) > self.words.most:
+            self.known = {}
+        return [[i for w in piece_tokens(p) for i in self.of_word(w)] for p in pieces]
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists, other = [], {}
         for i, t in enumerate(texts):
-            plain = self.by_word and is_plain(t) and not any(s in t for s in self.special)
-            lists.append(FAST.findall(t) if plain else [])
-            if not plain:
+            parts = pieces(t) if self.by_word and not any(s in t for s in self.special) else None
+            lists.append(parts or [])
+            if parts is None:
                 other[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
         flat, counts = self.words.ids(lists)
         if other:
-            parts = np.split(flat, np.cumsum(counts)[:-1])
-            parts = [other.get(i, p) for i, p in enumerate(parts)]
-            flat, counts = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+            each = [other.get(i, p) for i, p in enumerate(np.split(flat, np.cumsum(counts)[:-1]))]
+            flat, counts = np.concatenate(each), np.array([len(p) for p in each], np.int64)
         return flat, counts
 
 
@@ -125,7 +134,7 @@ def ranked_ids(ids: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, folder: str, path: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> None:
-    """Encodes the texts and writes `folder`/ids (blocks in ascending order of the key) and `folder`/ranks. Rows of one
+    """Encodes the texts and writes `folder`/ids (blocks in ascending order of the numeric key) and `folder`/ranks. Rows of one
     key are ordered by their ids; a null key comes first; an empty table writes empty tables."""
     spark = df.sparkSession
     kept = scratch(spark, "ids")
@@ -138,36 +147,49 @@ def write(df: DataFrame, folder: str, path: str, end_id: int | None = None, key:
     shared = spark.sparkContext.broadcast(rank_of)
     fields = ["part", "block", "start", "keys", "lengths", "control", "data"]
 
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's ranks as bytes, so that no more than these is shuffled."""
+        for batch in batches:
+            column = batch.column(1)
+            for a, b in chunks(column, 1 << 22):
+                part = column.slice(a, b - a).to_pylist()
+                counts = np.fromiter(map(len, part), np.int64, len(part)) // 4
+                control, n_control, data, n_data = varbytes.encode_rows(shared.value[np.frombuffer(b"".join(part), "<u4")], counts)
+                arrays = [batch.column(0).slice(a, b - a), pa.array(counts, pa.int32()), binaries(control, n_control).cast(pa.binary()), binaries(data, n_data).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, [key, "n", "control", "data"])
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, start = TaskContext.get().partitionId(), 0, 0
-        keys: list = []
-        parts: list[bytes] = []
+        part, block, start = None, 0, 0
+        keys, lengths, controls, parts = [], [], [], []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            control, data = varbytes.encode(shared.value[np.frombuffer(b"".join(parts), "<u4")])
-            lengths = [len(p) // 4 for p in parts]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([start], pa.int64()), pa.array([keys], pa.list_(key_type)), pa.array([lengths], pa.list_(pa.int32())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], fields)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([start], pa.int64()), pa.array([keys], pa.list_(key_type)), pa.array([lengths], pa.list_(pa.int32())), pa.array([b"".join(controls)], pa.binary()), pa.array([b"".join(parts)], pa.binary())], fields)
 
         for batch in batches:
             key_type = batch.column(0).type
-            for k, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids.as_py()
-                if held and held + len(ids) // 4 > BLOCK_IDS:
+            for k, n, control, data, own in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if held and (own != part or held + n > BLOCK_IDS):
                     yield flush()
-                    block, start, held = block + 1, start + held, 0
-                    keys.clear()
-                    parts.clear()
+                    block, start, held = (block + 1, start + held, 0) if own == part else (0, 0, 0)
+                    for x in (keys, lengths, controls, parts):
+                        x.clear()
+                part = own
                 keys.append(k)
-                parts.append(ids)
-                held += len(ids) // 4
-        if parts:
+                lengths.append(n)
+                controls.append(control)
+                parts.append(data)
+                held += n
+        if keys:
             yield flush()
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"part int, block bigint, start bigint, keys array<{kind}>, lengths array<int>, control binary, data binary"
-    dealt = ids.repartitionByRange(F.col(key), F.xxhash64("ids")).sortWithinPartitions(key, "ids")
-    dealt.mapInArrow(blocks, schema).write.option("compression", "uncompressed").parquet(f"{folder}/ids")
+    rows = ids.select(key, "ids").mapInArrow(coded, f"`{key}` {kind}, n int, control binary, data binary")
+    # cut points of the keys alone, so that nothing is coded twice to find ranges
+    rows = rows.withColumn("part", part_of(F.col(key), cut_points(ids, key, PART_ROWS)).cast("int"))
+    rows = rows.repartition("part").sortWithinPartitions("part", key, "n", "data", "control")
+    rows.mapInArrow(blocks, schema).write.option("compression", "uncompressed").parquet(f"{folder}/ids")
 
 
 def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
@@ -179,7 +201,7 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     found = spark.read.parquet(f"{folder}/ids")
     sizes = found.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, n: s + n)).alias("n"))
     before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    # one row a part, and parts are no more than the partitions that wrote them
+    # one row a part, and there are 65,536 parts at most
     rows = found.join(F.broadcast(before), "part").select((F.col("before") + F.col("start")).alias("start"), "keys", "lengths", "control", "data")
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +209,7 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
             for i in range(len(batch)):
                 start, keys, lengths, control, data = (batch.column(c)[i] for c in range(5))
                 n = lengths.values.to_numpy().astype(np.int64)
-                ids = shared.value[varbytes.decode(control.as_py(), data.as_py(), int(n.sum()))]
+                ids = shared.value[varbytes.decode_rows(control.as_py(), data.as_py(), n)]
                 starts = start.as_py() + np.cumsum(n) - n
                 yield pa.RecordBatch.from_arrays([keys.values, pa.array(starts, pa.int64()), binaries(ids.astype("<u4", copy=False), n).cast(pa.binary())], [key, "start", "ids"])
 

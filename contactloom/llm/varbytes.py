@@ -34,3 +34,24 @@ def decode(control: bytes, data: bytes, count: int) -> np.ndarray:
         more = np.flatnonzero(lengths > k)
         out[more] |= raw[starts[more] + k].astype(np.uint32) << (8 * k)
     return out
+
+
+def encode_rows(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The integers of several rows, each row filled up with zeros to whole control bytes: control bytes of all rows, how
+    many each has, data bytes, how many each has."""
+    full = -(-counts // 4) * 4
+    starts = np.cumsum(full) - full
+    padded = np.zeros(int(full.sum()), np.uint32)
+    at = np.arange(len(values)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    padded[at] = values
+    control, data = encode(padded)
+    lengths = LENGTHS[np.frombuffer(control, np.uint8)].sum(axis=1, dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    marks = np.concatenate([[0], np.cumsum(full // 4)])
+    return np.frombuffer(control, np.uint8), full // 4, np.frombuffer(data, np.uint8), np.diff(ends[marks])
+
+
+def decode_rows(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
+    full = -(-counts // 4) * 4
+    padded = decode(control, data, int(full.sum()))
+    return padded[np.arange(int(counts.sum())) + np.repeat(np.cumsum(full) - full - (np.cumsum(counts) - counts), counts)]

@@ -212,11 +212,11 @@ def test_fingerprints(spark, docs, none):
 
 def test_next_document_over_parts(spark):
     rows = [(i * 7 % 101, f"t{i * 7 % 101}") for i in range(101)] + [(None, "null")]
-    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", [], rows_per_part=5).collect()
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", {}, rows_per_part=5).collect()
     order = [None if k < 0 else k for k in range(100, -2, -1)]
     want = {k: "null" if n is None else f"t{n}" for k, n in zip(order, order[1:] + order[:1])}
     assert {r["doc_id"]: r["next_text"] for r in got} == want
-    one = fingerprints.with_next(spark.createDataFrame([(1, "self")], "doc_id long, text string"), "doc_id", "text", [])
+    one = fingerprints.with_next(spark.createDataFrame([(1, "self")], "doc_id long, text string"), "doc_id", "text", {})
     assert one.first()["next_text"] == "self"
 
 
