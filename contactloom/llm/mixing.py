@@ -5,7 +5,9 @@ source's stream. Targets share the words of all sources by weight and stop at `r
 what is above is shared anew. A stream up to its target is cut into blocks of equal words; the number of blocks is
 the source's quota. A splitting tree deals the quotas to output shards: a node's blocks are split in two by a
 multivariate-hypergeometric draw, as if the halves were drawn without replacement, until a node is one shard. A
-shard takes disjoint blocks of each source, permuted by an affine map, and orders what it has by a hash.
+shard takes disjoint blocks of each source, permuted by an affine map, and orders what it has by a hash. Documents stay
+whole. A stream stops at the document nearest its target; then the one document of the source that brings what is taken
+still nearer is taken once more or less.
 
 The tree works on one row a node with an array over the sources. Documents meet only sums by (source, chunk).
 """
@@ -139,12 +141,31 @@ def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id"
     out = out.join(plan, out["__source"].eqNullSafe(plan["__s"]) & (out["__chunk"] == plan["__c"]))
     middle = F.col("__before") + F.col("__sum") - F.col("size") / 2
 
-    def drawn(copy: Column) -> Column:
+    def draw(copy: Column) -> Column:
         at = copy * F.col("source_size") + middle
         number = F.pmod(F.floor(at / F.col("__block")).cast("long") * PRIME + F.pmod(F.xxhash64(F.lit(seed), F.col("__source")), F.lit(PRIME)), F.greatest("__quota", F.lit(1)))
         shard = F.size(F.filter("__ends", lambda e: e <= number))
-        return F.when((at < F.col("target")) & (F.col("size") > 0), F.struct(shard.alias("shard"), copy.cast("int").alias("copy"), F.xxhash64(F.lit(seed + 1), "__hash", copy).alias("order")))
-
-    draws = F.filter(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), drawn), lambda d: d.isNotNull())
+        return F.struct(shard.alias("shard"), copy.cast("int").alias("copy"), F.xxhash64(F.lit(seed + 1), "__hash", copy).alias("order"))
+
+    # how often the stream up to the target passes the row's middle
+    passes = F.when(F.col("size") > 0, F.ceil((F.col("target") - middle) / F.col("source_size"))).otherwise(0)
+    out = out.withColumn("__times", F.greatest(F.lit(0), F.least(F.lit(repeats), passes)).cast("int"))
+    fixes = written(closer(out, repeats), "mix")
+    fixes = fixes.select(F.col("__source").alias("__s"), F.col("__chunk").alias("__c"), F.col("__sum").alias("__at"), "__change")
+    out = out.join(fixes, out["__source"].eqNullSafe(fixes["__s"]) & (out["__chunk"] == fixes["__c"]) & (out["__sum"] == fixes["__at"]) & (out["size"] > 0), "left")
+    times = F.col("__times") + F.coalesce("__change", F.lit(0))
+    draws = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), draw)).otherwise(F.array().cast("array<struct<shard: int, copy: int, order: bigint>>"))
     names = [c for c in df.columns if c not in made and (c in carry or not c.startswith("__"))]
     return out.select(*names, "source_size", "target", draws.alias("draws"))
+
+
+def closer(out: DataFrame, repeats: int) -> DataFrame:
+    """(source, chunk, sum, change): for each source the one document that, taken once more or less, brings what is taken
+    nearest to the target, if any brings it nearer."""
+    taken = out.groupBy("__source").agg(F.sum(F.col("size") * F.col("__times")).alias("__taken"), F.first("target").alias("__target"))
+    taken = written(taken.select(F.col("__source").alias("__s"), (F.col("__taken") - F.col("__target")).alias("__over")), "mix")
+    rows = out.where("size > 0").select("__source", "__chunk", "__sum", "size", "__times").join(taken, F.col("__source").eqNullSafe(F.col("__s")))
+    change = F.when((F.col("__over") > 0) & (F.col("__times") > 0), -1).when((F.col("__over") < 0) & (F.col("__times") < repeats), 1)
+    rows = rows.withColumn("__change", change).withColumn("__left", F.abs(F.col("__over") + F.col("__change") * F.col("size")))
+    best = rows.where(F.col("__left") < F.abs("__over")).groupBy("__source").agg(F.min(F.struct("__left", "__chunk", "__sum", "__change")).alias("b"))
+    return best.select("__source", "b.__chunk", "b.__sum", "b.__change")
