@@ -65,7 +65,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int
         probes = active.select("q", "bound", F.inline(segments(F.col("q"), segment_bits)))
         probes = probes.withColumn("flip", F.explode(F.lit(flips(segment_bits, radius)).cast("array<bigint>")))
         probes = probes.select("q", "bound", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-        met = probes.join(index, ["segment", "value"]).where(distance(F.col("q"), F.col("code")) <= F.col("bound"))
+        # probes grow with the queries and by the flips, which no estimate of their size knows: never to be broadcast
+        met = probes.hint("merge").join(index, ["segment", "value"]).where(distance(F.col("q"), F.col("code")) <= F.col("bound"))
         met = met.select("q", "code", "n", "first", distance(F.col("q"), F.col("code")).alias("distance"))
         if found is not None:
             met = met.unionByName(found)
