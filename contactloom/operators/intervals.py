@@ -50,6 +50,13 @@ def coalesced(rows: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     return rows.groupBy(*keys, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("__island")
 
 
+def meeting_others(rows: DataFrame, how: str = "left_semi", size: int = 10_000, keys: tuple[str, ...] = ("chrom",), key: str = "id") -> DataFrame:
+    """Rows, told apart by `key`, that overlap another row ("left_semi"), or none ("left_anti"). An interval overlaps another
+    just where its union holds several, so no pairs are made."""
+    several = coalesced(rows.where(F.col("start") < F.col("end")), keys).where("n > 1")
+    return overlapping(rows, several, how, size, keys, key)
+
+
 def range_means(rows: DataFrame, track: DataFrame, key: str = "id", size: int = 10_000) -> DataFrame:
     """(key, signal): the track's mean over the covered part of each row, weighted by length; 0 without cover."""
     met = overlap(rows.select("chrom", "start", "end", key), track.select("chrom", "start", "end", "value"), size)

@@ -161,6 +161,23 @@ def interval_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return intervals.coalesced(views.intervals(spark, d).where("id % 50 = 0"))
 
 
+@query()
+def interval_coalesce_all(spark: SparkSession, d: str) -> DataFrame:
+    """As interval_coalesce, whose SQL fixes its row filter, for all rows."""
+    return intervals.coalesced(views.intervals(spark, d))
+
+
+@query()
+def interval_others_semi(spark: SparkSession, d: str) -> DataFrame:
+    """Of all rows those that overlap another row of the table."""
+    return intervals.meeting_others(views.intervals(spark, d), "left_semi", size=32).select("id", "chrom")
+
+
+@query()
+def interval_others_anti(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.meeting_others(views.intervals(spark, d), "left_anti", size=32).select("id", "chrom")
+
+
 @query(with_views("genes blocks") + """SELECT key AS id, CAST(block AS INTEGER) AS block, "offset" * 1000 + CASE WHEN b.strand = '+' THEN greatest(g.start, lo * 1000) - lo * 1000 ELSE hi * 1000 - least(g."end", hi * 1000) END AS lo,
 "offset" * 1000 + CASE WHEN b.strand = '+' THEN least(g."end", hi * 1000) - lo * 1000 ELSE hi * 1000 - greatest(g.start, lo * 1000) END AS hi,
 CASE WHEN b.strand = '+' THEN g.strand WHEN g.strand = '+' THEN '-' ELSE '+' END AS strand FROM genes g JOIN blocks b ON g.chrom = b.chrom AND g.start < hi * 1000 AND lo * 1000 < g."end\"""")
@@ -377,7 +394,7 @@ def _peaks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_peak_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return rearrangements.greedy_peaks(_peaks(spark, d).where("id % 5 = 0"), apart=3000)
+    return rearrangements.greedy_peaks(_peaks(spark, d), apart=3000)
 
 
 @query(with_views("pixels") + 'SELECT bin1_id % 10 AS part, round(quantile_cont("count", 0.95), 9) AS level FROM pixels WHERE "count" <> 0 GROUP BY 1')
