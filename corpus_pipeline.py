@@ -11,6 +11,8 @@ from contactloom.llm.common import table, written
 
 #: Below this a text has no language that stands out.
 LEAST_SHARE = 0.35
+#: Percent of five-word shingles that near-duplicates share; op5's own level is 85.
+LEAST_SIMILAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_dedup.deduplicated(docs)
+    """One document of each group of near-duplicates, by similarities from 0.8 on."""
+    return near_dedup.deduplicated(docs, percent=LEAST_SIMILAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
