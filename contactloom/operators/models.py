@@ -68,7 +68,7 @@ def rescaled(contacts: DataFrame, frame: DataFrame, lines: DataFrame, least_r2:
 
 
 def balanced_by_class(pixels: DataFrame, bins: DataFrame, cn: str = "cn", ignore: int = 1, tolerance: float = 1e-5, rounds: int = 50) -> DataFrame:
-    """(bin_id, cn, sweight, variance): weights that even out coverage within each copy-number class. In each round a
+    """(bin_id, cn, sweight, variance, converged): weights that even out coverage within each copy-number class. In each round a
     bin's weight is divided by its coverage over the mean of its class; bins without coverage, class or a valid weight are
     null. Rounds end when the variance within classes, weighted by size, is below the tolerance."""
     usable = bins.where(is_valid(F.col("weight")) & (F.col(cn) != 0)).select("bin_id", F.col(cn).alias("cn"))
@@ -85,7 +85,7 @@ def balanced_by_class(pixels: DataFrame, bins: DataFrame, cn: str = "cn", ignore
         bias = state.select("bin_id", "cn", "bias")
         if variance is None or variance < tolerance:
             break
-    out = state.select("bin_id", F.nullif(F.col("bias") / F.sqrt("mean"), F.lit(0.0)).alias("sweight"), F.lit(variance).cast("double").alias("variance"))
+    out = state.select("bin_id", F.nullif(F.col("bias") / F.sqrt("mean"), F.lit(0.0)).alias("sweight"), F.lit(variance).cast("double").alias("variance"), F.lit(variance is None or variance < tolerance).alias("converged"))
     return bins.select("bin_id", F.col(cn).alias("cn")).join(out, "bin_id", "left")
 
 

@@ -48,7 +48,7 @@ def rescaled_contacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def classwise_balance(spark: SparkSession, d: str) -> DataFrame:
-    return models.balanced_by_class(views.pixels(spark, d), views.bins(spark), rounds=12)
+    return models.balanced_by_class(views.pixels(spark, d), views.bins(spark), rounds=1000)
 
 
 def poisson_profile(spark: SparkSession, d: str) -> DataFrame:

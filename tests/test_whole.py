@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from contactloom.functions import kernels
-from contactloom.operators import intervals, rearrangements
+from contactloom.operators import intervals, models, rearrangements
 from contactloom.plans import numeric, relational
 from contactloom.sources import views
 
@@ -74,3 +74,12 @@ def test_intervals_that_meet_others(spark):
     meets = {i for i, c, s, e in rows for j, d, t, f in rows if i != j and c == d and s < f and t < e and s < e and t < f}
     assert {r["id"] for r in intervals.meeting_others(df, "left_semi", 32).collect()} == meets
     assert {r["id"] for r in intervals.meeting_others(df, "left_anti", 32).collect()} == {r[0] for r in rows} - meets and 0 < len(meets) < 80
+
+
+def test_balancing_says_whether_it_converged(spark):
+    rng = np.random.default_rng(2)
+    pixels = spark.createDataFrame([(i, j, int(rng.integers(1, 9))) for i in range(12) for j in range(i, 12)], "bin1_id long, bin2_id long, count long")
+    bins = spark.createDataFrame([(i, 1.0, 1 + i % 2) for i in range(12)], "bin_id long, weight double, cn int")
+    assert not models.balanced_by_class(pixels, bins, rounds=1).first()["converged"]
+    r = models.balanced_by_class(pixels, bins, rounds=1000).first()
+    assert r["converged"] and r["variance"] < 1e-5
