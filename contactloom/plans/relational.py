@@ -316,9 +316,15 @@ def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     return rearrangements.shortest_hops(views.edges(spark, d), 6)
 
 
+@query()
+def shortest_paths_all(spark: SparkSession, d: str) -> DataFrame:
+    """As shortest_paths, whose SQL fixes its edges, over all links of lineitem."""
+    return rearrangements.shortest_hops(views.links(spark, d), 6)
+
+
 @query()
 def path_contiguous_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return rearrangements.without_subpaths(rearrangements.shortest_paths(views.edges(spark, d), 6))
+    return rearrangements.without_subpaths(rearrangements.shortest_paths(views.links(spark, d), 6))
 
 
 @query(with_views("pixels bins", loops_sql(1, "loops")) + ", l AS (SELECT DISTINCT chrom1, start1, end1, chrom2, start2, end2, label || ',' || distance || ',' || CAST(chrom1 <> chrom2 AS INTEGER) AS t FROM loops) SELECT chrom1, start1, end1, chrom2, start2, end2, string_agg(t, ',' ORDER BY t) AS label FROM l GROUP BY ALL")
@@ -349,6 +355,12 @@ def multires_loop_merge(spark: SparkSession, d: str) -> DataFrame:
     return loops.across_resolutions({1000: fine, 5000: _triples(spark, d, 5)})
 
 
+@query()
+def multires_loop_merge_all(spark: SparkSession, d: str) -> DataFrame:
+    """As multires_loop_merge, whose SQL fixes two labels, for all labels and three resolutions."""
+    return loops.across_resolutions({step * views.BIN_SIZE: _triples(spark, d, step) for step in (1, 2, 5)})
+
+
 @query("""WITH a AS (SELECT o_orderkey AS id, CAST(o_custkey % 97 AS VARCHAR) AS path, CAST(CASE o_orderkey % 3 WHEN 0 THEN 5000 WHEN 1 THEN 10000 ELSE 25000 END AS INTEGER) AS resolution FROM orders)
 SELECT id, path, resolution FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY resolution, id) AS r FROM a) WHERE r = 1""")
 def multires_assembly_pick(spark: SparkSession, d: str) -> DataFrame:

@@ -66,6 +66,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("l_partkey") % 60).alias("src"), (F.col("l_orderkey") % 60).alias("dst")).distinct()
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): all links of lineitem from part to supplier keys; the keys grow with the tables."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+
+
 def loops(spark: SparkSession, sf_dir: str, step: int = 1) -> DataFrame:
     """(chrom1, start1, end1, chrom2, start2, end2, label, distance) at `step` bins a side, one a pixel of two or more."""
     size = step * BIN_SIZE

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from contactloom.functions import kernels
-from contactloom.operators import intervals, models, rearrangements
+from contactloom.operators import intervals, loops, models, rearrangements
 from contactloom.plans import numeric, relational
 from contactloom.sources import views
 
@@ -83,3 +83,33 @@ def test_balancing_says_whether_it_converged(spark):
     assert not models.balanced_by_class(pixels, bins, rounds=1).first()["converged"]
     r = models.balanced_by_class(pixels, bins, rounds=1000).first()
     assert r["converged"] and r["variance"] < 1e-5
+
+
+@with_data
+def test_paths_over_all_links(spark):
+    links = {(r["l_partkey"], r["l_suppkey"]) for r in views.table(spark, SF, "lineitem").select("l_partkey", "l_suppkey").collect()}
+    after, want = defaultdict(set), {}
+    for a, b in links:
+        after[a].add(b)
+    for a in after:
+        front, seen = after[a] - {a}, set()
+        for hop in range(1, 7):
+            want |= {(a, b): hop for b in front}
+            seen |= front
+            front = {c for b in front for c in after.get(b, ())} - seen - {a}
+    assert {(r["src"], r["dst"]): r["hops"] for r in relational.shortest_paths_all(spark, SF).collect()} == want
+    kept = [r["path"] for r in relational.path_contiguous_dedup(spark, SF).collect()]
+    steps = {frozenset(x) for p in kept for x in zip(p, p[1:], strict=False)}
+    assert steps == {frozenset(x) for x in links if x[0] != x[1]}
+
+
+@with_data
+def test_loops_of_all_labels_and_resolutions(spark):
+    names = (*loops.KEY, "assembly", "distance", "neo")
+    got = {tuple(r[n] for n in ("resolution", *names)) for r in relational.multires_loop_merge_all(spark, SF).collect()}
+    fine = {tuple(r[n] for n in names) for r in relational._triples(spark, SF, 1).collect()}
+    assert {x[7] for x in got} == {f"C{i}" for i in range(7)} and {(1000, *x) for x in fine} <= got
+    for size in (2000, 5000):
+        at = {(x[1], x[2] // size, x[4], x[5] // size, *x[7:]) for x in got}
+        coarse = {tuple(r[n] for n in names) for r in relational._triples(spark, SF, size // 1000).collect()}
+        assert {(x[0], x[1] // size, x[3], x[4] // size, *x[6:]) for x in coarse} <= at
