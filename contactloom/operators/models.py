@@ -107,13 +107,14 @@ def poisson_profile(rows: DataFrame, covariates: list[str], count: str = "covera
     return rows.select("bin_id").join(fitted, "bin_id", "left").select("bin_id", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
 
-def mixture_states(rows: DataFrame, value: str, most: int = 4, seed: int = 1) -> DataFrame:
-    """(k, aic, chosen): Gaussian mixtures of 1 to `most` parts, and which has the least AIC."""
+def mixture_states(rows: DataFrame, value: str, most: int = 10, seed: int = 1) -> DataFrame:
+    """(k, aic, chosen): Gaussian mixtures of 1 to `most` parts, no more than there are distinct values, and which has the
+    least AIC."""
     spark = rows.sparkSession
     data = VectorAssembler(inputCols=[value], outputCol="features").transform(rows.where(F.col(value).isNotNull()).select(value)).cache()
     found = []
-    for k in range(1, most + 1):
-        fit = GaussianMixture(k=k, seed=seed, maxIter=50).fit(data) if k > 1 else None
+    for k in range(1, max(1, data.select(value).distinct().limit(most).count()) + 1):
+        fit = GaussianMixture(k=k, seed=seed, maxIter=100).fit(data) if k > 1 else None
         if fit is None:
             n, var = data.agg(F.count(F.lit(1)), F.var_pop(value)).first()
             logs = -0.5 * n * (np.log(2 * np.pi * var) + 1)
@@ -132,10 +133,12 @@ def expecting(means: np.ndarray, variances: np.ndarray, moves: np.ndarray, names
     return expect
 
 
-def hidden_states(rows: DataFrame, states: int = 3, rounds: int = 10, value: str = "x") -> DataFrame:
+def hidden_states(rows: DataFrame, states: int | None = None, rounds: int = 1000, value: str = "x") -> DataFrame:
     """(chrom, idx, x, state): the likeliest states of a Gaussian hidden Markov model of all chromosomes, numbered by
-    rising mean. A round sums each chromosome's expected counts in a task and adds them up."""
-    rows = rows.select("chrom", "idx", F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    rising mean; without `states` as many as the mixture of least AIC has parts. A round sums each chromosome's expected counts in a task and adds them up."""
+    rows = written(rows.select("chrom", "idx", F.col(value).cast("double").alias("x")).where("x IS NOT NULL"), "levels")
+    if states is None:
+        states = 1 if rows.isEmpty() else mixture_states(rows, "x").where("chosen").first()["k"]
     cuts = rows.agg(F.percentile("x", F.lit([(i + 0.5) / states for i in range(states)])), F.var_pop("x")).first()
     if cuts[0] is None:
         return rows.withColumn("state", F.lit(0))
@@ -162,7 +165,7 @@ def hidden_states(rows: DataFrame, states: int = 3, rounds: int = 10, value: str
     return rows.groupBy("chrom").applyInPandas(decode, "chrom string, idx bigint, x double, state int")
 
 
-def change_points(rows: DataFrame, value: str = "x", shuffles: int = 100, p: float = 0.01, inner_p: float = 0.05, seed: int = 7) -> DataFrame:
+def change_points(rows: DataFrame, value: str = "x", shuffles: int = 1000, p: float = 1e-5, inner_p: float = 0.05, seed: int = 7) -> DataFrame:
     """(chrom, start, end, mean): circular binary segmentation of each chromosome, positions in rank order."""
     def cut(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("idx")

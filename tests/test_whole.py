@@ -113,3 +113,22 @@ def test_loops_of_all_labels_and_resolutions(spark):
         at = {(x[1], x[2] // size, x[4], x[5] // size, *x[7:]) for x in got}
         coarse = {tuple(r[n] for n in names) for r in relational._triples(spark, SF, size // 1000).collect()}
         assert {(x[0], x[1] // size, x[3], x[4] // size, *x[6:]) for x in coarse} <= at
+
+
+def test_five_levels_are_five_states(spark):
+    rng = np.random.default_rng(8)
+    x = np.repeat([0.0, 4, 8, 12, 16], 60) + rng.normal(0, 0.2, 300)
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "chrom string, idx long, x double")
+    assert models.mixture_states(df, "x").where("chosen").first()["k"] >= 5
+    states = [r["state"] for r in models.hidden_states(df).orderBy("idx").collect()]
+    assert all({states[i] for i in range(a, a + 60)}.isdisjoint(states[a + 60 :]) for a in range(0, 240, 60))
+
+
+def test_one_shuffle_in_a_thousand_rejects(spark):
+    def pieces(**levels):
+        return models.change_points(df, **levels).count()
+
+    x = np.random.default_rng(0).normal(0, 1, 200)
+    x[80:120] += 0.7
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "chrom string, idx long, x double")
+    assert pieces() == 1 < pieces(shuffles=100, p=0.01)
