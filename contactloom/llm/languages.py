@@ -16,15 +16,14 @@ from contactloom.llm.token_ids import chunks
 UNKNOWN = "und"
 
 
-def fit(docs: DataFrame, per_language: int = 300, most_languages: int = 64, most_bytes: int = 1 << 16, key: str = "doc_id", text: str = "text", language: str = "lang") -> crf.Field | None:
+def fit(docs: DataFrame, per_language: int = 300, most_bytes: int = 1 << 16, key: str = "doc_id", text: str = "text", language: str = "lang") -> crf.Field | None:
     """A field of texts with a language: of each the `per_language` least by a hash, one in each class of it, so that
-    no task holds a language; the commonest `most_languages`; none over `most_bytes`. None where there are no such."""
-    some = docs.where(F.col(language).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    no task holds a language; none over `most_bytes`. All languages are learned, so the driver holds `per_language` texts
+    of each. None where there are no such."""
+    some = docs.where(F.col(language).isNotNull() & F.col(key).isNotNull() & (F.octet_length(text) <= most_bytes))
     h = F.xxhash64(F.lit(7), key)
-    picks = some.groupBy(F.col(language).alias("y"), F.pmod(h, F.lit(per_language)).alias("r")).agg(F.min(F.struct(h, F.col(key)))[key].alias(key), F.count(F.lit(1)).alias("n"))
-    common = picks.groupBy("y").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "y").limit(most_languages)
-    picks = picks.join(F.broadcast(common.select("y")), "y").select(key, "y")  # at most per_language * most_languages rows
-    rows = some.where(F.octet_length(text) <= most_bytes).join(F.broadcast(picks), (some[key] == picks[key]) & (some[language] == picks["y"]), "left_semi")
+    picks = some.groupBy(F.col(language).alias("y"), F.pmod(h, F.lit(per_language)).alias("r")).agg(F.min(F.struct(h, F.col(key)))[key].alias(key)).select(key, "y")
+    rows = some.join(F.broadcast(picks), (some[key] == picks[key]) & (some[language] == picks["y"]), "left_semi")  # keys of what the driver holds next
     found = rows.select(text, language).toArrow().to_pylist()
     return crf.fit(sorted((r[text], r[language]) for r in found))
 
