@@ -1,9 +1,10 @@
 """Compression-distance classification of text windows with zstandard dictionaries.
 
-A text is cut at spaces into windows of about 64 bytes. Two dictionaries are trained, one on ordinary and one on
-toxic text. A window's gain is how many bytes shorter it gets when the toxic dictionary is there beside the ordinary
-one. Windows of ordinary text gain nothing, but for chance; a passage that only the toxic dictionary knows gains its
-length. A document's score is a calibrated function of how many windows reach each gain.
+A window is a word of the lower-cased text, spaces around it. Two dictionaries stand apart: one trained by zstandard on
+ordinary text; and one of toxic text, of the windows that come back in toxic texts and hardly ever stand in ordinary
+ones, the most frequent last, where a match is cheapest. A window's gain is by how many bytes the toxic dictionary
+codes it shorter than the ordinary one: what only toxic text repeats gains its length, other windows lose. A document's
+score is a calibrated function of how many of its windows reach each gain.
 """
 
 from __future__ import annotations
@@ -12,78 +13,58 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
+from math import ceil
 
 import numpy as np
 import zstandard
 
-WINDOW = 64
-GRAM = 6
+from contactloom.llm.pretokens import Numbers
+
+#: Lower-cased UTF-8: letters and digits; longer runs are several windows.
+WORD = re.compile(rb"[0-9a-z\x80-\xff]{1,48}")
 #: A window counts from these gains on (bytes).
-GAINS = (1, 2, 3, 4, 6, 8)
-#: What stands before every window: bytes that no UTF-8 text has in this order.
-HEAD = bytes(range(128, 160)) + bytes(range(1, 9))
+GAINS = (1, 2, 3, 4, 5, 6)
+#: Stands behind every window, as the compressor looks for no match in the last bytes of its input and stores what hardly
+#: shrinks: bytes that no UTF-8 text has in this order, and that both dictionaries end with.
+TAIL = bytes(range(128, 160)) + bytes(range(1, 9))
 
 
-def windows_of(raw: bytes, size: int = WINDOW) -> list[bytes]:
-    """The whole text in windows: from a space to the first at least `size` bytes on. Runs without one are cut at
-    twice the size."""
-    return re.findall(WINDOWS if size == WINDOW else pattern(size), raw)
+def windows_of(text: str) -> list[bytes]:
+    """The words of the whole text, in order."""
+    return WORD.findall(text.lower().encode())
 
 
-def pattern(size: int) -> re.Pattern:
-    return re.compile(rb"(?s).{%d}[^\x09-\x20]{0,%d}|.+" % (size, size))
+def joined(windows: list[bytes]) -> bytes:
+    return b" " + b" ".join(windows) + b" "
 
 
-WINDOWS = pattern(WINDOW)
+def trained(size: int, texts: list[bytes]) -> bytes:
+    """A dictionary of at most `size` bytes; the texts' own bytes where there are too few to train on."""
+    samples = [t[i : i + 256] for t in texts for i in range(0, len(t), 256)]
+    try:
+        if len(samples) < 16 or sum(map(len, samples)) < 2 * size:
+            raise zstandard.ZstdError("few samples")
+        return zstandard.train_dictionary(size, samples, k=16, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def lifted(toxic: list[bytes], ordinary: list[bytes], least: int, lift: float) -> set[bytes]:
-    """Byte n-grams that at least `least` toxic texts have, and `lift` times as large a share of them as of others."""
-    grams = lambda t: {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}
-    count: Counter = Counter()
+def repeated(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int, least: int, share: float) -> bytes:
+    """The windows that at least `least` toxic texts have, and less than `share` times as large a part of the ordinary
+    texts; ascending by how many have them, the last `size` bytes."""
+    count, others = Counter(), Counter()
     for t in toxic:
-        count.update(grams(t))
-    count = Counter({g: n for g, n in count.items() if n >= least})
-    known, others = count.keys(), Counter()
+        count.update(set(t))
     for t in ordinary:
-        others.update(grams(t) & known)
+        others.update(count.keys() & set(t))
     a, b = max(1, len(toxic)), max(1, len(ordinary))
-    return {g for g, n in count.items() if n / a > lift * (others[g] + 0.5) / b}
-
-
-def passages(text: bytes, grams: set[bytes]) -> list[bytes]:
-    """The maximal runs that the grams cover."""
-    out, start, end = [], 0, -1
-    for i in range(len(text) - GRAM + 1):
-        if text[i : i + GRAM] in grams:
-            if i > end:
-                if end > start:
-                    out.append(text[start:end])
-                start = i
-            end = i + GRAM
-    if end > start:
-        out.append(text[start:end])
-    return out
-
-
-def trained(size: int, samples: list[bytes]) -> bytes:
-    """A dictionary of at most `size` bytes; the samples' own bytes where there are too few to train on."""
-    total = sum(map(len, samples))
-    try:
-        if len(samples) < 16 or total < 2 * size:
-            raise zstandard.ZstdError("few samples")
-        return zstandard.train_dictionary(size, samples, k=32, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+    return joined([w for n, w in sorted((n, w) for w, n in count.items() if n >= least and others[w] / b < share * n / a)])[-size:]
 
 
 @dataclass
 class Gains:
-    """What a window gains. Compressors are made where they are used, as they can't be sent.
-
-    Each window is compressed behind a fixed head that both dictionaries end with: a match is certain, so that the
-    compressor's rule to store what hardly shrinks doesn't hide small gains. The toxic dictionary stands last, where
-    matches are looked for first."""
+    """What windows gain. Compressors are made where they are used, as they can't be sent."""
 
     ordinary: bytes
     toxic: bytes
@@ -98,16 +79,15 @@ class Gains:
 
     def compressors(self) -> tuple:
         if not self.made:
-            flags = zstandard.ZstdCompressionParameters(window_log=17, chain_log=15, hash_log=17, search_log=5, min_match=GRAM, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-            dicts = (self.ordinary + HEAD, self.ordinary + self.toxic + HEAD)
-            self.made = tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=flags) for d in dicts)
+            flags = zstandard.ZstdCompressionParameters(window_log=18, chain_log=18, hash_log=18, search_log=8, min_match=6, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+            self.made = tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=flags) for d in (self.ordinary, self.toxic))
         return self.made
 
     def of(self, windows: list[bytes]) -> np.ndarray:
         if not windows:
             return np.zeros(0, np.int64)
-        lengths = np.fromiter(map(len, windows), np.uint64, len(windows)) + np.uint64(len(HEAD))
-        raw = HEAD + HEAD.join(windows)
+        raw = b"".join(b" " + w + b" " + TAIL for w in windows)
+        lengths = np.fromiter(map(len, windows), np.uint64, len(windows)) + np.uint64(2 + len(TAIL))
         parts = zstandard.BufferWithSegments(raw, np.stack([np.cumsum(lengths) - lengths, lengths], axis=1).tobytes())
         size = [np.fromiter((len(x) for x in c.multi_compress_to_buffer(parts, threads=1)), np.int64, len(windows)) for c in self.compressors()]
         return size[0] - size[1]
@@ -116,7 +96,7 @@ class Gains:
 def features(gains: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
     """For each of n documents: log counts of windows at each gain, and their shares; docs: the document of each window."""
     windows = np.bincount(docs, minlength=n).astype(float)
-    hits = np.stack([np.bincount(docs, gains >= g, minlength=n) for g in GAINS], axis=1)
+    hits = np.stack([np.bincount(docs[gains >= g], minlength=n) for g in GAINS], axis=1)
     return np.concatenate([np.log1p(hits), np.sqrt(hits / np.maximum(windows, 1)[:, None])], axis=1)
 
 
@@ -133,15 +113,24 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
     return w
 
 
-def half(text: bytes) -> int:
-    """The fold of a training text; equal texts share one."""
-    return zlib.crc32(text) & 1
+class Scorer:
+    """Features of texts in batches. Gains of windows are kept, and forgotten when there are more than `most`."""
+
+    def __init__(self, gains: Gains, most: int = 400_000):
+        self.gains, self.most = gains, most
+        self.clear()
 
+    def clear(self) -> None:
+        self.numbers, self.known = Numbers(), np.zeros(0, np.int64)
 
-def batch(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """All windows of the texts, and each window's text."""
-    found = [windows_of(t) for t in texts]
-    return [w for ws in found for w in ws], np.repeat(np.arange(len(found)), [len(ws) for ws in found])
+    def features(self, texts: list[list[bytes]]) -> np.ndarray:
+        if len(self.numbers) > self.most:
+            self.clear()
+        counts = np.fromiter(map(len, texts), np.int64, len(texts))
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
+        if len(self.numbers) > len(self.known):
+            self.known = np.concatenate([self.known, self.gains.of(list(self.numbers)[len(self.known) :])])
+        return features(self.known[at], np.repeat(np.arange(len(texts)), counts), len(texts))
 
 
 @dataclass
@@ -150,38 +139,47 @@ class Model:
     weights: np.ndarray
     shift: float
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        windows, owner = batch(texts)
-        x = features(self.gains.of(windows), owner, len(texts))
+    def scorer(self) -> Scorer:
+        return Scorer(self.gains)
+
+    def scores(self, texts: list[str], scorer: Scorer | None = None) -> np.ndarray:
+        x = (scorer or self.scorer()).features([windows_of(t) for t in texts])
         z = x @ self.weights[:-1] + self.weights[-1] + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def gains_of(toxic: list[bytes], ordinary: list[bytes], size: int, least: int, lift: float) -> Gains:
-    grams = lifted(toxic, ordinary, least, lift)
-    own = [p for t in toxic for p in passages(t, grams)]
-    return Gains(trained(size, [w for t in ordinary for w in windows_of(t, 512)]), trained(size // 32, own))
+FOLDS = 5
 
 
-def fit(toxic: list[bytes], ordinary: list[bytes], level: float = 0.7, size: int = 65536, least: int = 4, lift: float = 12.0) -> Model | None:
+def fold_of(text: str) -> int:
+    """The fold of a training text; equal texts share one."""
+    return zlib.crc32(text.encode()) % FOLDS
+
+
+def fit(toxic: list[str], ordinary: list[str], level: float = 0.7, ordinary_size: int = 112_640, toxic_size: int = 16_384, least: float = 0.015, share: float = 0.1) -> Model | None:
     """The calibrated model; None where a class has fewer than 8 texts. Weights come from texts that the dictionaries
-    haven't seen, by two folds. Then `level` is put where the F1 measure of those texts is best."""
+    haven't seen, by folds. Then `level` is put where the F1 measure of those texts is best. A window counts as repeated
+    from a part `least` of the toxic texts on, and from 4 of them."""
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if min(len(toxic), len(ordinary)) < 8:
         return None
+    words = {t: windows_of(t) for t in (*toxic, *ordinary)}
+
+    def gains_of(fold: int | None) -> Gains:
+        a, b = ([words[t] for t in texts if fold is None or fold_of(t) != fold] for texts in (toxic, ordinary))
+        return Gains(trained(ordinary_size, [joined(t) for t in b]), repeated(a, b, toxic_size, max(4, ceil(least * len(a))), share))
+
     xs, ys = [], []
-    for fold in (0, 1):
-        known = gains_of([t for t in toxic if half(t) != fold], [t for t in ordinary if half(t) != fold], size, least, lift)
-        held = [(t, y) for y, texts in ((1, toxic), (0, ordinary)) for t in texts if half(t) == fold]
-        windows, owner = batch([t for t, _ in held])
-        xs.append(features(known.of(windows), owner, len(held)))
+    for fold in range(FOLDS):
+        held = [(t, y) for y, texts in ((1, toxic), (0, ordinary)) for t in texts if fold_of(t) == fold]
+        xs.append(Scorer(gains_of(fold)).features([words[t] for t, _ in held]))
         ys.append(np.array([y for _, y in held], float))
     x, y = np.concatenate(xs), np.concatenate(ys)
     weights = logistic(x, y)
     z = x @ weights[:-1] + weights[-1]
-    order = np.argsort(-z)
+    order = np.argsort(-z, kind="stable")
     caught = np.cumsum(y[order])
     f1 = 2 * caught / (np.arange(1, len(y) + 1) + y.sum())
     best = int(np.argmax(f1))
     cut = (z[order[best]] + z[order[min(best + 1, len(z) - 1)]]) / 2
-    return Model(gains_of(toxic, ordinary, size, least, lift), weights, float(np.log(level / (1 - level)) - cut))
+    return Model(gains_of(None), weights, float(np.log(level / (1 - level)) - cut))

@@ -17,15 +17,16 @@ LEVEL = 0.7
 
 def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2500, most_ordinary: int = 5000, most_bytes: int = 1 << 16, key: str = "doc_id", text: str = "text", label: str = "toxic") -> compression.Model | None:
     """A model of labelled documents: of each label the first by a hash of the key, `most_toxic` and `most_ordinary` at
-    most, without texts over `most_bytes`. Keys are chosen from the labels alone and texts fetched for them. None where
+    most, without texts over `most_bytes`. Keys are chosen from the labels alone and texts fetched for them; a key that
+    several rows have gives its last text by code point, and counts as toxic where one of its labels does. None where
     labels are too few to fit."""
-    marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
-    order = [F.xxhash64(key), F.col(key)]
+    marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
+    order = [F.xxhash64("k"), F.col("k")]
     some = marked.where("y = 1").orderBy(*order).limit(most_toxic).unionByName(marked.where("y = 0").orderBy(*order).limit(most_ordinary))
-    rows = docs.select(key, text).where(F.octet_length(text) <= most_bytes).join(F.broadcast(some), key)  # at most the two limits
-    found = rows.select(text, "y").toArrow().to_pylist()
-    found.sort(key=lambda r: r[text])  # the same model whatever order rows come in
-    texts = lambda y: [r[text].encode() for r in found if r["y"] == y and r[text]]
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") <= most_bytes)
+    found = rows.join(F.broadcast(some), "k").groupBy("k", "y").agg(F.max("t").alias("t")).select("t", "y").toArrow().to_pylist()  # at most the two limits
+    found.sort(key=lambda r: r["t"])  # the same model whatever order rows come in
+    texts = lambda y: [r["t"] for r in found if r["y"] == y and r["t"]]
     return compression.fit(texts(1), texts(0), LEVEL)
 
 
@@ -36,10 +37,11 @@ def score(text: Column, model: compression.Model | None) -> Column:
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = model.scorer()
         for batch in batches:
             out = []
             for a, b in chunks(batch, 1 << 22):
-                out.extend(model.scores([(t or "").encode() for t in batch.slice(a, b - a).to_pylist()]).tolist())
+                out.extend(model.scores([t or "" for t in batch.slice(a, b - a).to_pylist()], scorer).tolist())
             yield pa.array(out, pa.float64())
 
     return run(text)
