@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,19 +31,77 @@ def on_workers(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a local temporary folder."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a temporary folder stands in on a local master only:
+    executors of a cluster don't share it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Cuts the lineage: the rows written to the shared scratch folder and read again."""
-    path = scratch(df.sparkSession, name)
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Tables:
+    """The tables that a job writes on its way, below one scratch folder. Each cuts the lineage: a lost executor costs the
+    tasks since the last one. Those that nothing reads any more are dropped."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base, self.made = spark, scratch(spark, name), 0
+
+    def written(self, df: DataFrame, name: str, drop: Sequence[DataFrame] = (), codec: str = "snappy") -> DataFrame:
+        """The rows, written and read again; then the tables `drop` that this made go."""
+        self.made += 1
+        path = f"{self.base}/{name}-{self.made}"
+        df.write.option("compression", codec).parquet(path)
+        for old in drop:
+            self.drop(old)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        remove(self.spark, df.scratch_path)
+
+    def clear(self) -> None:
+        remove(self.spark, self.base)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df has it, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+#: A key with more than this part of all rows is hot; there are fewer such keys than this.
+HOT = 4096
+
+
+def met(rows: DataFrame, one: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with `one`, which has a row for each key and says how many of the `total` rows it has. Hot keys, fewer
+    than HOT whatever the data, are broadcast, so that none of them is one task's work; the others meet by shuffle."""
+    hot = F.col(count) * HOT > total
+    loud, rest = F.broadcast(one.where(hot).drop(count)), one.where(~hot).drop(count)
+    return rows.join(loud, key).unionByName(rows.join(loud.select(key), key, "left_anti").join(rest, key))
+
+
+#: Rows of a few numbers that are broadcast at most.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """With a hint to broadcast where the rows, counted, are few; by shuffle beyond that."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

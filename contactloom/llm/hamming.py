@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import written
+from contactloom.llm.common import Tables
 
 BITS = 64
 
@@ -50,6 +50,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int
     if BITS % segment_bits or segment_bits > 32:
         raise ValueError("segment_bits must divide 64 and be at most 32")
     need, m = k + 1, BITS // segment_bits
+    written = Tables(rows.sparkSession, "top-k").written
     rows = rows.where(F.col("code").isNotNull() & F.col("id").isNotNull()).select("id", "code").distinct()
     queries = queries.where(F.col("code").isNotNull() & F.col("id").isNotNull()).select("id", "code").distinct()
     least = rows.withColumn("at", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("at") <= need)

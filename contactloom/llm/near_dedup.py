@@ -1,6 +1,7 @@
 """Near-duplicates by bottom-k sketches.
 
-One hash function orders the shingles of a text; its sketch is the K least. Texts of equal sets are one class.
+One hash function orders the shingles of a text; its sketch is the K least. Texts of equal sets are one class, by a hash
+of the set that a second hash confirms.
 Sketch values are counted over the corpus; a class keeps the rarest ones that it needs, so that two classes whose
 sketches share as many values as a link asks for meet in at least one inverted list (prefix filter). A link of J >= t
 shares each of the K least values of the union with probability t; `shared_at_least` leaves out one link in 10^10.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import let, shingle_hashes, written
+from contactloom.llm.common import Tables, fresh, let, met, shingle_hashes, small
 from contactloom.llm.components import components
 
 K, LONG_K = 48, 192
@@ -50,7 +51,7 @@ def shingle_set(text: Column) -> Column:
 
 
 def summary(text: Column) -> Column:
-    return let(shingle_set(text), lambda s: F.struct(F.size(s).cast("long").alias("n"), F.xxhash64(s).alias("node"), F.slice(s, 1, K).alias("sketch")))
+    return let(shingle_set(text), lambda s: F.struct(F.size(s).cast("long").alias("n"), F.xxhash64(s).alias("node"), F.xxhash64(F.lit(1), s).alias("other"), F.slice(s, 1, K).alias("sketch")))
 
 
 def needed(n: Column, k: int, percent: int) -> Column:
@@ -120,19 +121,20 @@ def mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     rows = labelled(lists, labels, "node", "c")
     groups = rows.groupBy("value", "c").agg(F.count(F.lit(1)).alias("g"))
     mixed = groups.groupBy("value").agg(F.max_by("c", F.struct("g", "c")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    return written(rows.join(mixed, "value"), "lists")
+    return rows.join(mixed, "value")
 
 
-def apart(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def apart(tables: Tables, lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every pair of a list whose classes are in different components and can link. Classes that such lists name meet
     again in lists of their whole sets, where few but real partners do."""
-    some = mixed_lists(lists, labels).select("node").distinct()
-    whole = sets.join(some, "node").select("node", F.size("set").cast("long").alias("n"), F.col("set").alias("sketch"))
-    rows = mixed_lists(inverted_lists(whole, WHOLE, percent), labels)
+    some = tables.written(mixed_lists(lists, labels).select("node").distinct(), "mixed")
+    whole = sets.join(small(some), "node").select("node", F.size("set").cast("long").alias("n"), F.col("set").alias("sketch"))
+    rows = tables.written(mixed_lists(inverted_lists(whole, WHOLE, percent), labels), "whole-lists", [some])
     x, y = (rows.select("value", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "n", "k", "at", "c")], (F.col("c") == F.col("most")).alias(f"{p}_most")) for p in "xy")
     near = can_link(*[F.col(f"{p}_{c}") for p in "xy" for c in ("at", "k", "n")], WHOLE, percent)
     near = near & (F.col("x_c") != F.col("y_c")) & (F.col("y_most") | (F.col("x_node") < F.col("y_node")))
-    return x.where("NOT x_most").join(y, "value").where(near).select(*ordered(F.col("x_node"), F.col("y_node"))).distinct()
+    pairs = x.where("NOT x_most").join(y, "value").where(near).select(*ordered(F.col("x_node"), F.col("y_node"))).distinct()
+    return tables.written(pairs, "apart", [rows])
 
 
 def spanning(lists: DataFrame, percent: int) -> DataFrame:
@@ -143,55 +145,84 @@ def spanning(lists: DataFrame, percent: int) -> DataFrame:
     return lists.join(hub, "value").where((F.col("node") != F.col("hub.node")) & near).select(*ordered(F.col("node"), F.col("hub.node"))).distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
+def sketched(tables: Tables, df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, n, node), and classes (node, n, sketch, one, least, rows): `one` is a row whose text stands for the class,
+    `least` its smallest key. Where sets that differ share a node, the second hash goes into theirs."""
+    base = tables.written(df.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), summary(F.col(text)).alias("s")).select("key", "hash", "s.*"), "sketches")
+    of_one = F.struct(F.col("key").isNull().alias("no"), "key", "hash")
+    several = base.groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo != hi").select("node", F.lit(True).alias("clash"))
+    if not several.isEmpty():
+        named = base.join(several, "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "other")).otherwise(F.col("node"))).drop("clash")
+        base = tables.written(named, "sketches", [base])
+    classes = base.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(of_one).alias("one"), F.min("key").alias("least"), F.count(F.lit(1)).alias("rows"))
+    classes = tables.written(classes, "classes")
+    return tables.written(base.select("key", "n", "node"), "rows", [base]), classes
+
+
+def components_of(tables: Tables, df: DataFrame, classes: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """(node, label) of the classes that link with another."""
+    few = inverted_lists(classes.select("node", "n", "sketch"), K, percent).select("node").distinct()
+    wanted = few.join(classes, "node").select("node", F.col("one.key").alias("k"), F.col("one.hash").alias("h"))
+    wanted = small(tables.written(wanted, "wanted"))  # so that texts of other rows stay where they are
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    rows = rows.join(wanted, (F.col("hash") == F.col("h")) & F.col("key").eqNullSafe(F.col("k")))
+    rows = rows.select("node", shingle_set(F.col("text")).alias("set")).groupBy("node").agg(F.first("set").alias("set"))  # rows that repeat a key and a text
+    sets = tables.written(rows, "sets")
+    long = sets.select("node", F.size("set").cast("long").alias("n"), F.slice("set", 1, LONG_K).alias("sketch"))
+    lists = tables.written(inverted_lists(long, LONG_K, percent), "lists")
+    pairs = tables.written(estimated(spanning(lists, percent), classes, percent), "pairs")
+
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a"))
+    links = tables.written(confirmed(best, sets, percent), "links")
+    labels = components(links)
+    rest = across(pairs, labels).join(best, ["a", "b"], "left_anti")
+    links = tables.written(links.union(confirmed(rest, sets, percent)), "links", [links])
+    tables.drop(labels)
+    labels = components(links)
+    left = apart(tables, lists, labels, sets, percent)
+    more = tables.written(confirmed(estimated(left.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), classes, percent), sets, percent), "links", [left, lists, pairs])
+    tables.drop(sets)
+    if more.isEmpty():
+        return labels
+    tables.drop(labels)
+    return components(links.union(more))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, tables: Tables | None = None) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row.
 
     Links: 100 * intersection >= percent * union of shingle sets (percent >= 80). component_id is the smallest key that
     can be reached; kept where it is the row's own. Texts with fewer than five words are one shingle; null and empty
     texts have none and link with nothing, not even each other. Rows of one key are rows of their own; among rows that
     share their component's smallest key all are kept. A null key is reached only if no other is. Other columns aren't
-    read. An empty table gives an empty table."""
-    base = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), summary(F.col(text)).alias("s")).select("key", "hash", "s.*")
-    base = written(base, "sketches")
-    of_one = F.struct(F.col("key").isNull().alias("no"), "key", "hash")  # a row whose text stands for the class
-    classes = base.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(of_one).alias("one"))
-    classes = written(classes, "classes")
-
-    few = inverted_lists(classes, K, percent).select("node").distinct()
-    wanted = few.join(classes, "node").select("node", F.col("one.key").alias("__key"), F.col("one.hash").alias("__hash"))
-    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.xxhash64(text).alias("__hash"))
-    rows = rows.join(wanted, (rows["__hash"] == wanted["__hash"]) & rows["__key"].eqNullSafe(wanted["__key"]))
-    rows = rows.groupBy("node").agg(F.first("__text").alias("__text"))  # rows that repeat a key and a text
-    sets = written(rows.select("node", shingle_set(F.col("__text")).alias("set")), "sets")
-    long = sets.select("node", F.size("set").cast("long").alias("n"), F.slice("set", 1, LONG_K).alias("sketch"))
-    lists = written(inverted_lists(long, LONG_K, percent), "lists")
-    pairs = written(estimated(spanning(lists, percent), classes, percent), "pairs")
+    read. An empty table gives an empty table. Very long texts are one row's array of 8 bytes a word."""
+    tables = tables or Tables(df.sparkSession, "near-duplicates")
+    base, classes = sketched(tables, df, key, text)
+    labels = components_of(tables, df, classes, key, text, percent)
+    classes = tables.written(classes.select("node", "least", "rows"), "least", [classes])
 
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a"))
-    links = written(confirmed(best, sets, percent), "links")
-    labels = written(components(links), "labels")
-    rest = across(pairs, labels).join(best, ["a", "b"], "left_anti")
-    links = links.union(written(confirmed(rest, sets, percent), "links"))
-    labels = written(components(links), "labels")
-    left = apart(lists, labels, sets, percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.union(written(confirmed(estimated(left, classes, percent), sets, percent), "links"))
-    labels = components(links)
+    members = classes.join(labels, "node")
+    least = members.groupBy("label").agg(F.min("least").alias("lowest"), F.count(F.lit(1)).alias("members"))
+    lowest = met(members.select("node", "label"), least, "label", "members", labels.count()).select("node", "lowest")
+    found = classes.join(lowest, "node", "left").select("node", F.coalesce("lowest", "least").alias("found"), "rows")
+    found = tables.written(found, "found", [classes, labels])
 
-    rows = labelled(base, labels, "node", "label")
-    least = rows.where("n > 0").groupBy("label").agg(F.min("key").alias("least"))
-    rows = rows.join(least, "label", "left")
-    found = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key"))
-    return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"), found.eqNullSafe(F.col("key")).alias("kept"))
+    rows = met(base.where("n > 0"), found, "node", "rows", base.count()).select("key", "n", "found")
+    rows = rows.unionByName(base.where("n = 0").select("key", "n", F.col("key").alias("found")))
+    return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("found").alias("component_id"), F.col("found").eqNullSafe(F.col("key")).alias("kept"))
 
 
 def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """The rows that are kept, one of each group; all columns stay. Rows that repeat a key and a shingle set are one.
     Texts without words are in no group and all stay."""
-    kept = near_duplicates(df, key, text, percent).where("kept")
-    counts = written(kept.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"), F.max("n_shingles").alias("__most")), "kept")
-    rows = df.join(counts, df[key].eqNullSafe(counts["__key"]))
-    single = rows.where("__n = 1").select(*df.columns)
-    several = rows.where("__n > 1").withColumn("__s", summary(df[text]))
-    empty = several.where("__s.n = 0").select(*df.columns)
-    several = several.where("__s.n > 0").withColumn("__node", F.col("__s.node")).dropDuplicates(["__key", "__node"]).select(*df.columns)
+    tables, found = (Tables(df.sparkSession, n) for n in ("deduplicated", "near-duplicates"))
+    k, times, s, node = fresh(df, "k", "times", "s", "node")
+    kept = near_duplicates(df.select(key, text), key, text, percent, found).where("kept")
+    counts = tables.written(kept.groupBy(F.col(key).alias(k)).agg(F.count(F.lit(1)).alias(times)), "kept")
+    found.clear()
+    rows = df.join(small(counts), F.col(key).eqNullSafe(F.col(k)))
+    single = rows.where(F.col(times) == 1).select(*df.columns)
+    several = rows.where(F.col(times) > 1).withColumn(s, summary(F.col(text)))
+    empty = several.where(F.col(f"{s}.n") == 0).select(*df.columns)
+    several = several.where(F.col(f"{s}.n") > 0).withColumn(node, F.struct(F.col(f"{s}.node"), F.col(f"{s}.other"))).dropDuplicates([k, node]).select(*df.columns)
     return single.unionByName(several).unionByName(empty)
