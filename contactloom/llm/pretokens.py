@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -26,25 +28,27 @@ def pretokens(text: str) -> list[str]:
     return FAST.findall(text) if is_plain(text) else FULL.findall(text)
 
 
-UNEVEN = re.compile(r" \s")
+def is_even(texts: pa.Array) -> pa.Array:
+    """Which texts are plain and have no white space behind a space: no match crosses a cut before one of their spaces."""
+    return pc.invert(pc.or_(pc.match_substring_regex(texts, OTHER.pattern), pc.match_substring_regex(texts, r" [ \t\n\r]")))
 
 
-def pieces(text: str) -> list[str] | None:
-    """A plain text cut before its spaces, where no match crosses a cut: where no space has white space behind it. The
-    space itself is left out, and the first piece, which has none, is marked. None for other texts."""
-    if UNEVEN.search(text) or not is_plain(text):
-        return None
-    out = text.split(" ")
-    out[0] = FIRST + out[0]
-    return out
+#: Marks the piece at a text's start, which has no space before it; no plain text has it.
+FIRST = "\0"
 
 
-#: Marks the first piece; no plain text has it.
-FIRST = "\0"
+def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Even texts cut before their spaces, the spaces left out and first pieces marked: all pieces in a row, and how many
+    each text has."""
+    found = pc.split_pattern(pc.binary_join_element_wise(FIRST, texts, ""), " ")
+    return found.flatten(), pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def piece_tokens(piece: str) -> list[str]:
-    return FAST.findall(piece[1:] if piece[:1] == FIRST else " " + piece)
+def piece_tokens(found: pa.Array) -> list[list[str]]:
+    """The matches of each piece."""
+    alone = pc.utf8_is_alpha(found).to_numpy(zero_copy_only=False).tolist()
+    given = found.to_numpy(zero_copy_only=False).tolist()
+    return [[" " + p] if a else FAST.findall(p[1:] if p[:1] == FIRST else " " + p) for p, a in zip(given, alone, strict=True)]
 
 
 class Numbers(dict):
@@ -59,14 +63,22 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start + 1, ... of each range, one range after the other."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+    kind = np.int32 if total + int(starts.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sums of runs of values, `counts` of them a run."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(counts)])])
 
 
 class WordIds:
     """Ids of words, each word encoded once. Forgets all when it holds more than `most` words, so that a worker that
     serves many tasks stays small; a forgotten word is encoded anew."""
 
-    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], dtype: type, most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], dtype: type, most: int = 700_000):
         self.encode, self.dtype, self.most = encode, dtype, most
         self.clear()
 
@@ -92,16 +104,13 @@ class WordIds:
         self.lengths[self.known : count] = n
         self.used, self.known = self.used + total, count
 
-    def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, given as lists of words, in a row; and how many each text has."""
+    def ids(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all lists of words in a row, and how many each list has."""
         if len(self.numbers) > self.most:
             self.clear()
-        counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(texts)), np.int64, int(counts.sum()))
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if len(self.numbers) > self.known:
-            new = list(self.numbers)[self.known :] if self.known else list(self.numbers)
-            self.learn(new)
+            self.learn(list(islice(self.numbers, self.known, None)))
         n = self.lengths[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        return self.flat[ranges(self.starts[at], n)], np.diff(ends[bounds])
+        return self.flat[ranges(self.starts[at], n)], sums(n, counts)

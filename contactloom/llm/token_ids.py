@@ -1,38 +1,40 @@
 """Token ids as files: frequency-ranked ids in variable-length bytes.
 
-Texts are encoded once and the ids kept in the shared scratch folder. Ids are counted in the tasks and ranked over
+Texts are encoded once and the ids kept in the shared scratch folder. Ids are counted in the same tasks and ranked over
 the corpus, so that the 256 most frequent take one byte. Documents are dealt by key range, sorted, and written in
 blocks: Parquet files whose rows are blocks (part, block, start within the part, keys, lengths, control bytes, data
-bytes) beside the table of ids by rank. A document starts at a control byte of its own. Reading adds up the parts' ids, decodes block by block, and gives a row a
-document.
+bytes) beside the table of ids by rank. A document starts at a control byte of its own. Reading adds up the parts' ids,
+decodes block by block, and gives a row a document.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactloom.llm import varbytes
-from contactloom.llm.common import cut_points, on_workers, part_of, scratch
-from contactloom.llm.pretokens import WordIds, piece_tokens, pieces
+from contactloom.llm.common import Tables, cut_points, on_workers, part_of
+from contactloom.llm.pretokens import WordIds, is_even, piece_tokens, pieces, ranges, sums
 
 #: Characters that one round of encoding takes, and ids that a block holds (a longer document is a block).
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 23
 BLOCK_IDS = 1 << 18
 #: Rows of a part, a range of keys in the files.
 PART_ROWS = 2000
 
 
 class Encoder:
-    """The library's ids of whole texts. Plain texts go piece by piece, cut before spaces, through a dictionary, and each
-    new word once through the library's model; other texts, and those with a special token's string, go whole through
-    the library."""
+    """The library's ids of whole texts. Plain texts are cut before spaces, each distinct piece of a batch into words, and
+    each new word goes once through the library's model; other texts, and those with a special token's string, go whole
+    through the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -43,32 +45,35 @@ class Encoder:
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
         moved = [b for b in range(256) if b not in set(kept)]
         self.table = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
-        self.words = WordIds(self.of_pieces, np.uint32)
-        self.known: dict[str, list[int]] = {}
-
-    def of_word(self, word: str) -> list[int]:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.known[word] = [t.id for t in self.whole.model.tokenize(word.encode().decode("latin-1").translate(self.table))]
-        return ids
-
-    def of_pieces(self, pieces: list[str]) -> list[list[int]]:
-        if len(self.known) > self.words.most:
-            self.known = {}
-        return [[i for w in piece_tokens(p) for i in self.of_word(w)] for p in pieces]
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists, other = [], {}
-        for i, t in enumerate(texts):
-            parts = pieces(t) if self.by_word and not any(s in t for s in self.special) else None
-            lists.append(parts or [])
-            if parts is None:
-                other[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32)
-        flat, counts = self.words.ids(lists)
-        if other:
-            each = [other.get(i, p) for i, p in enumerate(np.split(flat, np.cumsum(counts)[:-1]))]
-            flat, counts = np.concatenate(each), np.array([len(p) for p in each], np.int64)
-        return flat, counts
+        self.space = self.table[32]
+        self.words = WordIds(self.of_words, np.uint32)
+
+    def of_words(self, words: list[str]) -> list[list[int]]:
+        one, space, table = self.whole.model.tokenize, self.space, self.table
+        spelled = (space + w[1:] if w[0] == " " and w.isascii() and w[1:].isalpha() else w.encode().decode("latin-1").translate(table) for w in words)
+        return [[t.id for t in one(w)] for w in spelled]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        texts = pc.fill_null(texts, "")
+        even = is_even(texts) if self.by_word else pa.array([False] * len(texts))
+        for s in self.special:
+            even = pc.and_not(even, pc.match_substring(texts, s))
+        found, counts = pieces(texts.filter(even))
+        coded = found.dictionary_encode()  # so that Python sees each piece of the batch once
+        gc.disable()  # the lists made here hold no cycles, and there are very many of them
+        try:
+            flat, n = self.words.ids(piece_tokens(coded.dictionary))
+        finally:
+            gc.enable()
+        at = coded.indices.to_numpy()
+        flat, counts = flat[ranges((np.cumsum(n) - n)[at], n[at])], sums(n[at], counts)
+        even = even.to_numpy(zero_copy_only=False)
+        if even.all():
+            return flat, counts
+        own = iter(np.split(flat, np.cumsum(counts)[:-1]))
+        each = [next(own) if e else np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32) for e, t in zip(even, texts.to_pylist(), strict=True)]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
 
 
 @cache
@@ -95,52 +100,63 @@ def binaries(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
+def width_of(path: str, end_id: int | None) -> str:
+    """The numpy type that holds every id."""
+    return "<u2" if max(encoder(path).whole.get_vocab_size(), end_id or 0) < 1 << 16 else "<u4"
+
+
 def encoded(df: DataFrame, path: str, end_id: int | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids): ids as little-endian unsigned 32-bit integers, with `end_id` after each document's. Null text is
-    empty; rows keep their order and number."""
+    """(k, ids, counts): keys, and ids as little-endian unsigned integers of `width_of`, with `end_id` after each
+    document's. Null text is empty; rows keep their order and number. Each task ends with a row that has no ids, and how
+    often the task had each id as 64-bit integers."""
     on_workers(df.sparkSession)
+    width = width_of(path, end_id)
+    names = ["k", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc, total, kind = encoder(path), np.zeros(0, np.int64), None
         for batch in batches:
-            texts = batch.column(1)
+            texts, kind = batch.column(1), batch.column(0).type
             for a, b in chunks(texts, BATCH_CHARS):
-                flat, counts = enc.ids([t or "" for t in texts.slice(a, b - a).to_pylist()])
+                flat, counts = enc.ids(texts.slice(a, b - a))
                 if end_id is not None:
                     flat = np.insert(flat, np.cumsum(counts), end_id)
                     counts = counts + 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binaries(flat.astype("<u4", copy=False), counts).cast(pa.binary())], [key, "ids"])
+                got = np.bincount(flat, minlength=len(total))
+                got[: len(total)] += total
+                total = got
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), binaries(flat.astype(width), counts).cast(pa.binary()), pa.nulls(b - a, pa.binary())], names)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids binary")
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids binary, counts binary")
 
 
-def ranked_ids(ids: DataFrame) -> DataFrame:
-    """(id, n, rank): ids of the corpus by falling count, then by id; as many rows as the vocabulary has at most."""
+def ranked_ids(counts: DataFrame) -> DataFrame:
+    """(id, n, rank) from the tasks' counts: ids of the corpus by falling count, then by id; as many rows as the vocabulary
+    has at most."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(0)
-            for a, b in chunks(column, 1 << 24):
-                got = np.bincount(np.frombuffer(b"".join(column.slice(a, b - a).to_pylist()), "<u4"), minlength=len(total))
-                got[: len(total)] += total
-                total = got
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
+            for packed in batch.column(0).to_pylist():
+                n = np.frombuffer(packed, "<i8")
+                found = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n[found], pa.int64())], ["id", "n"])
 
-    counts = ids.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(W.orderBy(F.col("n").desc(), "id")) - 1)
+    total = counts.mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return total.withColumn("rank", F.row_number().over(W.orderBy(F.col("n").desc(), "id")) - 1)
 
 
 def write(df: DataFrame, folder: str, path: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> None:
     """Encodes the texts and writes `folder`/ids (blocks in ascending order of the numeric key) and `folder`/ranks. Rows of one
-    key are ordered by their ids; a null key comes first; an empty table writes empty tables."""
+    key are ordered by their ids; a null key comes first; an empty table writes empty tables. Other columns aren't read,
+    and the key's name isn't written."""
     spark = df.sparkSession
-    kept = scratch(spark, "ids")
-    encoded(df, path, end_id, key, text).write.option("compression", "zstd").parquet(kept)
-    ids = spark.read.parquet(kept)
-    ranked_ids(ids).write.parquet(f"{folder}/ranks")
+    tables = Tables(spark, "ids")
+    made = tables.written(encoded(df, path, end_id, key, text), "ids", codec="zstd")
+    ids, width = made.where("ids IS NOT NULL").select("k", "ids"), width_of(path, end_id)
+    ranked_ids(made.where("ids IS NULL").select("counts")).write.parquet(f"{folder}/ranks")
     table = spark.read.parquet(f"{folder}/ranks").select("id", "rank").toPandas()  # the vocabulary at most
     rank_of = np.zeros(int(table["id"].max()) + 1 if len(table) else 0, np.uint32)
     rank_of[table["id"]] = table["rank"]
@@ -153,10 +169,10 @@ def write(df: DataFrame, folder: str, path: str, end_id: int | None = None, key:
             column = batch.column(1)
             for a, b in chunks(column, 1 << 22):
                 part = column.slice(a, b - a).to_pylist()
-                counts = np.fromiter(map(len, part), np.int64, len(part)) // 4
-                control, n_control, data, n_data = varbytes.encode_rows(shared.value[np.frombuffer(b"".join(part), "<u4")], counts)
+                counts = np.fromiter(map(len, part), np.int64, len(part)) // np.dtype(width).itemsize
+                control, n_control, data, n_data = varbytes.encode_rows(shared.value[np.frombuffer(b"".join(part), width)], counts)
                 arrays = [batch.column(0).slice(a, b - a), pa.array(counts, pa.int32()), binaries(control, n_control).cast(pa.binary()), binaries(data, n_data).cast(pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, [key, "n", "control", "data"])
+                yield pa.RecordBatch.from_arrays(arrays, ["k", "n", "control", "data"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, start = None, 0, 0
@@ -185,16 +201,17 @@ def write(df: DataFrame, folder: str, path: str, end_id: int | None = None, key:
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"part int, block bigint, start bigint, keys array<{kind}>, lengths array<int>, control binary, data binary"
-    rows = ids.select(key, "ids").mapInArrow(coded, f"`{key}` {kind}, n int, control binary, data binary")
+    rows = ids.mapInArrow(coded, f"k {kind}, n int, control binary, data binary")
     # cut points of the keys alone, so that nothing is coded twice to find ranges
-    rows = rows.withColumn("part", part_of(F.col(key), cut_points(ids, key, PART_ROWS)).cast("int"))
-    rows = rows.repartition("part").sortWithinPartitions("part", key, "n", "data", "control")
+    rows = rows.withColumn("part", part_of(F.col("k"), cut_points(ids, "k", PART_ROWS)).cast("int"))
+    rows = rows.repartition("part").sortWithinPartitions("part", "k", "n", "data", "control")
     rows.mapInArrow(blocks, schema).write.option("compression", "uncompressed").parquet(f"{folder}/ids")
+    tables.drop(made)
 
 
 def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     """(key, start, ids) of each document in the files: how many ids stand before it, and its ids as little-endian
-    unsigned 32-bit integers."""
+    unsigned 32-bit integers. `key` names the first column; any name but start and ids."""
     on_workers(spark)
     table = spark.read.parquet(f"{folder}/ranks").select("id", "rank").toPandas().sort_values("rank")
     shared = spark.sparkContext.broadcast(table["id"].to_numpy(np.uint32))
