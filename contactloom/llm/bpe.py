@@ -25,11 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm import varbytes
-from contactloom.llm.common import on_workers, written
+from contactloom.llm.common import Tables, on_workers, spread
 from contactloom.llm.pretokens import Numbers, pretokens, ranges
 from contactloom.llm.token_ids import binaries, chunks
 
+#: Characters of a block; its task holds the words of one, and a longer text is a block.
 BLOCK_CHARS = 1 << 25
+#: Bytes of text for each bucket of words, so that buckets and the tasks that put blocks together grow with the corpus.
+BUCKET_BYTES = 1 << 24
 
 
 @cache
@@ -130,7 +133,7 @@ def exploded(df: DataFrame, key: str, text: str, buckets: int, block_chars: int)
     return df.select(key, text).mapInArrow(run, FIELDS.format(key=kind))
 
 
-def word_ids(words: DataFrame, path: str, key: str) -> DataFrame:
+def word_ids(words: DataFrame, path: str, parts: int) -> DataFrame:
     """For each row of packed words the row of their ids: how many each word has, and all in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +155,10 @@ def word_ids(words: DataFrame, path: str, key: str) -> DataFrame:
                 n = np.fromiter(map(len, out), np.uint32, len(out))
                 yield row(key_type, block, bucket, None, None, squeeze(n), squeeze(np.fromiter((i for ids in out for i in ids), np.uint32, int(n.sum()))))
 
-    return words.repartition("bucket").mapInArrow(run, words.schema)
+    return words.repartition(parts, "bucket").mapInArrow(run, words.schema)
 
 
-def assembled(rows: DataFrame, key: str, path: str, decode: bool) -> DataFrame:
+def assembled(rows: DataFrame, key: str, path: str, decode: bool, parts: int) -> DataFrame:
     """(key, ids), with `decode` also their bytes, from a block's rows in bucket order, the one of bucket -1 first."""
     kind = rows.schema["keys"].dataType.elementType.simpleString()
     names = [key, "ids", *["decoded"] * decode]
@@ -193,7 +196,7 @@ def assembled(rows: DataFrame, key: str, path: str, decode: bool) -> DataFrame:
         if head is not None:
             yield from flush()
 
-    return rows.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, f"`{key}` {kind}, ids binary" + ", decoded binary" * decode)
+    return rows.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(run, f"`{key}` {kind}, ids binary" + ", decoded binary" * decode)
 
 
 def bytes_of(ids: np.ndarray, counts: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -209,10 +212,10 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", bl
     `decode` also `decoded`, the bytes that `decoded()` gives for them, in the same task. Null and empty texts have none. Repeated rows and keys, and null keys, give a row each; an empty table an empty one."""
     spark = df.sparkSession
     on_workers(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(exploded(df, key, text, buckets, block_chars), "words")
-    ids = word_ids(rows.where("bucket >= 0"), path, key)
-    return assembled(rows.where("bucket < 0").union(ids), key, path, decode)
+    parts = spread(df.agg(F.sum(F.octet_length(text))).first()[0] or 0, BUCKET_BYTES, 1, 1 << 14)
+    rows = Tables(spark, "bpe").written(exploded(df, key, text, parts, block_chars), "words")
+    ids = word_ids(rows.where("bucket >= 0"), path, parts)
+    return assembled(rows.where("bucket < 0").union(ids), key, path, decode, parts)
 
 
 def decoded(ids: Column, path: str) -> Column:
