@@ -6,10 +6,11 @@ what is above is shared anew. A stream up to its target is cut into blocks of eq
 the source's quota. A splitting tree deals the quotas to output shards: a node's blocks are split in two by a
 multivariate-hypergeometric draw, as if the halves were drawn without replacement, until a node is one shard. A
 shard takes disjoint blocks of each source, permuted by an affine map, and orders what it has by a hash. Documents stay
-whole. A stream stops at the document nearest its target; then the one document of the source that brings what is taken
-still nearer is taken once more or less.
+whole. A stream stops at the document nearest its target; then one document of the source is taken once more and one
+once less, or only one of the two, whichever brings what is taken nearest to the target.
 
-The tree works on one row a node with an array over the sources. Documents meet only sums by (source, chunk).
+The tree works on one row a node with an array over the sources, so sources are thousands, not millions. Documents meet
+only sums by (source, chunk).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import WORD, let, spread, unit, written
+from contactloom.llm.common import WORD, Tables, fresh, let, spread, unit
 
 #: A prime above any number of blocks, so that multiplying by it permutes block numbers.
 PRIME = (1 << 31) - 1
@@ -83,9 +84,10 @@ def split(quotas: Column, draws: Column, seed: Column) -> Column:
     return F.aggregate(quotas, start, step, lambda s: s["out"])
 
 
-def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+def splitting_tree(quotas: DataFrame, shards: int, seed: int, tables: Tables | None = None) -> DataFrame:
     """From one row with `quotas` array<bigint>: rows (shard, quotas), whose sums over shards are the quotas given."""
-    nodes = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "quotas")
+    tables = tables or Tables(quotas.sparkSession, "split")
+    nodes, last = quotas.select(F.lit(0).alias("lo"), F.lit(shards).alias("hi"), "quotas"), []
     while shards > 1:
         shards = (shards + 1) // 2
         size, left = F.col("hi") - F.col("lo"), F.floor((F.col("hi") - F.col("lo")) / 2).cast("int")
@@ -100,23 +102,29 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
                 F.struct(mid.alias("lo"), "hi", F.zip_with("quotas", "__left", lambda q, x: q - x).alias("quotas")),
             )
         )
-        nodes = written(nodes.select(F.inline(parts)), "split")  # one level at a time, else expressions nest
+        nodes = tables.written(nodes.select(F.inline(parts)), "split", last)  # one level at a time, else expressions nest
+        last = [nodes]
     return nodes.select(F.col("lo").alias("shard"), "quotas")
 
 
-def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), shards: int = 16, repeats: int = 3, seed: int = 17, chunk_rows: int = 500, content: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3), shards: int = 16, repeats: int = 3, seed: int = 17, chunk_rows: int = 500, content: str = "text") -> DataFrame:
     """The rows with size, source_size, target and `draws`: one struct (shard int, copy int, order long) for each time
     the mix takes the row, none where it is left out. `order` is the shuffled place in a shard.
 
     Sources are ordered by code point, null (a source like others) last, and take the weights in turn. Rows alike in
     key, source and content are interchangeable; other rows of one key are told apart by content. Rows of size 0 and
-    empty tables give no error: their target is 0. Columns of the names made here are replaced."""
-    spark = df.sparkSession
+    empty tables give no error: their target is 0. Columns of the four names made here are replaced, all others stay,
+    whatever their names. All columns that the caller goes on to use move in one shuffle; for wide rows, mix a table of
+    keys, sizes and hashes, as the pipeline does."""
+    made = ("size", "source_size", "target", "draws")
+    keep = [c for c in df.columns if c not in made]
+    own = fresh(df, "h", "chunk", "s", "sum", "times", *made)
+    h, chunk, s, so_far, times, n, source_size, target, drawn = own
+    tables, spark = Tables(df.sparkSession, "mix"), df.sparkSession
     parts = spread(df.count(), chunk_rows, 256)
-    df = df.withColumn("size", size).withColumn("__hash", F.xxhash64(F.lit(seed), F.col(key), F.col(content)))
-    df = df.withColumn("__chunk", F.shiftrightunsigned("__hash", 65 - parts.bit_length()) if parts > 1 else F.lit(0))
-    df = df.withColumn("__source", F.col(source))
-    sums = written(df.groupBy("__source", "__chunk").agg(F.sum("size").alias("__n")), "mix")
+    df = df.withColumns({n: size, h: F.xxhash64(F.lit(seed), F.col(key), F.col(content)), s: F.col(source)}).select(*keep, n, h, s)
+    df = df.withColumn(chunk, F.shiftrightunsigned(h, 65 - parts.bit_length()) if parts > 1 else F.lit(0))
+    sums = tables.written(df.groupBy(F.col(s).alias("__source"), F.col(chunk).alias("__chunk")).agg(F.sum(n).alias("__n")), "sums")
 
     ranked = sums.groupBy("__source").agg(F.sum("__n").alias("source_size"))
     ranked = ranked.withColumn("__rank", F.row_number().over(W.orderBy(F.col("__source").asc_nulls_last())))
@@ -124,48 +132,83 @@ def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id"
     ranked = targets(ranked.withColumn("weight", F.get(turn, (F.col("__rank") - 1) % len(weights))), repeats)
     block = F.greatest(F.lit(1.0), F.sum("source_size").over(W.partitionBy()) / F.lit(float(BLOCKS)))
     ranked = ranked.withColumn("__block", block).withColumn("__quota", F.ceil(F.col("target") / F.col("__block")).cast("long"))
-    ranked = written(ranked, "mix")
+    ranked = tables.written(ranked, "sources")
 
     one = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("__rank", "__quota"))), lambda x: x["__quota"]).alias("quotas"))
-    leaves = splitting_tree(one, shards, seed).select("shard", F.posexplode("quotas"))
+    leaves = splitting_tree(one, shards, seed, tables).select("shard", F.posexplode("quotas"))
     ends = F.sum("col").over(W.partitionBy("pos").orderBy("shard"))
     leaves = leaves.withColumn("__end", ends).groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "__end"))), lambda x: x["__end"]).alias("__ends"))
     ranked = ranked.join(leaves, F.col("pos") == F.col("__rank") - 1).drop("pos")
     before = sums.select("__source", "__chunk", (F.sum("__n").over(W.partitionBy("__source").orderBy("__chunk")) - F.col("__n")).alias("__before"))
     # one small table with all that a chunk needs
-    plan = written(before.join(ranked, before["__source"].eqNullSafe(ranked["__source"])).select(before["__source"].alias("__s"), F.col("__chunk").alias("__c"), "__before", "source_size", "target", "__block", "__quota", "__ends"), "mix")
-
-    inside = W.partitionBy("__source", "__chunk").orderBy("__hash", F.col(key), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    made = ("source_size", "target", "draws")
-    out = df.drop(*made).withColumn("__sum", F.sum("size").over(inside))
-    out = out.join(plan, out["__source"].eqNullSafe(plan["__s"]) & (out["__chunk"] == plan["__c"]))
-    middle = F.col("__before") + F.col("__sum") - F.col("size") / 2
+    plan = before.join(ranked, before["__source"].eqNullSafe(ranked["__source"]))
+    plan = plan.select(before["__source"].alias("__s"), F.col("__chunk").alias("__c"), "__before", F.col("source_size").alias("__size"), F.col("target").alias("__target"), "__block", "__quota", "__ends")
+    plan = tables.written(plan, "plan", [sums])
+    of_plan = dict(zip(plan.columns, fresh(df, *plan.columns), strict=True))
+    plan = plan.toDF(*of_plan.values())
+    p = {c: F.col(name) for c, name in of_plan.items()}
+
+    inside = W.partitionBy(s, chunk).orderBy(h, F.col(key), n).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = df.withColumn(so_far, F.sum(n).over(inside))
+    out = out.join(plan, F.col(s).eqNullSafe(p["__s"]) & (F.col(chunk) == p["__c"]))
+    middle = p["__before"] + F.col(so_far) - F.col(n) / 2
 
     def draw(copy: Column) -> Column:
-        at = copy * F.col("source_size") + middle
-        number = F.pmod(F.floor(at / F.col("__block")).cast("long") * PRIME + F.pmod(F.xxhash64(F.lit(seed), F.col("__source")), F.lit(PRIME)), F.greatest("__quota", F.lit(1)))
-        shard = F.size(F.filter("__ends", lambda e: e <= number))
-        return F.struct(shard.alias("shard"), copy.cast("int").alias("copy"), F.xxhash64(F.lit(seed + 1), "__hash", copy).alias("order"))
+        at = copy * p["__size"] + middle
+        number = F.pmod(F.floor(at / p["__block"]).cast("long") * PRIME + F.pmod(F.xxhash64(F.lit(seed), F.col(s)), F.lit(PRIME)), F.greatest(p["__quota"], F.lit(1)))
+        shard = F.size(F.filter(p["__ends"], lambda e: e <= number))
+        return F.struct(shard.alias("shard"), copy.cast("int").alias("copy"), F.xxhash64(F.lit(seed + 1), h, copy).alias("order"))
 
     # how often the stream up to the target passes the row's middle
-    passes = F.when(F.col("size") > 0, F.ceil((F.col("target") - middle) / F.col("source_size"))).otherwise(0)
-    out = out.withColumn("__times", F.greatest(F.lit(0), F.least(F.lit(repeats), passes)).cast("int"))
-    fixes = written(closer(out, repeats), "mix")
-    fixes = fixes.select(F.col("__source").alias("__s"), F.col("__chunk").alias("__c"), F.col("__sum").alias("__at"), "__change")
-    out = out.join(fixes, out["__source"].eqNullSafe(fixes["__s"]) & (out["__chunk"] == fixes["__c"]) & (out["__sum"] == fixes["__at"]) & (out["size"] > 0), "left")
-    times = F.col("__times") + F.coalesce("__change", F.lit(0))
-    draws = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), draw)).otherwise(F.array().cast("array<struct<shard: int, copy: int, order: bigint>>"))
-    names = [c for c in df.columns if c not in made and (c in carry or not c.startswith("__"))]
-    return out.select(*names, "source_size", "target", draws.alias("draws"))
-
-
-def closer(out: DataFrame, repeats: int) -> DataFrame:
-    """(source, chunk, sum, change): for each source the one document that, taken once more or less, brings what is taken
-    nearest to the target, if any brings it nearer."""
-    taken = out.groupBy("__source").agg(F.sum(F.col("size") * F.col("__times")).alias("__taken"), F.first("target").alias("__target"))
-    taken = written(taken.select(F.col("__source").alias("__s"), (F.col("__taken") - F.col("__target")).alias("__over")), "mix")
-    rows = out.where("size > 0").select("__source", "__chunk", "__sum", "size", "__times").join(taken, F.col("__source").eqNullSafe(F.col("__s")))
-    change = F.when((F.col("__over") > 0) & (F.col("__times") > 0), -1).when((F.col("__over") < 0) & (F.col("__times") < repeats), 1)
-    rows = rows.withColumn("__change", change).withColumn("__left", F.abs(F.col("__over") + F.col("__change") * F.col("size")))
-    best = rows.where(F.col("__left") < F.abs("__over")).groupBy("__source").agg(F.min(F.struct("__left", "__chunk", "__sum", "__change")).alias("b"))
-    return best.select("__source", "b.__chunk", "b.__sum", "b.__change")
+    passes = F.when(F.col(n) > 0, F.ceil((p["__target"] - middle) / p["__size"])).otherwise(0)
+    out = out.withColumn(times, F.greatest(F.lit(0), F.least(F.lit(repeats), passes)).cast("int"))
+    now = out.select(F.col(s).alias("source"), F.col(chunk).alias("chunk"), F.col(so_far).alias("sum"), F.col(n).alias("size"), F.col(times).alias("times"), p["__target"].alias("target"))
+    fixes = changes(tables, now, repeats)
+    fixes = fixes.toDF(*(f := fresh(out, "f_source", "f_chunk", "f_sum", "f_change")))
+    out = out.join(fixes, F.col(s).eqNullSafe(F.col(f[0])) & (F.col(chunk) == F.col(f[1])) & (F.col(so_far) == F.col(f[2])) & (F.col(n) > 0), "left")
+    count = F.col(times) + F.coalesce(f[3], F.lit(0))
+    draws = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), draw)).otherwise(F.array().cast("array<struct<shard: int, copy: int, order: bigint>>"))
+    return out.select(*keep, F.col(n).alias("size"), p["__size"].alias("source_size"), p["__target"].alias("target"), draws.alias("draws"))
+
+
+def changes(tables: Tables, now: DataFrame, repeats: int, near: float = 1.0, rounds: int = 30) -> DataFrame:
+    """(source, chunk, sum, change) from rows (source, chunk, sum, size, times, target): how often more or less documents
+    are taken, so that every source comes within `near` words of its target, or as near as a document more and one less
+    bring it. A round changes two documents a source at most."""
+    now, done = tables.written(now, "now"), None
+    for _ in range(rounds):
+        lack = now.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("times"))).alias("lack"))
+        lack = tables.written(lack.where(F.abs("lack") > near), "lack")
+        found = tables.written(closer(now, lack, repeats), "found", [lack])
+        if found.isEmpty():
+            break
+        done = found if done is None else done.unionByName(found)
+        at = found.toDF("f_source", "f_chunk", "f_sum", "change")
+        same = F.col("source").eqNullSafe(F.col("f_source")) & (F.col("chunk") == F.col("f_chunk")) & (F.col("sum") == F.col("f_sum")) & (F.col("size") > 0)
+        times = (F.col("times") + F.coalesce("change", F.lit(0))).alias("times")
+        now = tables.written(now.join(at, same, "left").select("source", "chunk", "sum", "size", times, "target"), "now", [now])
+    tables.drop(now)
+    done = found if done is None else done
+    return done.groupBy("source", "chunk", "sum").agg(F.sum("change").cast("int").alias("change"))
+
+
+def closer(now: DataFrame, lack: DataFrame, repeats: int) -> DataFrame:
+    """(source, chunk, sum, change): of each source in `lack` up to two documents, one taken once more and one once less,
+    so that what is taken comes nearest to the target; none where nothing does. Documents meet as distinct sizes of their
+    source: for each size to leave out the nearest sizes to add."""
+    lack = lack.withColumnRenamed("source", "s")
+    place = F.struct("chunk", "sum")
+    here = now.join(F.broadcast(lack), F.col("source").eqNullSafe(F.col("s")))  # sources are few
+    sizes = here.where("size > 0").groupBy("source", "size").agg(F.first("lack").alias("lack"), F.min(F.when(F.col("times") < repeats, place)).alias("more"), F.min(F.when(F.col("times") > 0, place)).alias("less"))
+    zero, null = F.lit(0).cast("long"), F.lit(None).cast("long")
+    none = lack.select(F.col("s").alias("source"), zero.alias("size"), "lack")  # to add or leave out nothing
+    adds = sizes.where("more IS NOT NULL").select("source", "size", "lack").unionByName(none).select("source", F.col("size").cast("double").alias("at"), F.col("size").alias("more"), null.alias("less"))
+    drops = sizes.where("less IS NOT NULL").select("source", "size", "lack").unionByName(none).select("source", (F.col("size") + F.col("lack")).alias("at"), null.alias("more"), F.col("size").alias("less"))
+    line = W.partitionBy("source").orderBy("at", F.col("less").isNotNull())
+    rows = adds.unionByName(drops).withColumn("below", F.last("more", True).over(line.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("above", F.first("more", True).over(line.rowsBetween(W.currentRow, W.unboundedFollowing)))
+    rows = rows.where("less IS NOT NULL").select("source", "less", "at", F.explode(F.array("below", "above")).alias("more")).where("more IS NOT NULL")
+    best = rows.groupBy("source").agg(F.min(F.struct(F.abs(F.col("more") - F.col("at")).alias("off"), (F.col("less") + F.col("more")).alias("moved"), "less", "more")).alias("b"))
+    best = best.where("b.less != b.more").select(F.col("source").alias("s"), F.explode(F.array(F.struct(F.col("b.more").alias("size"), F.lit(1).alias("change")), F.struct(F.col("b.less").alias("size"), F.lit(-1).alias("change")))).alias("c"))
+    found = sizes.join(best, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("c.size")))
+    at = F.when(F.col("c.change") > 0, F.col("more")).otherwise(F.col("less"))
+    return found.select("source", at["chunk"].alias("chunk"), at["sum"].alias("sum"), F.col("c.change").alias("change"))

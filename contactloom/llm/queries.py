@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.llm import bpe, fingerprints, hamming, languages, mixing, near_dedup, sharding, token_counts, token_ids, toxicity
-from contactloom.llm.common import scratch, table
+from contactloom.llm.common import Tables, scratch, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +98,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = mixing.mix(docs, mixing.word_count(F.col("text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
+    docs = Tables(spark, "op9").written(docs, "sizes")  # texts are read once
+    out = mixing.mix(docs, F.col("size"), content="hash")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
