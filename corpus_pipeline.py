@@ -2,60 +2,17 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from contactloom.llm import bpe, languages, mixing, near_dedup, toxicity
-from contactloom.llm.common import table, written
-
-#: Below this a text has no language that stands out.
-LEAST_SHARE = 0.35
-#: Percent of five-word shingles that near-duplicates share; op5's own level is 85.
-LEAST_SIMILAR = 80
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that score as toxic; learned from the labels as op2 does."""
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
-    return toxicity.with_scores(docs, model, out="__score").where(F.col("__score") < toxicity.LEVEL).drop("__score")
-
-
-def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without texts that have no letter or no language that stands out."""
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    field = languages.fit(docs.where(~held_out))
-    found = languages.labelled(docs.withColumn("__row", F.struct(*docs.columns)).select("__row", F.col("text").alias("__text")), field, "__text")
-    return found.where((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("__row.*")
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by similarities from 0.8 on."""
-    return near_dedup.deduplicated(docs, percent=LEAST_SIMILAR)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, by shard and in its shuffled order."""
-    out = mixing.mix(docs.withColumn("__row", F.struct(*docs.columns)), mixing.word_count(F.col("text")), carry=("__row",))
-    out = out.select("__row", F.explode("draws").alias("d")).select("__row", "d.shard", "d.order")
-    dealt = out.repartition("shard", F.pmod("order", F.lit(64))).sortWithinPartitions("shard", "order")
-    return dealt.select("__row.*")
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the bytes they decode to."""
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe.encode(docs, path, decode=True)
-    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
+from contactloom.llm import stages
+from contactloom.llm.common import Tables, table
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("language", drop_unknown_language),
-    ("near_duplicates", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("bpe", encode),
+    ("toxicity", stages.drop_toxic),
+    ("language", stages.drop_unknown_language),
+    ("near_duplicates", stages.drop_near_duplicates),
+    ("mixing", stages.mix_sources),
+    ("bpe", stages.encode),
 ]
 
 #: Stages 1, 2 and 5 apply trained models and a tokenizer, which SQL can't express.
@@ -63,7 +20,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, tables, last = table(spark, sf_dir, "documents"), Tables(spark, "pipeline"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = tables.written(stage(spark, docs, sf_dir), name, last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
