@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from contactloom.llm import stages
 from contactloom.llm.common import Tables, table
+from contactloom.llm.stages import drop_near_duplicates, drop_toxic, drop_unknown_language, encode, mix_sources
 
 STAGES = [
-    ("toxicity", stages.drop_toxic),
-    ("language", stages.drop_unknown_language),
-    ("near_duplicates", stages.drop_near_duplicates),
-    ("mixing", stages.mix_sources),
-    ("bpe", stages.encode),
+    ("toxicity", drop_toxic),
+    ("language", drop_unknown_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("bpe", encode),
 ]
 
 #: Stages 1, 2 and 5 apply trained models and a tokenizer, which SQL can't express.
