@@ -36,7 +36,12 @@ def trend_is_unclear(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def huber_line(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, rounds: int = 100) -> tuple[float, float, float]:
-    """Slope, intercept and R2 of the inliers of a robust line, by reweighting with the scale re-estimated."""
+    return huber_fit(x, y, epsilon, rounds)[:3]
+
+
+def huber_fit(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, rounds: int = 100) -> tuple[float, float, float, int]:
+    """Slope, intercept and R2 of the inliers of a robust line, by reweighting with the scale re-estimated; and how many
+    inliers there are."""
     a = np.stack([x, np.ones_like(x)], axis=1)
     w, beta, scale = np.ones(len(x)), np.zeros(2), 1.0
     for _ in range(rounds):
@@ -52,7 +57,36 @@ def huber_line(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, rounds: int
     inside = np.abs(y - a @ beta) <= epsilon * scale
     kept = y[inside]
     total = float(((kept - kept.mean()) ** 2).sum()) if len(kept) else 0.0
-    return float(beta[0]), float(beta[1]), 1 - float(((kept - a[inside] @ beta) ** 2).sum()) / total if total > 0 else 0.0
+    return float(beta[0]), float(beta[1]), 1 - float(((kept - a[inside] @ beta) ** 2).sum()) / total if total > 0 else 0.0, int(inside.sum())
+
+
+def without_flat_start(x: np.ndarray, y: np.ndarray) -> int:
+    """Where a falling trend of y sets in: the first run of falling steps of the monotone fit that fills more than half of
+    the way to the next run. It must leave at least seven tenths of the points, else the first falling step, else 0."""
+    rising = bool(len(x) > 1 and np.ptp(x) > 0 and np.ptp(y) > 0 and np.corrcoef(ranks(x), ranks(y))[0, 1] >= 0)
+    fit = -isotonic_decreasing(-y) if rising else isotonic_decreasing(y)
+    falls = np.flatnonzero(np.diff(fit) < 0)
+    if not len(falls):
+        return 0
+    firsts = falls[np.flatnonzero(np.diff(falls, prepend=-2) > 1)]
+    lasts = falls[np.flatnonzero(np.diff(falls, append=len(y) + 2) > 1)]
+    dense = (lasts - firsts + 1)[:-1] / np.diff(firsts) > 0.5
+    start = int(firsts[np.argmax(dense)]) if dense.any() else 0
+    for at in (start, int(falls[0])):
+        if at <= 0.3 * len(y):
+            return at
+    return 0
+
+
+def best_line(distance: np.ndarray, x: np.ndarray, y: np.ndarray, least: int = 5) -> tuple[float, float]:
+    """Slope and R2 of the robust line of larger R2: of all points, or of those after a flat start. 0 and 0 where fewer
+    than `least` points are inliers."""
+    start = without_flat_start(distance, y)
+    found = []
+    for at in (0, start):
+        slope, _, r2, inside = huber_fit(x[at:], y[at:])
+        found.append((slope, r2) if inside >= least else (0.0, 0.0))
+    return max(found, key=lambda f: f[1])
 
 
 def log_normal_density(x: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
@@ -92,35 +126,68 @@ def likeliest_states(x: np.ndarray, means: np.ndarray, variances: np.ndarray, tr
     return np.array(path[::-1])
 
 
-def arc_statistic(x: np.ndarray) -> tuple[float, int, int]:
-    """Largest t of an arc of the circle of centred sums, and its [start, end)."""
-    y = np.cumsum(x - x.mean())
-    i, j = sorted((int(y.argmin()), int(y.argmax())))
-    n = len(x)
-    return (y[j] - y[i]) ** 2 * n / ((j - i + 1) * (n + 1 - j + i)), i, j + 1
-
-
-def segments(x: np.ndarray, shuffles: int, p: float, inner_p: float, rng: np.random.Generator, least: int = 5) -> list[tuple[int, int]]:
-    """Circular binary segmentation: [start, end) pieces. An arc counts unless more than shuffles * p shuffled orders
-    reach its statistic; ends nearer than `least` to an edge go to it."""
-    def change(part: np.ndarray, level: float) -> tuple[int, int] | None:
-        t, a, b = arc_statistic(part)
-        reached = 0
-        for _ in range(shuffles):
-            reached += arc_statistic(rng.permutation(part))[0] >= t
-            if reached > shuffles * level:
-                return None
-        return (0 if a < least else a), (len(part) if len(part) - b < least else b)
-
-    out, stack = [], [(0, len(x), p)]
-    while stack:
-        a, b, level = stack.pop()
-        found = change(x[a:b], level) if b - a >= least and np.ptp(x[a:b]) > 0 else None
-        if found is None or found == (0, b - a):
-            out.append((a, b))
+def widest_arcs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of values the arc of its circle that stands out most: between the lowest and the highest of the sums
+    S[0..n-1] of what comes before a place, centred. Its statistic is (S[j] - S[i])^2 * n / (k (n - k)), for the k = j - i
+    values in the arc, which is the squared difference of means inside and outside up to the common variance."""
+    n = rows.shape[1]
+    s = np.zeros(rows.shape)
+    np.cumsum((rows - rows.mean(axis=1, keepdims=True))[:, :-1], axis=1, out=s[:, 1:])
+    ends = np.sort(np.stack([s.argmin(axis=1), s.argmax(axis=1)]), axis=0)
+    k = np.maximum(ends[1] - ends[0], 1)
+    gap = np.take_along_axis(s, ends[1][:, None], 1)[:, 0] - np.take_along_axis(s, ends[0][:, None], 1)[:, 0]
+    return gap * gap * n / (k * np.maximum(n - k, 1)), ends[0], ends[1]
+
+
+def segments(x: np.ndarray, shuffles: int, p: float, inner_p: float, rng: np.random.Generator, least: int = 5, together: int = 64) -> list[tuple[int, int]]:
+    """Circular binary segmentation: [start, end) pieces. An arc splits its piece where at most a part p of `shuffles`
+    shuffled orders has a statistic as large; shuffles are drawn `together` rows at a time and end when too many have.
+    Arc ends that leave fewer than `least` values beside them are moved to the piece's edge."""
+    whole, pieces = [(0, len(x), p)], []
+    while whole:
+        lo, hi, level = whole.pop()
+        part, n = x[lo:hi], hi - lo
+        if n < least or np.ptp(part) == 0:
+            pieces.append((lo, hi))
             continue
-        stack += [(a + s, a + e, inner_p) for s, e in ((0, found[0]), found, (found[1], b - a)) if e > s]
-    return sorted(out)
+        (found,), (i,), (j,) = widest_arcs(part[None, :])
+        allowed, above, drawn = int(np.floor(shuffles * level)), 0, 0
+        while drawn < shuffles and above <= allowed:
+            rows = min(together, shuffles - drawn)
+            above += int((widest_arcs(rng.permuted(np.tile(part, (rows, 1)), axis=1))[0] >= found).sum())
+            drawn += rows
+        cuts = sorted({0, n, *(c for c in (int(i), int(j)) if least <= c <= n - least)})
+        if above > allowed or len(cuts) == 2:
+            pieces.append((lo, hi))
+        else:
+            whole += [(lo + c, lo + d, inner_p) for c, d in zip(cuts[:-1], cuts[1:], strict=True)]
+    return sorted(pieces)
+
+
+def merged_spans(x: np.ndarray, cuts: list[int], least: int, apart: float, most_zeros: float = 0.8) -> list[tuple[int, int]]:
+    """Spans between cuts (ascending places in x), put together from the left: the span so far takes the next one where
+    either is shorter than `least`, or where neither is mostly zeros and the log2 of their nonzero medians differ by less
+    than `apart`."""
+    zeros = lambda v: np.mean(v == 0) > most_zeros
+    level = lambda v: np.log2(np.median(v[v != 0]))
+    out: list[tuple[int, int]] = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if out:
+            start, end = out[-1]
+            left, right = x[start:end], x[a:b]
+            if min(len(left), len(right)) < least or not (zeros(left) or zeros(right) or abs(level(left) - level(right)) >= apart):
+                out[-1] = (start, b)
+                continue
+        out.append((a, b))
+    return out
+
+
+def pair_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many places i of a and i + d of b are both set, for d from 0 on; a and b are masks of one length."""
+    n = len(a)
+    size = 1 << max(1, (2 * n - 1).bit_length())
+    found = np.fft.irfft(np.conj(np.fft.rfft(a, size)) * np.fft.rfft(b, size), size)[:n]
+    return np.rint(found).astype(np.int64)
 
 
 def grown_clusters(i: np.ndarray, j: np.ndarray, value: np.ndarray, radius: float) -> list[tuple[int, int]]:
@@ -173,17 +240,15 @@ def coordinates(i: np.ndarray, j: np.ndarray, count: np.ndarray, n: int, alpha:
 
 
 def match_once(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
-    """Pairs of rows (p1, p2): each row of a, in order, takes the nearest row of b that is left, within min(a fifth of
-    |p1 - p2|, tolerance) on both sides."""
-    free, out = np.ones(len(b), bool), []
+    """Pairs of rows (p1, p2): each row of a, in order, with the row of b nearest to it, if that is within min(a fifth of
+    |p1 - p2|, tolerance) and no row before took it."""
+    taken, out = set(), []
     for k, (p1, p2) in enumerate(a):
-        near = min(abs(p1 - p2) * 0.2, tolerance)
-        d1, d2 = np.abs(b[:, 0] - p1), np.abs(b[:, 1] - p2)
-        ok = np.flatnonzero(free & (d1 <= near) & (d2 <= near))
-        if len(ok):
-            best = ok[np.argmin(d1[ok] + d2[ok])]
-            free[best] = False
-            out.append((k, int(best)))
+        d = np.hypot(b[:, 0] - p1, b[:, 1] - p2) if len(b) else np.zeros(0)
+        best = int(d.argmin()) if len(d) else -1
+        if best >= 0 and d[best] <= min(abs(p1 - p2) * 0.2, tolerance) and best not in taken:
+            taken.add(best)
+            out.append((k, best))
     return out
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from contactloom.functions import kernels
+
 
 def is_valid(weight: Column) -> Column:
     """Whether a bin counts: it has a finite weight above 0."""
@@ -67,16 +71,35 @@ def mad_filter(coverage: DataFrame, bins: DataFrame, most: float = 5.0) -> DataF
     return rows.crossJoin(F.broadcast(limits)).select("bin_id", "scaled", (F.col("scaled") >= F.exp(F.col("center") - most * F.col("mad"))).alias("kept"))
 
 
-def valid_pairs(bins: DataFrame, longest: int | None = None, by: tuple[str, ...] = ("chrom",), weight: str = "weight") -> DataFrame:
-    """(*by, distance, pairs): how many pairs of valid bins there are at each distance in bins. A chromosome's bins are
-    bounded, and partners are made by distance, not by comparing all."""
-    rows = bins.where(is_valid(F.col(weight))).select(*by, "bin_id")
-    spans = bins.groupBy(*by).agg((F.max("bin_id") - F.min("bin_id")).alias("span"))
-    far = F.col("span") if longest is None else F.least(F.col("span"), F.lit(longest))
-    steps = rows.join(spans, list(by)).withColumn("distance", F.explode(F.sequence(F.lit(0).cast("long"), far.cast("long"))))
-    other = rows.select(*[F.col(c) for c in by], F.col("bin_id").alias("partner"))
-    met = steps.withColumn("partner", F.col("bin_id") + F.col("distance")).join(other, [*by, "partner"], "left_semi")
-    return met.groupBy(*by, "distance").agg(F.count(F.lit(1)).alias("pairs"))
+def valid_pairs(bins: DataFrame, longest: int | None = None, by: tuple[str, ...] = ("chrom",), weight: str = "weight", value: str | None = None) -> DataFrame:
+    """(*by, distance, pairs): how many pairs of valid bins there are at each distance in bins; with `value` also by the
+    values of both, as <value>1 <= <value>2. Counts are correlations of the masks of a chromosome's bins, so that no pair
+    is made; a task holds one chromosome's masks."""
+    columns = [*by, "bin_id", *[value] * (value is not None)]
+    rows = bins.where(is_valid(F.col(weight))).select(*columns)
+    names = [*by, *[f"{value}1", f"{value}2"] * (value is not None), "distance", "pairs"]
+    kind = lambda c: bins.schema[c].dataType.simpleString()
+    schema = ", ".join([*[f"`{c}` {kind(c)}" for c in by], *[f"`{value}{i}` {kind(value)}" for i in "12" if value is not None], "distance bigint, pairs bigint"])
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        at = (part["bin_id"] - part["bin_id"].min()).to_numpy()
+        groups = [None] if value is None else sorted(part[value].dropna().unique())
+        masks = []
+        for g in groups:
+            mask = np.zeros(at.max() + 1)
+            mask[at if g is None else at[(part[value] == g).to_numpy()]] = 1
+            masks.append(mask)
+        out = []
+        for x, a in enumerate(masks):
+            for y, b in enumerate(masks[x:], x):
+                n = kernels.pair_counts(a, b) + (kernels.pair_counts(b, a) if x != y else 0)
+                d = np.flatnonzero(n)
+                d = d if longest is None else d[d <= longest]
+                own = {c: part[c].iloc[0] for c in by} | ({} if value is None else {f"{value}1": groups[x], f"{value}2": groups[y]})
+                out.append(pd.DataFrame({**{c: [v] * len(d) for c, v in own.items()}, "distance": d, "pairs": n[d]}))
+        return pd.concat(out)[names] if out else pd.DataFrame({c: [] for c in names})
+
+    return rows.groupBy(*by).applyInPandas(count, schema)
 
 
 def expected(pixels: DataFrame, bins: DataFrame, longest: int | None = None, weight: str = "weight", least_pairs: int = 10) -> DataFrame:
@@ -116,11 +139,7 @@ def cn_pairs(pixels: DataFrame, bins: DataFrame, trans: bool, cn: str = "cn", we
         a, b = (sizes.select(F.col("chrom").alias(f"c{s}"), F.col(cn).alias(f"k{s}"), F.col("n").alias(f"n{s}")) for s in "12")
         pairs = a.join(b, F.col("c1") < F.col("c2")).select(F.least("k1", "k2").alias("cn1"), F.greatest("k1", "k2").alias("cn2"), (F.col("n1") * F.col("n2")).alias("n"))
     else:
-        spans = bins.groupBy("chrom").agg((F.max("bin_id") - F.min("bin_id")).alias("span"))
-        own = ok.select("chrom", "bin_id", F.col(cn).alias("k1"))
-        steps = own.join(spans, "chrom").withColumn("distance", F.explode(F.sequence(F.lit(0).cast("long"), "span")))
-        other = ok.select("chrom", F.col("bin_id").alias("partner"), F.col(cn).alias("k2"))
-        pairs = steps.withColumn("partner", F.col("bin_id") + F.col("distance")).join(other, ["chrom", "partner"]).select(F.least("k1", "k2").alias("cn1"), F.greatest("k1", "k2").alias("cn2"), "distance", F.lit(1).alias("n"))
+        pairs = valid_pairs(bins, weight=weight, value=cn).select(F.col(f"{cn}1").alias("cn1"), F.col(f"{cn}2").alias("cn2"), "distance", F.col("pairs").alias("n"))
     pairs = pairs.groupBy(*names).agg(F.sum("n").alias("n"))
     out = pairs.join(total, names, "left").withColumn("mean", F.coalesce("total", F.lit(0.0)) / F.col("n"))
     return (out if trans else out.where(F.col("n") >= least)).select(*names, "n", "mean")

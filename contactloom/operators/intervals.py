@@ -81,24 +81,30 @@ def counted_in_bins(points: DataFrame, bins: DataFrame, size: int, at: str = "po
 
 def rebinned(segments: DataFrame, bins: DataFrame, size: int = 10_000) -> DataFrame:
     """(bin_id, value): of each bin the value that covers most of it, the smallest in a tie; what no segment covers has
-    value 0."""
+    value 0. Where both halves of a bin have one mean, that mean."""
+    middle = F.col("a_start") + F.floor((F.col("a_end") - F.col("a_start")) / 2)
     met = overlap(bins.select("chrom", "start", "end", "bin_id"), segments.select("chrom", "start", "end", "value"), size)
     n = length(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
-    parts = met.groupBy(F.col("a_bin_id").alias("bin_id"), F.col("b_value").alias("value")).agg(F.sum(n).alias("n"))
-    covered = parts.groupBy("bin_id").agg(F.sum("n").alias("covered"))
-    gaps = bins.join(covered, "bin_id", "left").select("bin_id", F.lit(0).alias("value"), (F.col("end") - F.col("start") - F.coalesce("covered", F.lit(0))).alias("n"))
-    both = parts.unionByName(gaps).groupBy("bin_id", "value").agg(F.sum("n").alias("n")).where("n > 0")
-    return both.groupBy("bin_id").agg(F.max_by("value", F.struct(F.col("n"), -F.col("value"))).alias("value"))
+    left = length(F.col("a_start"), middle, F.col("b_start"), F.col("b_end"))
+    parts = met.groupBy(F.col("a_bin_id").alias("bin_id"), F.col("b_value").cast("double").alias("value")).agg(F.sum(n).alias("n"), F.sum(left).alias("left"))
+    covered = parts.groupBy("bin_id").agg(F.sum("n").alias("covered"), F.sum(F.col("value") * F.col("left")).alias("a"), F.sum(F.col("value") * (F.col("n") - F.col("left"))).alias("b"))
+    wide = F.col("end") - F.col("start")
+    half = F.floor(wide / 2)
+    whole = bins.join(covered, "bin_id", "left").select("bin_id", wide.alias("wide"), half.alias("half"), (wide - F.coalesce("covered", F.lit(0))).alias("n"), F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
+    both = parts.select("bin_id", "value", "n").unionByName(whole.select("bin_id", F.lit(0.0).alias("value"), "n")).groupBy("bin_id", "value").agg(F.sum("n").alias("n")).where("n > 0")
+    most = both.groupBy("bin_id").agg(F.max_by("value", F.struct(F.col("n"), -F.col("value"))).alias("most"))
+    even = F.col("a") * (F.col("wide") - F.col("half")) == F.col("b") * F.col("half")
+    return whole.join(most, "bin_id").select("bin_id", F.when(even, (F.col("a") + F.col("b")) / F.col("wide")).otherwise(F.col("most")).alias("value"))
 
 
 def nearest(a: DataFrame, b: DataFrame, tolerance: int, keys: tuple[str, ...] = ("chrom1", "chrom2")) -> DataFrame:
-    """For each row of a (id, p1, p2) the row of b nearest by |dp1| + |dp2|, within min(tolerance, a fifth of |p1 - p2|)
-    on both sides, the smallest id in a tie. Points meet by the cells of a grid as wide as the tolerance."""
+    """For each row of a (id, p1, p2) the nearest row of b in the plane, the smallest id in a tie, if it is within
+    min(tolerance, a fifth of |p1 - p2|). Points meet by the cells of a grid as wide as the tolerance."""
     cell = lambda c: F.floor(F.col(c) / tolerance)
     near = F.least(F.lit(float(tolerance)), F.abs(F.col("p1") - F.col("p2")) * 0.2)
     probes = a.select(*keys, "id", "p1", "p2", near.alias("near"), F.explode(F.sequence(cell("p1") - 1, cell("p1") + 1)).alias("g1"))
     probes = probes.withColumn("g2", F.explode(F.sequence(cell("p2") - 1, cell("p2") + 1)))
     other = b.select(*keys, F.col("id").alias("b_id"), F.col("p1").alias("b_p1"), F.col("p2").alias("b_p2"), cell("p1").alias("g1"), cell("p2").alias("g2"))
-    d1, d2 = F.abs(F.col("p1") - F.col("b_p1")), F.abs(F.col("p2") - F.col("b_p2"))
-    met = probes.join(other, [*keys, "g1", "g2"]).where((d1 <= F.col("near")) & (d2 <= F.col("near")))
-    return met.groupBy("id").agg(F.min(F.struct((d1 + d2).alias("distance"), "b_id")).alias("m")).select("id", F.col("m.b_id").alias("match"), F.col("m.distance").alias("distance"))
+    square = F.pow(F.col("p1") - F.col("b_p1"), 2) + F.pow(F.col("p2") - F.col("b_p2"), 2)
+    met = probes.join(other, [*keys, "g1", "g2"]).select("id", "near", "b_id", F.sqrt(square).alias("distance")).where(F.col("distance") <= F.col("near"))
+    return met.groupBy("id").agg(F.min(F.struct("distance", "b_id")).alias("m")).select("id", F.col("m.b_id").alias("match"), "m.distance")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from contactloom.functions import kernels
 from contactloom.operators.contacts import cn_pairs, is_valid, paired
+from contactloom.operators.intervals import nearest
 from contactloom.operators.written import written
 
 
@@ -32,15 +33,17 @@ def isotonic_curve(curve: DataFrame, longest: int) -> DataFrame:
 
 
 def slopes(observed: DataFrame, curve: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
-    """(*keys, slope, r2, n, unclear): robust lines of observed means on a curve at common distances, by group."""
+    """(*keys, slope, r2, n, unclear): robust lines of observed means on a curve at common distances, by group: of all
+    distances or of those after a flat start, whichever fits better; slope 0 where too few are inliers."""
     both = observed.join(curve.select("distance", F.col("value").alias("expected")), "distance").select(*keys, "distance", "mean", "expected")
     kinds = ", ".join(f"{k} {both.schema[k].dataType.simpleString()}" for k in keys)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         if len(rows) < least:
             return pd.DataFrame({k: [] for k in [*keys, "slope", "r2", "n", "unclear"]})
+        rows = rows.sort_values("distance")
         x, y = rows["expected"].to_numpy(float), rows["mean"].to_numpy(float)
-        slope, _, r2 = kernels.huber_line(x, y)
+        slope, r2 = kernels.best_line(rows["distance"].to_numpy(float), x, y, least)
         unclear = kernels.trend_is_unclear(rows["distance"].to_numpy(float), y)
         return pd.DataFrame([[*(rows[k].iloc[0] for k in keys), slope, r2, len(rows), unclear]], columns=[*keys, "slope", "r2", "n", "unclear"])
 
@@ -99,7 +102,7 @@ def poisson_profile(rows: DataFrame, covariates: list[str], count: str = "covera
     for c in covariates:
         used = used.withColumns({f"{c}_1": F.col(c).cast("double"), f"{c}_2": F.pow(F.col(c), 2), f"{c}_r": F.sqrt(c)})
         names += [f"{c}_1", f"{c}_2", f"{c}_r"]
-    used = VectorAssembler(inputCols=names, outputCol="features").transform(used)
+    used = VectorAssembler(inputCols=names, outputCol="features").transform(written(used.select("bin_id", count, *names), "covariates"))
     model = GeneralizedLinearRegression(family="poisson", link="log", labelCol=count, featuresCol="features", maxIter=25, regParam=1e-6).fit(used)
     fitted = model.transform(used).withColumn("residual", (F.col(count) - F.col("prediction")) / F.col("prediction"))
     least = fitted.agg(F.min("residual").alias("least"))
@@ -111,7 +114,7 @@ def mixture_states(rows: DataFrame, value: str, most: int = 10, seed: int = 1) -
     """(k, aic, chosen): Gaussian mixtures of 1 to `most` parts, no more than there are distinct values, and which has the
     least AIC."""
     spark = rows.sparkSession
-    data = VectorAssembler(inputCols=[value], outputCol="features").transform(rows.where(F.col(value).isNotNull()).select(value)).cache()
+    data = VectorAssembler(inputCols=[value], outputCol="features").transform(written(rows.where(F.col(value).isNotNull()).select(value), "values"))
     found = []
     for k in range(1, max(1, data.select(value).distinct().limit(most).count()) + 1):
         fit = GaussianMixture(k=k, seed=seed, maxIter=100).fit(data) if k > 1 else None
@@ -214,16 +217,10 @@ def clustered(calls: DataFrame, keys: list[str], radius: float, value: str = "va
 
 
 def matched_once(a: DataFrame, b: DataFrame, tolerance: float, keys: tuple[str, ...] = ("chrom1", "chrom2")) -> DataFrame:
-    """(id, match): peaks of a, by id, each with the nearest peak of b not yet taken, within the tolerance."""
-    both = a.select(*keys, "id", "p1", "p2", F.lit(0).alias("side")).union(b.select(*keys, "id", "p1", "p2", F.lit(1)))
-
-    def match(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        x, y = part[part["side"] == 0], part[part["side"] == 1]
-        found = kernels.match_once(x[["p1", "p2"]].to_numpy(float), y[["p1", "p2"]].to_numpy(float), tolerance)
-        return pd.DataFrame({"id": x["id"].to_numpy()[[i for i, _ in found]], "match": y["id"].to_numpy()[[k for _, k in found]]})
-
-    return both.groupBy(*keys).applyInPandas(match, "id bigint, match bigint")
+    """(id, match): peaks of a with the peak of b nearest to them, within the tolerance; of those with one match the
+    smallest id has it, the others none."""
+    met = nearest(a, b, tolerance, keys).groupBy("match").agg(F.min("id").alias("id"))
+    return met.select("id", "match")
 
 
 def directionality(contacts: DataFrame, window: int) -> DataFrame:
@@ -270,16 +267,14 @@ def simulated(pixels: DataFrame, bins: DataFrame, reference: int, cn: str = "cn"
     return rows.join(factors, (F.col("k1") == factors["cn1"]) & (F.col("k2") == factors["cn2"]), "left").select("bin1_id", "bin2_id", "count", (F.col("count") * F.coalesce("factor", F.lit(0.0))).alias("simulated"))
 
 
-def block_bounds(contacts: DataFrame, keys: list[str], most: int = 2000) -> DataFrame:
-    """(*keys, start, end): stretches within a block of contacts (i, j, value) whose rows vary together. A block has at most
-    `most` bins a side, which bounds what a task holds; larger ones are an error."""
+def block_bounds(contacts: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, start, end): stretches within a block of contacts (i, j, value) whose rows vary together. A task holds one
+    block's matrix; a block is as wide as the flanks of a rearrangement, which the axis bounds."""
     kinds = ", ".join(f"{k} {contacts.schema[k].dataType.simpleString()}" for k in keys)
 
     def find(part: pd.DataFrame) -> pd.DataFrame:
         lo, n = int(part["i"].min()), int(part["i"].max() - part["i"].min()) + 1
         m = int(part["j"].max() - part["j"].min()) + 1
-        if max(n, m) > most:
-            raise ValueError(f"a block of {n} by {m} bins")
         dense = np.zeros((n, m))
         np.add.at(dense, (part["i"] - lo, part["j"] - part["j"].min()), part["value"])
         return pd.DataFrame([(*(part[k].iloc[0] for k in keys), lo + a, lo + b) for a, b in kernels.block_bounds(dense)], columns=[*keys, "start", "end"])

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written below spark.checkpoint.dir (a temporary folder where that is unset) and read again, so that a
+    """The rows written below spark.checkpoint.dir (a temporary folder where that is unset, on a local
+    master only) and read again, so that a
     lost executor costs one round of an iteration."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base}/{name}-{uuid.uuid4().hex}"

@@ -88,14 +88,6 @@ def loop_anchors(spark: SparkSession, d: str) -> DataFrame:
     return models.anchors(_by_block(spark, d).where("value >= 2"), ["block1", "block2"], 2, 4)
 
 
-def one_shot_peak_match(spark: SparkSession, d: str) -> DataFrame:
-    from contactloom.plans.relational import _peaks
-
-    rows = _peaks(spark, d)
-    odd = F.floor(F.col("id") / 400) % 2 == 1
-    return models.matched_once(rows.where(~odd), rows.where(odd), 4000.0)
-
-
 def block_stretches(spark: SparkSession, d: str) -> DataFrame:
     return models.block_bounds(_by_block(spark, d), ["block1", "block2"])
 
@@ -122,6 +114,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         distance_expected_isotonic, huber_decay_slope, rescaled_contacts, classwise_balance, poisson_profile, gmm_states, hmm_segments, cbs_segments, window_features, scored_candidates,
-        cluster_candidates, loop_anchors, one_shot_peak_match, block_stretches, simulated_contacts, neo_domains, structure_coords, absorbed_segments,
+        cluster_candidates, loop_anchors, block_stretches, simulated_contacts, neo_domains, structure_coords, absorbed_segments,
     )
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.functions import text
-from contactloom.operators import axis, contacts, intervals, loops, rearrangements, sequences
+from contactloom.operators import axis, contacts, intervals, loops, models, rearrangements, sequences
 from contactloom.sources import views
 from contactloom.sources.views import loops_sql, with_views
 
@@ -117,10 +117,12 @@ def run_length_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_views("track", RUNS) + """, bins7 AS (SELECT chrom, i AS bin_id, i * 7 AS start, i * 7 + 7 AS "end" FROM (SELECT DISTINCT chrom FROM track), range(103) t(i)),
-parts AS (SELECT b.chrom, bin_id, value, sum(least(b."end", s."end") - greatest(b.start, s.start)) AS n FROM bins7 b JOIN segments s ON b.chrom = s.chrom AND b.start < s."end" AND s.start < b."end" GROUP BY ALL),
-gaps AS (SELECT chrom, bin_id, 0 AS value, 7 - coalesce((SELECT sum(n) FROM parts p WHERE p.chrom = b.chrom AND p.bin_id = b.bin_id), 0) AS n FROM bins7 b),
-every AS (SELECT chrom, bin_id, value, sum(n) AS n FROM (SELECT * FROM parts UNION ALL SELECT * FROM gaps) GROUP BY ALL HAVING sum(n) > 0)
-SELECT chrom, bin_id, min(value) AS value FROM every e WHERE n = (SELECT max(n) FROM every f WHERE f.chrom = e.chrom AND f.bin_id = e.bin_id) GROUP BY 1, 2""")
+parts AS (SELECT b.chrom, bin_id, CAST(value AS DOUBLE) AS value, sum(least(b."end", s."end") - greatest(b.start, s.start)) AS n, sum(greatest(0, least(b.start + 3, s."end") - greatest(b.start, s.start))) AS l FROM bins7 b JOIN segments s ON b.chrom = s.chrom AND b.start < s."end" AND s.start < b."end" GROUP BY ALL),
+halves AS (SELECT chrom, bin_id, sum(value * l) AS a, sum(value * (n - l)) AS b, sum(n) AS covered FROM parts GROUP BY ALL),
+whole AS (SELECT b.chrom, b.bin_id, coalesce(a, 0) AS a, coalesce(h.b, 0) AS b, 7 - coalesce(covered, 0) AS n FROM bins7 b LEFT JOIN halves h ON h.chrom = b.chrom AND h.bin_id = b.bin_id),
+every AS (SELECT chrom, bin_id, value, sum(n) AS n FROM (SELECT chrom, bin_id, value, n FROM parts UNION ALL SELECT chrom, bin_id, 0.0, n FROM whole) GROUP BY ALL HAVING sum(n) > 0),
+most AS (SELECT chrom, bin_id, min(value) AS most FROM every e WHERE n = (SELECT max(n) FROM every f WHERE f.chrom = e.chrom AND f.bin_id = e.bin_id) GROUP BY 1, 2)
+SELECT chrom, bin_id, CASE WHEN a * 4 = b * 3 THEN (a + b) / 7 ELSE most END AS value FROM whole JOIN most USING (chrom, bin_id)""")
 def rebin_length_weighted_mode(spark: SparkSession, d: str) -> DataFrame:
     t = views.track(spark, d)
     grid = t.select("chrom").distinct().crossJoin(spark.range(103).withColumnRenamed("id", "n"))  # a few names, 103 bins each
@@ -142,40 +144,27 @@ def interval_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     return out.select("a_id", "b_id", intervals.length(*ends).alias("shared"), F.round(intervals.ratio(*ends), 9).alias("ratio"))
 
 
-@query(with_views("intervals", OVERLAPS) + 'SELECT id, chrom FROM intervals a WHERE EXISTS (SELECT 1 FROM probes b WHERE a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end")')
+@query(with_views("intervals") + 'SELECT id, chrom FROM intervals a WHERE EXISTS (SELECT 1 FROM intervals b WHERE a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" AND a.id <> b.id)')
 def interval_overlap_semi(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.intervals(spark, d)
-    return intervals.overlapping(rows, rows.where("id % 50 = 0"), "left_semi", size=32).select("id", "chrom")
+    """Of all rows those that overlap another row of the table."""
+    return intervals.meeting_others(views.intervals(spark, d), "left_semi", size=32).select("id", "chrom")
 
 
-@query(with_views("intervals", OVERLAPS) + 'SELECT id, chrom FROM intervals a WHERE NOT EXISTS (SELECT 1 FROM probes b WHERE a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end")')
+@query(with_views("intervals") + 'SELECT id, chrom FROM intervals a WHERE NOT EXISTS (SELECT 1 FROM intervals b WHERE a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" AND a.id <> b.id)')
 def interval_overlap_anti(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.intervals(spark, d)
-    return intervals.overlapping(rows, rows.where("id % 50 = 0"), "left_anti", size=32).select("id", "chrom")
+    return intervals.meeting_others(views.intervals(spark, d), "left_anti", size=32).select("id", "chrom")
 
 
-@query(with_views("intervals") + """, flagged AS (SELECT *, CASE WHEN start < max("end") OVER (PARTITION BY chrom ORDER BY start, "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM intervals WHERE id % 50 = 0),
+@query(with_views("intervals") + """, flagged AS (SELECT *, CASE WHEN start < max("end") OVER (PARTITION BY chrom ORDER BY start, "end", id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM intervals),
 marked AS (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY start, "end", id ROWS UNBOUNDED PRECEDING) AS g FROM flagged)
 SELECT chrom, min(start) AS start, max("end") AS "end", count(*) AS n FROM marked GROUP BY chrom, g""")
 def interval_coalesce(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.coalesced(views.intervals(spark, d).where("id % 50 = 0"))
-
-
-@query()
-def interval_coalesce_all(spark: SparkSession, d: str) -> DataFrame:
-    """As interval_coalesce, whose SQL fixes its row filter, for all rows."""
     return intervals.coalesced(views.intervals(spark, d))
 
 
-@query()
-def interval_others_semi(spark: SparkSession, d: str) -> DataFrame:
-    """Of all rows those that overlap another row of the table."""
-    return intervals.meeting_others(views.intervals(spark, d), "left_semi", size=32).select("id", "chrom")
-
-
-@query()
-def interval_others_anti(spark: SparkSession, d: str) -> DataFrame:
-    return intervals.meeting_others(views.intervals(spark, d), "left_anti", size=32).select("id", "chrom")
+#: The names that these had while the others kept to a share of the rows.
+interval_coalesce_all, interval_others_semi, interval_others_anti = interval_coalesce, interval_overlap_semi, interval_overlap_anti
+QUERIES |= {"interval_coalesce_all": interval_coalesce, "interval_others_semi": interval_overlap_semi, "interval_others_anti": interval_overlap_anti}
 
 
 @query(with_views("genes blocks") + """SELECT key AS id, CAST(block AS INTEGER) AS block, "offset" * 1000 + CASE WHEN b.strand = '+' THEN greatest(g.start, lo * 1000) - lo * 1000 ELSE hi * 1000 - least(g."end", hi * 1000) END AS lo,
@@ -310,15 +299,17 @@ def _numbered_svs(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("id", F.row_number().over(W.orderBy("c1", "p1", "s1", "c2", "p2", "s2")).cast("long"))
 
 
-@query(with_views("edges") + """, walk AS (SELECT DISTINCT src, dst, 1 AS hops FROM edges WHERE src <> dst UNION SELECT w.src, e.dst, w.hops + 1 FROM walk w JOIN edges e ON w.dst = e.src WHERE w.hops < 6 AND e.dst <> w.src)
+@query(with_views("links") + """, walk AS (SELECT DISTINCT src, dst, 1 AS hops FROM links WHERE src <> dst AND src % 100 = 0 UNION SELECT w.src, e.dst, w.hops + 1 FROM walk w JOIN links e ON w.dst = e.src WHERE w.hops < 6 AND e.dst <> w.src AND e.src <> e.dst)
 SELECT src, dst, CAST(min(hops) AS INTEGER) AS hops FROM walk GROUP BY 1, 2""")
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    return rearrangements.shortest_hops(views.edges(spark, d), 6)
+    """From the sources whose number is divisible by 100, over all links."""
+    links = views.links(spark, d)
+    return rearrangements.shortest_hops(links, 6, links.where("src % 100 = 0"))
 
 
 @query()
 def shortest_paths_all(spark: SparkSession, d: str) -> DataFrame:
-    """As shortest_paths, whose SQL fixes its edges, over all links of lineitem."""
+    """From all sources; its rows are pairs of nodes."""
     return rearrangements.shortest_hops(views.links(spark, d), 6)
 
 
@@ -341,26 +332,38 @@ def _triples(spark: SparkSession, d: str, step: int) -> DataFrame:
     return views.loops(spark, d, step).withColumn("neo", (F.col("chrom1") != F.col("chrom2")).cast("int")).withColumnRenamed("label", "assembly").select(*loops.KEY, "assembly", "distance", "neo")
 
 
-MULTI = """k AS (SELECT chrom1, start1, end1, chrom2, start2, end2, label AS assembly, distance, CAST(chrom1 <> chrom2 AS INTEGER) AS neo FROM fine WHERE label IN ('C0', 'C1')),
-c AS (SELECT chrom1, start1, end1, chrom2, start2, end2, label AS assembly, distance, CAST(chrom1 <> chrom2 AS INTEGER) AS neo FROM coarse),
-keys AS (SELECT DISTINCT chrom1, start1, chrom2, start2 FROM k),
-hit AS (SELECT c.*, keys.start1 AS f1, keys.start2 AS f2 FROM c JOIN keys ON c.chrom1 = keys.chrom1 AND c.chrom2 = keys.chrom2 AND keys.start1 BETWEEN c.start1 AND c.end1 AND keys.start2 BETWEEN c.start2 AND c.end2)"""
+def _level(name: str, size: int, finer: str, fine: int) -> str:
+    """Loops of `name` met with the loops kept at a finer level: the finer loops that stand inside each."""
+    return f"""h_{name}_{finer} AS (SELECT c.*, f.start1 AS f1, f.start2 AS f2 FROM {name}_t c JOIN (SELECT DISTINCT chrom1, start1, chrom2, start2 FROM {finer}_kept) f ON c.chrom1 = f.chrom1 AND c.chrom2 = f.chrom2
+  AND f.start1 BETWEEN c.start1 // {fine} * {fine} AND c.end1 // {fine} * {fine} AND f.start2 BETWEEN c.start2 // {fine} * {fine} AND c.end2 // {fine} * {fine})"""
 
 
-@query(with_views("pixels bins", loops_sql(1, "fine"), loops_sql(5, "coarse"), MULTI) + """SELECT CAST(1000 AS INTEGER) AS resolution, * FROM k UNION
-SELECT 1000, chrom1, f1, f1 + 1000, chrom2, f2, f2 + 1000, assembly, distance, neo FROM hit UNION
-SELECT 5000, * FROM c WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.chrom1 = c.chrom1 AND h.start1 = c.start1 AND h.chrom2 = c.chrom2 AND h.start2 = c.start2)""")
-def multires_loop_merge(spark: SparkSession, d: str) -> DataFrame:
-    fine = _triples(spark, d, 1).where(F.col("assembly").isin("C0", "C1"))
-    return loops.across_resolutions({1000: fine, 5000: _triples(spark, d, 5)})
+def _triples_sql(name: str) -> str:
+    return f"{name}_t AS (SELECT chrom1, start1, end1, chrom2, start2, end2, label AS assembly, distance, CAST(chrom1 <> chrom2 AS INTEGER) AS neo FROM {name})"
 
 
-@query()
-def multires_loop_merge_all(spark: SparkSession, d: str) -> DataFrame:
-    """As multires_loop_merge, whose SQL fixes two labels, for all labels and three resolutions."""
+def _missed(name: str, finer: tuple[str, ...]) -> str:
+    rules = " OR ".join(f"(chrom1, start1, chrom2, start2) NOT IN (SELECT chrom1, start1, chrom2, start2 FROM h_{name}_{f})" for f in finer)
+    return f"{name}_kept AS (SELECT * FROM {name}_t WHERE {rules})"
+
+
+def _moved(name: str, finer: str, fine: int) -> str:
+    return f"SELECT CAST({fine} AS INTEGER) AS resolution, chrom1, f1 AS start1, f1 + {fine} AS end1, chrom2, f2 AS start2, f2 + {fine} AS end2, assembly, distance, neo FROM h_{name}_{finer}"
+
+
+LEVELS = (*(_triples_sql(n) for n in ("a", "b", "c")), "a_kept AS (SELECT * FROM a_t)", _level("b", 2000, "a", 1000), _missed("b", ("a",)), _level("c", 5000, "a", 1000), _level("c", 5000, "b", 2000), _missed("c", ("a", "b")))
+
+
+@query(with_views("pixels bins", loops_sql(1, "a"), loops_sql(2, "b"), loops_sql(5, "c"), *LEVELS) + f"""SELECT CAST(1000 AS INTEGER) AS resolution, * FROM a_t UNION SELECT 2000, * FROM b_kept UNION SELECT 5000, * FROM c_kept
+UNION {_moved("b", "a", 1000)} UNION {_moved("c", "a", 1000)} UNION {_moved("c", "b", 2000)}""")
+def multires_loop_merge(spark: SparkSession, d: str) -> DataFrame:
+    """All labels at three resolutions."""
     return loops.across_resolutions({step * views.BIN_SIZE: _triples(spark, d, step) for step in (1, 2, 5)})
 
 
+multires_loop_merge_all = QUERIES["multires_loop_merge_all"] = multires_loop_merge
+
+
 @query("""WITH a AS (SELECT o_orderkey AS id, CAST(o_custkey % 97 AS VARCHAR) AS path, CAST(CASE o_orderkey % 3 WHEN 0 THEN 5000 WHEN 1 THEN 10000 ELSE 25000 END AS INTEGER) AS resolution FROM orders)
 SELECT id, path, resolution FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY resolution, id) AS r FROM a) WHERE r = 1""")
 def multires_assembly_pick(spark: SparkSession, d: str) -> DataFrame:
@@ -390,15 +393,25 @@ def minmax_rows(spark: SparkSession, d: str) -> DataFrame:
 PEAKS = """peaks AS (SELECT bin1_id * 400 + bin2_id AS id, a.chrom AS chrom1, b.chrom AS chrom2, bin1_id * 1000 AS p1, bin2_id * 1000 AS p2 FROM pixels JOIN bins a ON a.bin_id = bin1_id JOIN bins b ON b.bin_id = bin2_id WHERE bin2_id - bin1_id > 20)"""
 
 
-@query(with_views("pixels bins", PEAKS) + """, met AS (SELECT a.id, b.id AS match, abs(a.p1 - b.p1) + abs(a.p2 - b.p2) AS distance FROM peaks a JOIN peaks b ON a.chrom1 = b.chrom1 AND a.chrom2 = b.chrom2 AND (a.id // 400) % 2 = 0 AND (b.id // 400) % 2 = 1
-AND abs(a.p1 - b.p1) <= least(4000.0, abs(a.p1 - a.p2) * 0.2) AND abs(a.p2 - b.p2) <= least(4000.0, abs(a.p1 - a.p2) * 0.2))
-SELECT id, match, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, match) AS r FROM met) WHERE r = 1""")
+MATCHED = """, met AS (SELECT a.id, b.id AS match, sqrt((a.p1 - b.p1) * (a.p1 - b.p1) + (a.p2 - b.p2) * (a.p2 - b.p2)) AS distance, least(4000.0, abs(a.p1 - a.p2) * 0.2) AS near FROM peaks a JOIN peaks b ON a.chrom1 = b.chrom1 AND a.chrom2 = b.chrom2 AND (a.id // 400) % 2 = 0 AND (b.id // 400) % 2 = 1
+AND abs(a.p1 - b.p1) <= 4000 AND abs(a.p2 - b.p2) <= 4000),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, match) AS r FROM met WHERE distance <= near) WHERE r = 1) """
+
+
+@query(with_views("pixels bins", PEAKS) + MATCHED + "SELECT id, match, distance FROM one")
 def nearest_peak_match(spark: SparkSession, d: str) -> DataFrame:
     rows = _peaks(spark, d)
     odd = F.floor(F.col("id") / 400) % 2 == 1
     return intervals.nearest(rows.where(~odd), rows.where(odd), 4000)
 
 
+@query(with_views("pixels bins", PEAKS) + MATCHED + "SELECT min(id) AS id, match FROM one GROUP BY match")
+def one_shot_peak_match(spark: SparkSession, d: str) -> DataFrame:
+    rows = _peaks(spark, d)
+    odd = F.floor(F.col("id") / 400) % 2 == 1
+    return models.matched_once(rows.where(~odd), rows.where(odd), 4000)
+
+
 def _peaks(spark: SparkSession, d: str) -> DataFrame:
     rows = contacts.paired(views.pixels(spark, d), views.bins(spark), "chrom").where("bin2_id - bin1_id > 20")
     return rows.select((F.col("bin1_id") * 400 + F.col("bin2_id")).alias("id"), "chrom1", "chrom2", (F.col("bin1_id") * 1000).alias("p1"), (F.col("bin2_id") * 1000).alias("p2"))

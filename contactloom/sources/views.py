@@ -61,11 +61,6 @@ def sv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.concat_ws("\t", *parts).alias("value"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_discount = 0")
-    return rows.select((F.col("l_partkey") % 60).alias("src"), (F.col("l_orderkey") % 60).alias("dst")).distinct()
-
-
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): all links of lineitem from part to supplier keys; the keys grow with the tables."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
@@ -102,7 +97,7 @@ SQL = {
     "intervals": "intervals AS (SELECT o_orderkey AS id, o_orderpriority AS chrom, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS start, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 1 + o_custkey % 20 AS \"end\" FROM orders)",
     "sites": "sites AS (SELECT 'chr' || (l_suppkey % 4 + 1) AS chrom, (l_orderkey * 7919 + l_linenumber * 131) % 100000 AS pos FROM lineitem)",
     "sv": "sv AS (SELECT 'chr' || (c_nationkey % 4 + 1) AS c1, 'chr' || (c_custkey % 4 + 1) AS c2, CASE WHEN c_custkey % 2 = 0 THEN '+' ELSE '-' END AS s1, CASE WHEN (c_custkey // 2) % 2 = 0 THEN '+' ELSE '-' END AS s2, (c_custkey * 7919) % 100000 AS p1, (c_custkey * 104729) % 100000 AS p2 FROM customer)",
-    "edges": "edges AS (SELECT DISTINCT l_partkey % 60 AS src, l_orderkey % 60 AS dst FROM lineitem WHERE l_quantity = 50 AND l_discount = 0)",
+    "links": "links AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)",
     "genes": "genes AS (SELECT p_name AS gene, p_partkey AS key, 'chr' || (p_partkey % 4 + 1) AS chrom, (p_partkey * 7919) % 100000 AS start, (p_partkey * 7919) % 100000 + 500 + 100 * p_size AS \"end\", CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part)",
     "blocks": "blocks AS (SELECT * FROM (VALUES (0, 'chr1', 10, 60, '+', 0), (1, 'chr3', 20, 70, '-', 50), (2, 'chr2', 0, 40, '+', 100)) t(block, chrom, lo, hi, strand, \"offset\"))",
 }
