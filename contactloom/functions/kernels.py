@@ -89,6 +89,20 @@ def best_line(distance: np.ndarray, x: np.ndarray, y: np.ndarray, least: int = 5
     return max(found, key=lambda f: f[1])
 
 
+def smoothed_square(window: np.ndarray, sigma: float) -> list[float] | None:
+    """A square matrix, given row by row, blurred along both sides and scaled to 0..1."""
+    side, reach = int(np.sqrt(len(window))), int(4 * sigma + 0.5)
+    k = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    at = np.arange(side)[:, None] + np.arange(-reach, reach + 1)
+    at = np.mod(at, 2 * side)
+    at = np.where(at < side, at, 2 * side - 1 - at)  # mirrored at the edges
+    weights = np.zeros((side, side))
+    np.add.at(weights, (np.arange(side)[:, None], at), k / k.sum())
+    out = weights @ window.reshape(side, side) @ weights.T
+    low, high = out.min(), out.max()
+    return ((out - low) / (high - low)).ravel().tolist() if high > low else None
+
+
 def log_normal_density(x: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
     return -0.5 * (np.log(2 * np.pi * variances) + (x[:, None] - means) ** 2 / variances)
 

@@ -11,6 +11,11 @@ def bare_chrom(c: Column) -> Column:
     return F.ltrim(c, F.lit("chr"))
 
 
+def prefix(names: Column) -> Column:
+    """The prefix of a set of names, as an aggregate: `chr` where the first by code point starts with it, else none."""
+    return F.when(F.startswith(F.min(names), F.lit("chr")), "chr").otherwise("")
+
+
 def toggled_chrom(c: Column) -> Column:
     return F.when(F.startswith(c, F.lit("chr")), F.substring(c, F.lit(4), F.length(c))).otherwise(F.concat(F.lit("chr"), c))
 

@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def axis(blocks: DataFrame, bins: DataFrame, size: int) -> DataFrame:
-    """(idx, block, bin_id, chrom, start) of blocks (block, chrom, lo, hi, strand, offset), bounds in bins; a - block runs
-    backwards."""
-    rows = blocks.select("block", "chrom", "lo", "hi", "strand", "offset", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("at"))
+def axis(blocks: DataFrame, bins: DataFrame, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, idx, block, bin_id, chrom, start) of blocks (*keys, block, chrom, lo, hi, strand, offset), bounds in bins; a -
+    block runs backwards. Keys name axes, such as assemblies; what follows works on all of them at once."""
+    rows = blocks.select(*keys, "block", "chrom", "lo", "hi", "strand", "offset", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("at"))
     idx = F.col("offset") + F.when(F.col("strand") == "+", F.col("at") - F.col("lo")).otherwise(F.col("hi") - 1 - F.col("at"))
-    rows = rows.select(idx.alias("idx"), "block", "chrom", (F.col("at") * size).alias("start"))
+    rows = rows.select(*keys, idx.alias("idx"), "block", "chrom", (F.col("at") * size).alias("start"))
     return rows.join(bins.select("chrom", "start", "bin_id"), ["chrom", "start"])
 
 
@@ -21,11 +21,36 @@ def is_one_to_one(frame: DataFrame) -> DataFrame:
     return frame.agg((F.count(F.lit(1)) == F.countDistinct("bin_id")).alias("ok"))
 
 
-def remapped(pixels: DataFrame, frame: DataFrame) -> DataFrame:
-    """(i, j, count) with i <= j on the axis."""
-    place = frame.select("bin_id", "idx")
-    rows = pixels.join(place.select(F.col("bin_id").alias("bin1_id"), F.col("idx").alias("a")), "bin1_id").join(place.select(F.col("bin_id").alias("bin2_id"), F.col("idx").alias("b")), "bin2_id")
-    return rows.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "count").groupBy("i", "j").agg(F.sum("count").alias("count"))
+def remapped(pixels: DataFrame, frame: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, i, j, count) with i <= j on the axis."""
+    place = frame.select(*keys, "bin_id", "idx")
+    rows = pixels.join(place.withColumnsRenamed({"bin_id": "bin1_id", "idx": "a"}), "bin1_id").join(place.withColumnsRenamed({"bin_id": "bin2_id", "idx": "b"}), ["bin2_id", *keys])
+    return rows.select(*keys, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "count").groupBy(*keys, "i", "j").agg(F.sum("count").alias("count"))
+
+
+def tight(calls: DataFrame, frame: DataFrame) -> DataFrame:
+    """Calls (chrom1, start1, chrom2, start2, ...) both of whose anchors are bins of the axis."""
+    for s in "12":
+        calls = calls.join(frame.select(F.col("chrom").alias(f"chrom{s}"), F.col("start").alias(f"start{s}")).distinct(), [f"chrom{s}", f"start{s}"], "left_semi")
+    return calls
+
+
+def picked(calls: DataFrame, frame: DataFrame, contacts: DataFrame, size: int, only_neo: bool = False) -> DataFrame:
+    """(id, i, j, count): for each call (id, chrom1, start1, end1, chrom2, start2, end2, neo) the axis cell with most
+    contacts within a bin around its anchors, the first in a tie. Neo calls join two blocks, others lie in one; calls of
+    another bin size are left out."""
+    place = frame.select("idx", "block", "chrom", "start")
+    rows = calls.where(F.col("end1") - F.col("start1") == size)
+    rows = rows.where("neo = 1") if only_neo else rows
+    for s in "12":
+        around = F.sequence(F.floor(F.col(f"start{s}") / size) - 1, F.ceil(F.col(f"end{s}") / size))
+        rows = rows.withColumn(f"at{s}", F.explode(F.transform(around, lambda b: b * size)))
+        own = place.select(F.col("chrom").alias(f"chrom{s}"), F.col("start").alias(f"at{s}"), F.col("idx").alias(f"idx{s}"), F.col("block").alias(f"block{s}"))
+        rows = rows.join(own, [f"chrom{s}", f"at{s}"])
+    rows = rows.where((F.col("block1") != F.col("block2")) == (F.col("neo") == 1))
+    rows = rows.select("id", "at1", "at2", F.least("idx1", "idx2").alias("i"), F.greatest("idx1", "idx2").alias("j")).join(contacts.select("i", "j", "count"), ["i", "j"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
+    best = F.min(F.struct((-F.col("count")).alias("less"), "at1", "at2", "i", "j"))
+    return rows.groupBy("id").agg(best.alias("b")).select("id", "b.i", "b.j", (-F.col("b.less")).alias("count"))
 
 
 def gap_free(contacts: DataFrame, least: int = 11) -> DataFrame:
@@ -58,14 +83,16 @@ def lifted_intervals(rows: DataFrame, blocks: DataFrame, size: int) -> DataFrame
     return met.select(F.col("a_id").alias("id"), F.col("b_block").alias("block"), (F.col("b_base") + F.when(plus, s - F.col("b_start")).otherwise(F.col("b_end") - e)).alias("lo"), (F.col("b_base") + F.when(plus, e - F.col("b_start")).otherwise(F.col("b_end") - s)).alias("hi"), F.when(plus, F.col("a_strand")).otherwise(turned).alias("strand"))
 
 
-def decay(contacts: DataFrame, frame: DataFrame, weights: DataFrame, longest: int, least: int = 3) -> DataFrame:
-    """(block1, block2, distance, mean): mean balanced contact of each pair of blocks by axis distance from 2 to `longest`,
+def decay(contacts: DataFrame, frame: DataFrame, weights: DataFrame, longest: int, least: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, block1, block2, distance, mean): mean balanced contact of each pair of blocks by axis distance from 2 to `longest`,
     over all pairs of valid bins; at least `least` of them, and a mean above 0."""
-    ok = frame.join(weights.where(F.col("weight") > 0).select("bin_id", "weight"), "bin_id").select("idx", "block", "weight")
-    a = ok.select(F.col("idx").alias("i"), F.col("block").alias("block1"), F.col("weight").alias("w1"))
-    b = ok.select(F.col("idx").alias("j"), F.col("block").alias("block2"), F.col("weight").alias("w2"))
-    cells = a.withColumn("j", F.explode(F.sequence(F.col("i") + 2, F.col("i") + longest))).join(b, "j")
-    pairs = cells.groupBy("block1", "block2", (F.col("j") - F.col("i")).alias("distance")).agg(F.count(F.lit(1)).alias("n"))
-    sums = contacts.where((F.col("j") - F.col("i")).between(2, longest)).join(a, "i").join(b, "j")
-    sums = sums.groupBy("block1", "block2", (F.col("j") - F.col("i")).alias("distance")).agg(F.sum(F.col("count") * F.col("w1") * F.col("w2")).alias("total"))
-    return pairs.join(sums, ["block1", "block2", "distance"]).where((F.col("n") >= least) & (F.col("total") > 0)).select("block1", "block2", "distance", (F.col("total") / F.col("n")).alias("mean"))
+    ok = frame.join(weights.where(F.col("weight") > 0).select("bin_id", "weight"), "bin_id").select(*keys, "idx", "block", "weight")
+    a = ok.select(*keys, F.col("idx").alias("i"), F.col("block").alias("block1"), F.col("weight").alias("w1"))
+    b = ok.select(*keys, F.col("idx").alias("j"), F.col("block").alias("block2"), F.col("weight").alias("w2"))
+    by = [*keys, "block1", "block2", "distance"]
+    far = (F.col("j") - F.col("i")).alias("distance")
+    cells = a.withColumn("j", F.explode(F.sequence(F.col("i") + 2, F.col("i") + longest))).join(b, [*keys, "j"])
+    pairs = cells.withColumn("distance", far).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    sums = contacts.where((F.col("j") - F.col("i")).between(2, longest)).join(a, [*keys, "i"]).join(b, [*keys, "j"])
+    sums = sums.withColumn("distance", far).groupBy(*by).agg(F.sum(F.col("count") * F.col("w1") * F.col("w2")).alias("total"))
+    return pairs.join(sums, by).where((F.col("n") >= least) & (F.col("total") > 0)).select(*by, (F.col("total") / F.col("n")).alias("mean"))

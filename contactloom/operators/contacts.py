@@ -71,6 +71,38 @@ def mad_filter(coverage: DataFrame, bins: DataFrame, most: float = 5.0) -> DataF
     return rows.crossJoin(F.broadcast(limits)).select("bin_id", "scaled", (F.col("scaled") >= F.exp(F.col("center") - most * F.col("mad"))).alias("kept"))
 
 
+def usable_bins(pixels: DataFrame, bins: DataFrame, min_nnz: int = 10, min_count: int = 0, mad_max: float = 5.0, ignore: int = 1) -> DataFrame:
+    """Bins with at least `min_nnz` contacts off the first `ignore` diagonals, a coverage of at least `min_count`, and a
+    coverage that isn't far below their chromosome's."""
+    cover = marginals(pixels, ignore)
+    kept = mad_filter(cover, bins, mad_max).where("kept").join(cover.where((F.col("nnz") >= min_nnz) & (F.col("coverage") >= min_count)), "bin_id")
+    return bins.join(kept.select("bin_id"), "bin_id", "left_semi")
+
+
+def mean_marginal(pixels: DataFrame) -> DataFrame:
+    """One row, `scale`: the mean coverage of bins that have any."""
+    return marginals(pixels).where("coverage > 0").agg(F.avg("coverage").alias("scale"))
+
+
+def bias(bins: DataFrame, weight: str = "weight") -> DataFrame:
+    """Bins with `bias`, one over the weight; 0 for bins that don't count."""
+    return bins.withColumn("bias", F.when(is_valid(F.col(weight)), 1 / F.col(weight)).otherwise(0.0))
+
+
+#: Base pairs of the genome that depths refer to, and the share of contacts within chromosomes (fixed values).
+GENOME, WITHIN = 3_031_042_417, 0.73256754
+
+
+def model_choice(pixels: DataFrame, bins: DataFrame, size: int, models: dict[int, list[int]]) -> DataFrame:
+    """(size, depth, chosen): the nearest of the models' bin sizes, the depth that the map has for it, and the nearest of
+    its depths."""
+    at = min(models, key=lambda m: abs(m - size))
+    genome = bins.groupBy("chrom").agg(F.max("end").alias("n")).agg(F.sum("n").alias("genome"))
+    rows = depth(pixels).crossJoin(genome)  # one row each
+    rows = rows.withColumn("depth", F.lit(float(GENOME)) / F.col("genome") * F.col("depth") * (size / at) * F.lit(WITHIN))
+    return rows.select(F.lit(at).alias("size"), "depth", nearest_value(models[at], F.col("depth")).alias("chosen"))
+
+
 def valid_pairs(bins: DataFrame, longest: int | None = None, by: tuple[str, ...] = ("chrom",), weight: str = "weight", value: str | None = None) -> DataFrame:
     """(*by, distance, pairs): how many pairs of valid bins there are at each distance in bins; with `value` also by the
     values of both, as <value>1 <= <value>2. Counts are correlations of the masks of a chromosome's bins, so that no pair

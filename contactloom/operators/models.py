@@ -51,22 +51,28 @@ def slopes(observed: DataFrame, curve: DataFrame, keys: list[str], least: int =
 
 
 def best_slopes(observed: DataFrame, curve: DataFrame, keys: list[str], ranges: list[int], least: int = 5) -> DataFrame:
-    """For each group the line of largest R2 over ranges of distance, the first in a tie."""
+    """For each group the line of largest R2 over ranges of distance, the first in a tie; unclear where any range's trend is."""
     rows = observed.withColumn("upto", F.explode(F.lit(ranges))).where(F.col("distance") <= F.col("upto"))
     every = slopes(rows, curve, [*keys, "upto"], least)
-    best = every.groupBy(*keys).agg(F.max_by(F.struct("upto", "slope", "r2", "n", "unclear"), F.struct("r2", -F.col("upto"))).alias("b"))
-    return best.select(*keys, "b.*")
-
-
-def rescaled(contacts: DataFrame, frame: DataFrame, lines: DataFrame, least_r2: float = 0.6) -> DataFrame:
-    """Axis contacts with `scaled`: blocks over their own slope, pairs of blocks times min(1 / slope, 5 / largest own
-    slope), where R2 is above the level and the slope above 0; others as they are."""
-    ok = lines.where((F.col("r2") > least_r2) & (F.col("slope") > 0))
-    own = ok.where("block1 = block2").agg(F.max("slope").alias("top"))
-    factor = F.when(F.col("block1") == F.col("block2"), 1 / F.col("slope")).otherwise(F.least(1 / F.col("slope"), F.coalesce(5 / F.col("top"), 1 / F.col("slope"))))
-    factors = ok.crossJoin(own).select("block1", "block2", factor.alias("factor"))  # one row
+    best = every.groupBy(*keys).agg(F.max_by(F.struct("upto", "slope", "r2", "n"), F.struct("r2", -F.col("upto"))).alias("b"), F.max("unclear").alias("unclear"))
+    return best.select(*keys, "b.*", "unclear")
+
+
+def rescaled(contacts: DataFrame, frame: DataFrame, lines: DataFrame, least_r2: float = 0.6, given: DataFrame | None = None) -> DataFrame:
+    """Axis contacts with `scaled`: blocks over their own slope, pairs of blocks times min(1 / slope, 5 / the larger slope of
+    the two blocks), where R2 is above the level and the slopes above 0; others as they are. Slopes `given` (block1,
+    block2, slope) go before those found."""
+    own = lines.where("block1 = block2").select(F.col("block1").alias("block"), F.col("slope").alias("own"))
+    rows = lines.join(own.toDF("block1", "own1"), "block1", "left").join(own.toDF("block2", "own2"), "block2", "left")
+    top = F.greatest(F.coalesce("own1", F.lit(0.0)), F.coalesce("own2", F.lit(0.0)))
+    ok = (F.col("r2") > least_r2) & (F.col("slope") > 0) & (top > 0)
+    factor = F.when(F.col("block1") == F.col("block2"), 1 / F.col("slope")).otherwise(F.least(1 / F.col("slope"), 5 / top))
+    factors = rows.select("block1", "block2", F.when(ok, factor).alias("factor"))
+    if given is not None:
+        named = given.select("block1", "block2", (1 / F.col("slope")).alias("user"))
+        factors = factors.join(named, ["block1", "block2"], "full").select("block1", "block2", F.coalesce("user", "factor").alias("factor"))
     place = frame.select("idx", "block")
-    rows = contacts.join(place.select(F.col("idx").alias("i"), F.col("block").alias("block1")), "i").join(place.select(F.col("idx").alias("j"), F.col("block").alias("block2")), "j")
+    rows = contacts.join(place.toDF("i", "block1"), "i").join(place.toDF("j", "block2"), "j")
     return rows.join(factors, ["block1", "block2"], "left").select("i", "j", "count", (F.col("count") * F.coalesce("factor", F.lit(1.0))).alias("scaled"))
 
 
@@ -198,6 +204,17 @@ def windows(candidates: DataFrame, pixels: DataFrame, curve: DataFrame, half: in
     return rows.withColumn("center", center).withColumn("corner", corner).where((nonzero >= 0.1 * side * side) & (F.col("corner") > 0) & (F.col("center") > 0.1 * F.col("corner")))
 
 
+def smoothed(window: Column, sigma: float = 1.0) -> Column:
+    """A square window, row by row, blurred by a Gaussian (cut at four sigmas, edges mirrored) and scaled to 0..1; null
+    where it is flat."""
+
+    @F.pandas_udf("array<double>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda w: kernels.smoothed_square(np.asarray(w, float), sigma), na_action="ignore")
+
+    return run(window)
+
+
 def scored(rows: DataFrame, scorer: Column, least: float) -> DataFrame:
     """Windows with prob by any scorer (an expression or a pandas UDF on `window`), at least `least`."""
     return rows.withColumn("prob", scorer).where(F.col("prob") >= least)
@@ -267,6 +284,34 @@ def simulated(pixels: DataFrame, bins: DataFrame, reference: int, cn: str = "cn"
     return rows.join(factors, (F.col("k1") == factors["cn1"]) & (F.col("k2") == factors["cn2"]), "left").select("bin1_id", "bin2_id", "count", (F.col("count") * F.coalesce("factor", F.lit(0.0))).alias("simulated"))
 
 
+def simulated_cis(pixels: DataFrame, bins: DataFrame, reference: int, near: int, cn: str = "cn") -> DataFrame:
+    """(bin1_id, bin2_id, count, simulated): counts within chromosomes times the factor of their copy numbers: the slope of
+    the pair's means by distance on those of (reference, reference), up to `near` bins, or else beyond, where it is above
+    0 with an R2 above 0.5; 1 where neither is."""
+    means = cn_pairs(pixels, bins, trans=False, cn=cn).withColumn("far", (F.col("distance") > near).cast("int"))
+    both = means.unionByName(means.where(F.col("distance") == near).withColumn("far", F.lit(1)))  # the edge is in both bands
+    curve = means.where((F.col("cn1") == reference) & (F.col("cn2") == reference)).select("distance", F.col("mean").alias("value"))
+    found = slopes(both.where((F.col("cn1") != reference) | (F.col("cn2") != reference)), curve, ["cn1", "cn2", "far"])
+    found = found.where("slope > 0 AND r2 > 0.5").groupBy("cn1", "cn2").agg(F.min_by("slope", "far").alias("factor"))
+    rows = paired(pixels, bins, "chrom", cn).where("chrom1 = chrom2").withColumn("k1", F.least(f"{cn}1", f"{cn}2")).withColumn("k2", F.greatest(f"{cn}1", f"{cn}2"))
+    return rows.join(found.toDF("k1", "k2", "factor"), ["k1", "k2"], "left").select("bin1_id", "bin2_id", "count", (F.col("count") * F.coalesce("factor", F.lit(1.0))).alias("simulated"))
+
+
+def merged_spans(rows: DataFrame, cuts: DataFrame, least: int = 3, apart: float = 0.4, value: str = "value") -> DataFrame:
+    """(chrom, start, end): spans of a track (chrom, idx, value) between cuts (chrom, end), short and alike neighbours put
+    together from the left. A task holds one chromosome's axis."""
+    both = rows.select("chrom", "idx", F.col(value).cast("double").alias("x"), F.lit(False).alias("cut")).unionByName(cuts.select("chrom", F.col("end").alias("idx"), F.lit(None).cast("double").alias("x"), F.lit(True).alias("cut")))
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        track = part[~part["cut"]].sort_values("idx")
+        at, x = track["idx"].to_numpy(), track["x"].to_numpy()
+        inside = {int(i) for i in np.searchsorted(at, part[part["cut"]]["idx"].to_numpy())}
+        found = kernels.merged_spans(x, sorted({0, len(x)} | inside), least, apart) if len(x) else []
+        return pd.DataFrame([(part["chrom"].iloc[0], at[a], at[b - 1] + 1) for a, b in found], columns=["chrom", "start", "end"])
+
+    return both.groupBy("chrom").applyInPandas(merge, "chrom string, start bigint, end bigint")
+
+
 def block_bounds(contacts: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, start, end): stretches within a block of contacts (i, j, value) whose rows vary together. A task holds one
     block's matrix; a block is as wide as the flanks of a rearrangement, which the axis bounds."""

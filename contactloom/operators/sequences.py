@@ -67,3 +67,21 @@ def absorb_and_merge(segments: DataFrame, most_bins: int = 5, keys: tuple[str, .
     after = F.first("__keep", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
     rows = rows.withColumn("cn", F.coalesce("__keep", before, after)).drop("__keep")
     return merged(rows, "cn", keys)
+
+
+def without_rare(segments: DataFrame, least: int = 5, cn: str = "cn") -> DataFrame:
+    """Segments (start, end, cn): while a copy number has fewer than `least` bins in all, the rarest (the largest in a tie)
+    takes the nearest other number (the smaller in a tie). Only the distinct numbers and their counts meet in one
+    place."""
+    counts = {r[cn]: r["n"] for r in segments.groupBy(cn).agg(F.sum(F.col("end") - F.col("start")).alias("n")).collect()}
+    into = {k: k for k in counts}
+    while len(counts) > 1 and min(counts.values()) < least:
+        rare = max(counts, key=lambda k: (-counts[k], k))
+        near = min((k for k in counts if k != rare), key=lambda k: (abs(k - rare), k))
+        counts[near] += counts.pop(rare)
+        into = {k: near if v == rare else v for k, v in into.items()}
+    moved = {k: v for k, v in into.items() if k != v}
+    if not moved:
+        return segments
+    pairs = F.create_map(*[F.lit(x) for kv in moved.items() for x in kv])
+    return segments.withColumn(cn, F.coalesce(pairs[F.col(cn)], F.col(cn)).cast(segments.schema[cn].dataType))
