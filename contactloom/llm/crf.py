@@ -18,8 +18,9 @@ from contactloom.llm.pretokens import LETTERS, Numbers, is_plain
 
 BITS = 17
 SIZES = (1, 2, 3, 4)
-#: Words of a chain; a longer text is several chains, all of whose words count.
-CHAIN = 1024
+#: Words of a block. A longer text is several blocks, worked on side by side, between which the messages of
+#: forward-backward are carried: a text is one chain.
+BLOCK = 1024
 FAST = re.compile(rf"[{LETTERS}]+")
 FULL = regex.compile(r"\p{L}+")
 
@@ -73,25 +74,30 @@ class Field:
         return np.stack([np.bincount(o, self.weights[f, k], len(words)) * scale for k in range(len(self.languages))], axis=1)
 
 
-def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray, pairs: bool = False, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Chains e (chain, word, language), padded to one length: each word's probability of each language (0 beyond a
-    chain's end), and with `pairs` the expected number of each transition (for chains without padding)."""
+    chain's end), and with `pairs` the expected number of each transition (for chains without padding). A chain that is a
+    part of a longer one has the weights (language) with which what stands before and after it `enter`s and `leave`s."""
     count, steps, k = e.shape
     # steps first, so that a step's numbers lie together
     x = np.exp(np.ascontiguousarray((e - e.max(axis=2, keepdims=True)).transpose(1, 0, 2)))
     trans, back = np.exp(transitions), np.ascontiguousarray(np.exp(transitions).T)
-    alpha, beta = np.empty_like(x), np.ones_like(x)
-    a = x[0] * np.exp(start)
+    enter = np.broadcast_to(np.exp(start), (count, k)) if enter is None else enter
+    leave = np.ones((count, k)) if leave is None else leave
+    alpha, beta = np.empty_like(x), np.empty_like(x)
+    a = x[0] * enter
     alpha[0] = a / a.sum(axis=1, keepdims=True)
     for t in range(1, steps):
         a = (alpha[t - 1] @ trans) * x[t]
         alpha[t] = a / a.sum(axis=1, keepdims=True)
     shortest = int(lengths.min()) if count else 0
+    beta[steps - 1] = leave
     for t in range(steps - 2, -1, -1):
         b = (x[t + 1] * beta[t + 1]) @ back
         b /= b.sum(axis=1, keepdims=True)
         if t + 1 >= shortest:
-            b[t + 1 >= lengths] = 1.0
+            ended = t + 1 >= lengths
+            b[ended] = leave[ended]
         beta[t] = b
     p = alpha * beta
     p /= p.sum(axis=2, keepdims=True)
@@ -103,6 +109,37 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray
     return p.transpose(1, 0, 2), joint
 
 
+def crossings(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """For each chain the matrix (from the weights that enter its first word, to those of its last), up to a factor."""
+    count, steps, k = e.shape
+    x = np.exp(np.ascontiguousarray((e - e.max(axis=2, keepdims=True)).transpose(1, 0, 2)))
+    trans = np.exp(transitions)
+    out = np.zeros((count, k, k))
+    out[:, np.arange(k), np.arange(k)] = x[0]
+    for t in range(1, steps):
+        more = t < lengths
+        m = (out @ trans) * x[t][:, None, :]
+        m /= m.max(axis=(1, 2), keepdims=True)
+        out = np.where(more[:, None, None], m, out)
+    return out
+
+
+def ends(through: np.ndarray, first: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters and leaves each block of chains, from the blocks' crossings in order; `first` marks a chain's first
+    block."""
+    n, k = len(through), len(start)
+    trans = np.exp(transitions)
+    enter, leave = np.empty((n, k)), np.ones((n, k))
+    for b in range(n):
+        v = np.exp(start) if first[b] else (enter[b - 1] @ through[b - 1]) @ trans
+        enter[b] = v / v.sum()
+    for b in range(n - 2, -1, -1):
+        if not first[b + 1]:
+            v = trans @ (through[b + 1] @ leave[b + 1])
+            leave[b] = v / v.sum()
+    return enter, leave
+
+
 def fit(texts: list[tuple[str, str]], seed: int = 5, span: int = 32, per_text: int = 4, chains: int = 1500, spans: int = 3, stay: float = 0.8, lexicon: int = 300, rounds: int = 40, ridge: float = 1e-4) -> Field | None:
     """A field from (text, language) pairs. Chains are put together from spans of texts, the next span in the same
     language with probability `stay`, so that transitions are seen. None without texts that have letters."""
@@ -188,16 +225,24 @@ class Labeller:
                 self.used += len(part)
         sums = np.zeros((len(texts), k))
         begins = np.cumsum(counts) - counts
-        chains = [(min(CHAIN, n - i), b + i, d) for d, (b, n) in enumerate(zip(begins.tolist(), counts.tolist(), strict=True)) for i in range(0, n, CHAIN)]
-        chains.sort()
+        blocks = [(min(BLOCK, n - i), b + i, d, i == 0, n > BLOCK) for d, (b, n) in enumerate(zip(begins.tolist(), counts.tolist(), strict=True)) for i in range(0, n, BLOCK)]
+        if not blocks:
+            return sums, counts
+        lengths, starts, docs, first, long = (np.array(v) for v in zip(*blocks, strict=True))
+        enter, leave = np.tile(np.exp(self.field.start), (len(blocks), 1)), np.ones((len(blocks), k))
+        emission = lambda own: self.known[at[np.minimum(starts[own][:, None] + np.arange(lengths[own].max()), len(at) - 1)]]
+        parts = np.flatnonzero(long)
+        if len(parts):
+            through = np.concatenate([crossings(emission(own), lengths[own], self.field.transitions) for own in np.array_split(parts, -(-len(parts) // 512))])
+            enter[parts], leave[parts] = ends(through, first[parts], self.field.transitions, self.field.start)
+        order = np.argsort(lengths, kind="stable")
         i = 0
-        while i < len(chains):
-            j = i + 1  # chains of about one length, so that little is padding
-            while j < len(chains) and j - i < 512 and chains[j][0] <= chains[i][0] * 1.2 + 8:
+        while i < len(order):
+            j = i + 1  # blocks of about one length, so that little is padding
+            while j < len(order) and j - i < 512 and lengths[order[j]] <= lengths[order[i]] * 1.2 + 8:
                 j += 1
-            lengths, starts, docs = (np.array(v) for v in zip(*chains[i:j], strict=True))
-            where = np.minimum(starts[:, None] + np.arange(lengths[-1]), len(at) - 1)
-            p, _ = forward_backward(self.known[at[where]], lengths, self.field.transitions, self.field.start)
-            np.add.at(sums, docs, p.sum(axis=1))
+            own = order[i:j]
+            p, _ = forward_backward(emission(own), lengths[own], self.field.transitions, self.field.start, enter=enter[own], leave=leave[own])
+            np.add.at(sums, docs[own], p.sum(axis=1))
             i = j
         return sums / np.maximum(counts, 1)[:, None], counts

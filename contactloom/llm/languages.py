@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm import crf
-from contactloom.llm.common import on_workers
+from contactloom.llm.common import fresh, on_workers
 from contactloom.llm.token_ids import chunks
 
 UNKNOWN = "und"
@@ -19,19 +19,19 @@ UNKNOWN = "und"
 def fit(docs: DataFrame, per_language: int = 300, most_bytes: int = 1 << 16, key: str = "doc_id", text: str = "text", language: str = "lang") -> crf.Field | None:
     """A field of texts with a language: of each the `per_language` least by a hash, one in each class of it, so that
     no task holds a language; none over `most_bytes`. All languages are learned, so the driver holds `per_language` texts
-    of each. None where there are no such."""
+    of each; rows that repeat a key in a language give its last text by code point. None where there are no such."""
     some = docs.where(F.col(language).isNotNull() & F.col(key).isNotNull() & (F.octet_length(text) <= most_bytes))
     h = F.xxhash64(F.lit(7), key)
-    picks = some.groupBy(F.col(language).alias("y"), F.pmod(h, F.lit(per_language)).alias("r")).agg(F.min(F.struct(h, F.col(key)))[key].alias(key)).select(key, "y")
-    rows = some.join(F.broadcast(picks), (some[key] == picks[key]) & (some[language] == picks["y"]), "left_semi")  # keys of what the driver holds next
-    found = rows.select(text, language).toArrow().to_pylist()
-    return crf.fit(sorted((r[text], r[language]) for r in found))
+    picks = some.groupBy(F.col(language).alias("y"), F.pmod(h, F.lit(per_language)).alias("r")).agg(F.min(F.struct(h, F.col(key)))[key].alias("k")).select("k", "y")
+    rows = some.select(F.col(key).alias("k"), F.col(language).alias("y"), F.col(text).alias("t")).join(F.broadcast(picks), ["k", "y"])  # keys of what the driver holds next
+    found = rows.groupBy("k", "y").agg(F.max("t").alias("t")).select("t", "y").toArrow().to_pylist()
+    return crf.fit(sorted((r["t"], r["y"]) for r in found))
 
 
 def labelled(docs: DataFrame, field: crf.Field | None, text: str = "text") -> DataFrame:
     """The rows with lang_pred and score (replaced where they are there): the language with the largest mean probability
     over the words, the first by name in a tie, and that mean; UNKNOWN and 0 for texts that are null or have no letter,
-    and for all without a field. Nothing moves."""
+    and for all without a field. A text is one chain, however long. Nothing moves."""
     on_workers(docs.sparkSession)
     kind = "struct<lang_pred: string, score: double>"
     if field is None:
@@ -49,4 +49,6 @@ def labelled(docs: DataFrame, field: crf.Field | None, text: str = "text") -> Da
                 score.extend(np.clip(shares.max(axis=1), 0, 1))
             yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
-    return docs.withColumn("__l", run(F.col(text))).withColumn("lang_pred", F.col("__l.lang_pred")).withColumn("score", F.col("__l.score")).drop("__l")
+    (found,) = fresh(docs, "found")
+    out = docs.withColumn(found, run(F.col(text)))
+    return out.withColumns({c: F.col(f"{found}.{c}") for c in ("lang_pred", "score")}).drop(found)
