@@ -1,8 +1,9 @@
 """Document fingerprints: one-permutation MinHash over shingles of five words.
 
 Each shingle is hashed once. The top bits of the hash name a bin, which keeps its smallest hash. An empty bin is
-filled by optimal densification: it probes bins in an order of its own, the same for every document, and takes the
-value of the first that isn't empty. Of each bin the low 8 bits are stored. Two fingerprints agree in a bin by
+filled by optimal densification: it probes all bins in an order of its own, by a hash of the pair and the same for every
+document, and takes the value of the first that isn't empty. The first probes look that order up, the rest compares the
+hashes of the full bins, which comes to the same bin. Of each bin the low 8 bits are stored. Two fingerprints agree in a bin by
 chance with probability 2^-8, which the likeness takes off: (m - c) / (1 - c), at least 0.
 """
 
@@ -10,16 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import cut_points, let, part_of, shingle_hashes
+from contactloom.llm.common import cut_points, fresh, let, part_of, shingle_hashes
 
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
 LOW_BITS = 8
 LANES = 64 // LOW_BITS
+#: Probes that look the order up.
 PROBES = 12
 CHANCE = 1.0 / (1 << LOW_BITS)
 
@@ -28,15 +31,10 @@ def bin_of(value: Column) -> Column:
     return F.shiftrightunsigned(value, 64 - BIN_BITS).cast("int")
 
 
-def mixed(*parts: int) -> int:
-    """A small fixed hash for probe tables (splitmix64)."""
-    x = 0
-    for p in parts:
-        x = (x + p + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-        x ^= x >> 31
-    return x
+def probe_order(i: int) -> list[int]:
+    """The order in which an empty bin i probes all bins: by Spark's xxhash64 of the pair (i, bin)."""
+    pair = lambda b: xxhash.xxh64_intdigest(b.to_bytes(4, "little"), xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 42))
+    return sorted(range(BINS), key=lambda b: (pair(b) ^ 1 << 63, b))  # as signed numbers
 
 
 def bin_values(hashes: Column) -> Column:
@@ -50,11 +48,13 @@ def bin_values(hashes: Column) -> Column:
         place = lambda x: turned(bin_of(x))
         return F.flatten(F.concat(F.array(gap(place(F.get(f, F.lit(0))))), F.transform(f, lambda x, i: F.concat(F.array(x), gap(F.coalesce(place(F.get(f, i + 1)), F.lit(BINS)) - place(x) - 1)))))
 
-    tables = [F.array(*[F.lit(mixed(i, t) % BINS) for i in range(BINS)]) for t in range(PROBES)]
+    orders = [probe_order(i) for i in range(BINS)]
+    tables = [F.lit([o[t] for o in orders]) for t in range(PROBES)]
 
     def filled(f: Column) -> Column:
         def at(b: Column, i: Column) -> Column:
             probes = [F.get(b, F.get(t, i)) for t in tables]
+            # the first full bin of the same order, found by its hash
             rest = F.array_min(F.transform(f, lambda x: F.struct(F.xxhash64(i, bin_of(x)).alias("h"), x.alias("x"))))["x"]
             return F.coalesce(F.get(b, i), *probes, rest)
 
@@ -105,21 +105,23 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(df: DataFrame, key: str, text: str, derive: dict[str, Callable[[Column], Column]], rows_per_part: int = 500) -> DataFrame:
     """Each row's successor by descending key (null last; rows of one key by text), the last row's being the first:
     `next_<column>` for the text and the columns of `derive`, which are made of the text, once a row. Rows are parted by
-    key range, and each part gets a guard, the first row of the part below, so that no task sorts all rows."""
+    key range, and each part gets a guard, the first row of the part below, so that no task sorts all rows. Other columns
+    stay, whatever their names; those of `derive` and next_<column> are replaced."""
     cuts = cut_points(df, key, rows_per_part)
-    df = df.withColumn("__part", part_of(F.col(key), cuts))
-    first = df.groupBy("__part").agg(F.max(key).alias("__key"))
-    down = W.orderBy(F.col("__part").desc())
-    first = first.withColumn("__for", F.coalesce(F.lag("__part").over(down), F.min("__part").over(W.partitionBy())))
+    part, least, to, guard, shown = fresh(df, "part", "least", "to", "guard", "shown")
+    df = df.withColumn(part, part_of(F.col(key), cuts)).withColumn(shown, F.coalesce(text, F.lit("")))
+    first = df.groupBy(part).agg(F.max(key).alias(least))
+    down = W.orderBy(F.col(part).desc())
+    first = first.withColumn(to, F.coalesce(F.lag(part).over(down), F.min(part).over(W.partitionBy())))
     bounded = F.broadcast(first) if len(cuts) < (1 << 16) else first  # a row a part
-    g = df.join(bounded, ["__part"]).where(F.col(key).eqNullSafe(F.col("__key"))).groupBy("__for").agg(F.min(F.coalesce(text, F.lit(""))).alias(text))
-    guard = g.select(F.col("__for").alias("__part"), F.lit(True).alias("__guard"), text)
-    both = df.withColumn("__guard", F.lit(False)).unionByName(guard, allowMissingColumns=True)
+    g = df.join(bounded, part).where(F.col(key).eqNullSafe(F.col(least))).groupBy(to).agg(F.min(shown).alias(shown))
+    last = g.select(F.col(to).alias(part), F.lit(True).alias(guard), F.col(shown), F.col(shown).alias(text))
+    both = df.withColumn(guard, F.lit(False)).unionByName(last, allowMissingColumns=True)
     both = both.withColumns({c: f(F.col(text)) for c, f in derive.items()})
-    order = W.partitionBy("__part").orderBy("__guard", F.col(key).desc(), F.coalesce(F.col(text), F.lit("")))
+    order = W.partitionBy(part).orderBy(guard, F.col(key).desc(), shown)
     for c in (text, *derive):
         both = both.withColumn(f"next_{c}", F.lead(c).over(order))
-    return both.where(~F.col("__guard")).drop("__guard", "__part")
+    return both.where(~F.col(guard)).drop(guard, part, shown)
 
 
 def edited(text: Column, following: Column) -> Column:
