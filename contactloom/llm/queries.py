@@ -13,6 +13,7 @@ from contactloom.llm.common import Tables, scratch, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text; null is empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = token_counts.with_token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
@@ -20,6 +21,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every whole text, learned from labels that aren't held out."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     model = toxicity.fit(docs, labels.where(~held_out))
@@ -28,6 +30,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every row whose id is divisible by 100, among all rows."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
     out = hamming.nearest(rows, rows.where("id % 100 = 0"), k=10)
     return out.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "distance")
@@ -46,6 +49,7 @@ SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= 10
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from the token-id files of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     folder = scratch(spark, "token-ids")
     token_ids.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -54,6 +58,7 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates, from 85 percent on."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -75,6 +80,7 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN lowest USING (doc_id)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = bpe.encode(docs, path, decode=True)
@@ -82,6 +88,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from documents that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     field = languages.fit(docs.where(~held_out))
@@ -90,6 +97,7 @@ def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards by the document's key; a 25th takes rows only into itself."""
     docs = table(spark, sf_dir, "documents")
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size")
     rows = docs.select("doc_id", size, F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
@@ -98,6 +106,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
     docs = Tables(spark, "op9").written(docs, "sizes")  # texts are read once
     out = mixing.mix(docs, F.col("size"), content="hash")
@@ -105,6 +114,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited form, and their likenesses."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = fingerprints.with_next(docs, "doc_id", "text", {"print": fingerprints.fingerprint})
     docs = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), fingerprints.edited(F.col("text"), F.col("next_text")).alias("edited"), "print", "next_print")

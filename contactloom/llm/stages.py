@@ -44,14 +44,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tables, same = Tables(spark, "mixed"), ["doc_id", "source", "hash"]
     sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
     sizes = tables.written(sizes, "sizes")
+    several = not sizes.where("size > 0").groupBy(*same).count().where("count > 1").isEmpty()
     drawn = mixing.mix(sizes, F.col("size"), content="hash").select(*same, F.explode("draws").alias("d"))
-    drawn = drawn.groupBy(*[F.col(c).alias(f"of_{c}") for c in same]).agg(F.collect_list("d").alias("draws"), F.count(F.when(F.col("d.copy") == 0, 1)).alias("rows"))
+    drawn = drawn.groupBy(*[F.col(c).alias(f"of_{c}") for c in same]).agg(F.collect_list("d").alias("draws"))
     drawn = tables.written(drawn, "drawn", [sizes])  # three draws a row at most
-    several = not drawn.where("rows > 1").isEmpty()
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", F.xxhash64("text").alias("hash"))
     rows = rows.dropDuplicates(same) if several else rows
     met = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in same]
-    rows = rows.join(small(drawn.drop("rows")), met[0] & met[1] & met[2]).select("row", F.explode("draws").alias("d")).select("row", "d.shard", "d.order")
+    rows = rows.join(small(drawn), met[0] & met[1] & met[2]).select("row", F.explode("draws").alias("d")).select("row", "d.shard", "d.order")
     runs = spread(docs.count(), 16 * RUN_ROWS)  # of each shard
     run = F.shiftrightunsigned("order", 65 - runs.bit_length()) if runs > 1 else F.lit(0)
     return rows.repartition(16 * runs, "shard", run).sortWithinPartitions("shard", "order").select("row.*")
