@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import chain
 from math import ceil
@@ -39,27 +39,36 @@ def joined(windows: list[bytes]) -> bytes:
     return b" " + b" ".join(windows) + b" "
 
 
-def trained(size: int, texts: list[bytes]) -> bytes:
-    """A dictionary of at most `size` bytes; the texts' own bytes where there are too few to train on."""
-    samples = [t[i : i + 256] for t in texts for i in range(0, len(t), 256)]
+def trained(size: int, texts: Iterable[bytes], most: int = 1 << 24) -> bytes:
+    """A dictionary of at most `size` bytes, trained on the first `most` bytes of the texts; their own bytes where there
+    are too few to train on."""
+    samples, held = [], 0
+    for t in texts:
+        samples += [t[i : i + 256] for i in range(0, len(t), 256)]
+        held += len(t)
+        if held >= most:
+            break
     try:
-        if len(samples) < 16 or sum(map(len, samples)) < 2 * size:
+        if len(samples) < 16 or held < 2 * size:
             raise zstandard.ZstdError("few samples")
         return zstandard.train_dictionary(size, samples, k=16, d=6).as_bytes()
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def repeated(toxic: list[list[bytes]], ordinary: list[list[bytes]], size: int, least: int, share: float) -> bytes:
-    """The windows that at least `least` toxic texts have, and less than `share` times as large a part of the ordinary
-    texts; ascending by how many have them, the last `size` bytes."""
-    count, others = Counter(), Counter()
-    for t in toxic:
-        count.update(set(t))
-    for t in ordinary:
-        others.update(count.keys() & set(t))
-    a, b = max(1, len(toxic)), max(1, len(ordinary))
-    return joined([w for n, w in sorted((n, w) for w, n in count.items() if n >= least and others[w] / b < share * n / a)])[-size:]
+def repeated(toxic: list[np.ndarray], ordinary: list[np.ndarray], words: list[bytes], size: int, least: int, share: float) -> bytes:
+    """The windows, given by number, that at least `least` toxic texts have, and less than `share` times as large a part of
+    the ordinary texts; ascending by how many have them, the last `size` bytes."""
+
+    def texts_with(texts: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(words), np.int64)
+        for t in texts:
+            out[np.unique(t)] += 1
+        return out
+
+    count, others = texts_with(toxic), texts_with(ordinary)
+    kept = np.flatnonzero((count >= least) & (others / max(1, len(ordinary)) < share * count / max(1, len(toxic))))
+    return joined([w for _, w in sorted((int(count[i]), words[i]) for i in kept.tolist())])[-size:]
 
 
 @dataclass
@@ -84,6 +93,8 @@ class Gains:
         return self.made
 
     def of(self, windows: list[bytes]) -> np.ndarray:
+        if len(windows) > 1 << 16:
+            return np.concatenate([self.of(windows[i : i + (1 << 16)]) for i in range(0, len(windows), 1 << 16)])
         if not windows:
             return np.zeros(0, np.int64)
         raw = b"".join(b" " + w + b" " + TAIL for w in windows)
@@ -163,16 +174,27 @@ def fit(toxic: list[str], ordinary: list[str], level: float = 0.7, ordinary_size
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if min(len(toxic), len(ordinary)) < 8:
         return None
-    words = {t: windows_of(t) for t in (*toxic, *ordinary)}
+    numbers = Numbers()  # texts are kept as numbers of their windows, each window once
+
+    def numbered(text: str) -> np.ndarray:
+        found = windows_of(text)
+        return np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
+
+    texts = [[(fold_of(t), numbered(t)) for t in side] for side in (toxic, ordinary)]
+    words = list(numbers)
 
     def gains_of(fold: int | None) -> Gains:
-        a, b = ([words[t] for t in texts if fold is None or fold_of(t) != fold] for texts in (toxic, ordinary))
-        return Gains(trained(ordinary_size, [joined(t) for t in b]), repeated(a, b, toxic_size, max(4, ceil(least * len(a))), share))
+        a, b = ([own for f, own in side if f != fold] for side in texts)
+        dictionary = trained(ordinary_size, (joined([words[i] for i in own.tolist()]) for own in b))
+        return Gains(dictionary, repeated(a, b, words, toxic_size, max(4, ceil(least * len(a))), share))
 
     xs, ys = [], []
     for fold in range(FOLDS):
-        held = [(t, y) for y, texts in ((1, toxic), (0, ordinary)) for t in texts if fold_of(t) == fold]
-        xs.append(Scorer(gains_of(fold)).features([words[t] for t, _ in held]))
+        held = [(own, y) for y, side in ((1, texts[0]), (0, texts[1])) for f, own in side if f == fold]
+        flat = np.concatenate([own for own, _ in held]) if held else np.zeros(0, np.int32)
+        used, at = np.unique(flat, return_inverse=True)
+        gained = gains_of(fold).of([words[i] for i in used.tolist()])[at]
+        xs.append(features(gained, np.repeat(np.arange(len(held)), [len(own) for own, _ in held]), len(held)))
         ys.append(np.array([y for _, y in held], float))
     x, y = np.concatenate(xs), np.concatenate(ys)
     weights = logistic(x, y)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +25,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2500, most_ordinar
     order = [F.xxhash64("k"), F.col("k")]
     some = marked.where("y = 1").orderBy(*order).limit(most_toxic).unionByName(marked.where("y = 0").orderBy(*order).limit(most_ordinary))
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") <= most_bytes)
-    found = rows.join(F.broadcast(some), "k").groupBy("k", "y").agg(F.max("t").alias("t")).select("t", "y").toArrow().to_pylist()  # at most the two limits
-    found.sort(key=lambda r: r["t"])  # the same model whatever order rows come in
-    texts = lambda y: [r["t"] for r in found if r["y"] == y and r["t"]]
+    found = rows.join(F.broadcast(some), "k").groupBy("k", "y").agg(F.max("t").alias("t")).select("t", "y").toArrow()  # at most the two limits
+    # in order of the text: the same model whatever order rows come in
+    texts = lambda y: sorted(t for t in found.filter(pc.equal(found["y"], y))["t"].to_pylist() if t)
     return compression.fit(texts(1), texts(0), LEVEL)
 
 
