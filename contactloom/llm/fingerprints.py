@@ -32,7 +32,7 @@ def bin_of(value: Column) -> Column:
 
 
 def probe_order(i: int) -> list[int]:
-    """The order in which an empty bin i probes all bins: by Spark's xxhash64 of the pair (i, bin)."""
+    """The order in which an empty bin at place i probes all places: by Spark's xxhash64 of the two."""
     pair = lambda b: xxhash.xxh64_intdigest(b.to_bytes(4, "little"), xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 42))
     return sorted(range(BINS), key=lambda b: (pair(b) ^ 1 << 63, b))  # as signed numbers
 
@@ -42,10 +42,10 @@ def bin_values(hashes: Column) -> Column:
     # signed order puts the upper half of the bins first
     least = let(F.sort_array(hashes), lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1)))))
 
+    place = lambda x: F.pmod(bin_of(x) + BINS // 2, F.lit(BINS)).cast("int")  # noqa: E731  of a bin in signed order
+
     def placed(f: Column) -> Column:
         gap = lambda n: F.array_repeat(F.lit(None).cast("bigint"), n)
-        turned = lambda b: F.pmod(b + BINS // 2, F.lit(BINS))  # noqa: E731  place of a bin in signed order
-        place = lambda x: turned(bin_of(x))
         return F.flatten(F.concat(F.array(gap(place(F.get(f, F.lit(0))))), F.transform(f, lambda x, i: F.concat(F.array(x), gap(F.coalesce(place(F.get(f, i + 1)), F.lit(BINS)) - place(x) - 1)))))
 
     orders = [probe_order(i) for i in range(BINS)]
@@ -55,7 +55,7 @@ def bin_values(hashes: Column) -> Column:
         def at(b: Column, i: Column) -> Column:
             probes = [F.get(b, F.get(t, i)) for t in tables]
             # the first full bin of the same order, found by its hash
-            rest = F.array_min(F.transform(f, lambda x: F.struct(F.xxhash64(i, bin_of(x)).alias("h"), x.alias("x"))))["x"]
+            rest = F.array_min(F.transform(f, lambda x: F.struct(F.xxhash64(i, place(x)).alias("h"), x.alias("x"))))["x"]
             return F.coalesce(F.get(b, i), *probes, rest)
 
         return F.when(F.size(f) == 0, f).when(F.size(f) == BINS, f).otherwise(let(placed(f), lambda b: F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: at(b, i))))
