@@ -173,8 +173,8 @@ def mix(df: DataFrame, size: Column, source: str = "source", key: str = "doc_id"
 
 def changes(tables: Tables, now: DataFrame, repeats: int, near: float = 1.0, rounds: int = 30) -> DataFrame:
     """(source, chunk, sum, change) from rows (source, chunk, sum, size, times, target): how often more or less documents
-    are taken, so that every source comes within `near` words of its target, or as near as a document more and one less
-    bring it. A round changes two documents a source at most."""
+    are taken, so that every source comes within `near` words of its target, or as near as documents of one size more and of
+    another less bring it."""
     now, done = tables.written(now, "now"), None
     for _ in range(rounds):
         lack = now.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("times"))).alias("lack"))
@@ -193,22 +193,25 @@ def changes(tables: Tables, now: DataFrame, repeats: int, near: float = 1.0, rou
 
 
 def closer(now: DataFrame, lack: DataFrame, repeats: int) -> DataFrame:
-    """(source, chunk, sum, change): of each source in `lack` up to two documents, one taken once more and one once less,
-    so that what is taken comes nearest to the target; none where nothing does. Documents meet as distinct sizes of their
-    source: for each size to leave out the nearest sizes to add."""
+    """(source, chunk, sum, change): of each source in `lack` documents of one size taken once more and as many of another
+    once less, or one of the two, so that what is taken comes nearest to the target; none where nothing does. Documents
+    meet as distinct sizes of their source: for each size to leave out the nearest sizes to add."""
     lack = lack.withColumnRenamed("source", "s")
-    place = F.struct("chunk", "sum")
-    here = now.join(F.broadcast(lack), F.col("source").eqNullSafe(F.col("s")))  # sources are few
-    sizes = here.where("size > 0").groupBy("source", "size").agg(F.first("lack").alias("lack"), F.min(F.when(F.col("times") < repeats, place)).alias("more"), F.min(F.when(F.col("times") > 0, place)).alias("less"))
+    here = now.where("size > 0").join(F.broadcast(lack), F.col("source").eqNullSafe(F.col("s"))).drop("s")  # sources are few
+    more, less = F.col("times") < repeats, F.col("times") > 0
+    sizes = here.groupBy("source", "size").agg(F.first("lack").alias("lack"), F.count(F.when(more, 1)).alias("more"), F.count(F.when(less, 1)).alias("less"))
     zero, null = F.lit(0).cast("long"), F.lit(None).cast("long")
-    none = lack.select(F.col("s").alias("source"), zero.alias("size"), "lack")  # to add or leave out nothing
-    adds = sizes.where("more IS NOT NULL").select("source", "size", "lack").unionByName(none).select("source", F.col("size").cast("double").alias("at"), F.col("size").alias("more"), null.alias("less"))
-    drops = sizes.where("less IS NOT NULL").select("source", "size", "lack").unionByName(none).select("source", (F.col("size") + F.col("lack")).alias("at"), null.alias("more"), F.col("size").alias("less"))
+    none = lack.select(F.col("s").alias("source"), zero.alias("size"), "lack", F.lit(1 << 40).alias("n"))  # to add or leave out nothing
+    adds = sizes.where("more > 0").select("source", "size", "lack", F.col("more").alias("n")).unionByName(none).select("source", F.col("size").cast("double").alias("at"), "lack", F.struct("size", "n").alias("more"), F.lit(None).cast("struct<size: bigint, n: bigint>").alias("less"))
+    drops = sizes.where("less > 0").select("source", "size", "lack", F.col("less").alias("n")).unionByName(none).select("source", (F.col("size") + F.col("lack")).alias("at"), "lack", F.lit(None).cast("struct<size: bigint, n: bigint>").alias("more"), F.struct("size", "n").alias("less"))
     line = W.partitionBy("source").orderBy("at", F.col("less").isNotNull())
     rows = adds.unionByName(drops).withColumn("below", F.last("more", True).over(line.rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("above", F.first("more", True).over(line.rowsBetween(W.currentRow, W.unboundedFollowing)))
-    rows = rows.where("less IS NOT NULL").select("source", "less", "at", F.explode(F.array("below", "above")).alias("more")).where("more IS NOT NULL")
-    best = rows.groupBy("source").agg(F.min(F.struct(F.abs(F.col("more") - F.col("at")).alias("off"), (F.col("less") + F.col("more")).alias("moved"), "less", "more")).alias("b"))
-    best = best.where("b.less != b.more").select(F.col("source").alias("s"), F.explode(F.array(F.struct(F.col("b.more").alias("size"), F.lit(1).alias("change")), F.struct(F.col("b.less").alias("size"), F.lit(-1).alias("change")))).alias("c"))
-    found = sizes.join(best, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("c.size")))
-    at = F.when(F.col("c.change") > 0, F.col("more")).otherwise(F.col("less"))
-    return found.select("source", at["chunk"].alias("chunk"), at["sum"].alias("sum"), F.col("c.change").alias("change"))
+    rows = rows.where("less IS NOT NULL").select("source", "less", "at", "lack", F.explode(F.array("below", "above")).alias("more")).where("more IS NOT NULL AND more.size <> less.size")
+    step = F.col("more.size") - F.col("less.size")
+    # what can be done many times over, where a source lacks many documents
+    often = F.greatest(F.lit(1).cast("long"), F.least(F.floor(F.abs("lack") / F.abs(step)), F.col("more.n"), F.col("less.n")))
+    best = rows.where(F.abs(F.col("lack") - step) < F.abs("lack")).groupBy("source").agg(F.min(F.struct(F.abs(F.col("lack") - often * step).alias("off"), (F.col("less.size") + F.col("more.size")).alias("moved"), F.col("less.size").alias("less"), F.col("more.size").alias("more"), often.alias("often"))).alias("b"))
+    best = best.select(F.col("source").alias("s"), "b.often", F.explode(F.array(F.struct(F.col("b.more").alias("size"), F.lit(1).alias("change")), F.struct(F.col("b.less").alias("size"), F.lit(-1).alias("change")))).alias("c"))
+    found = here.join(F.broadcast(best), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("c.size")) & F.when(F.col("c.change") > 0, more).otherwise(less))
+    found = found.withColumn("at", F.row_number().over(W.partitionBy("source", "c").orderBy("chunk", "sum"))).where("at <= often")
+    return found.select("source", "chunk", "sum", F.col("c.change").alias("change"))
