@@ -154,7 +154,7 @@ def test_mixing_meets_plain_targets(spark, docs):
     assert np.allclose(got["target"], docs["source"].map(want))
     assert (got["taken"] <= 3 * got["size"]).all()
     taken = got.groupby(docs["source"])["taken"].sum()
-    assert all(abs(taken[s] - want[s]) <= 1 for s in sources if s is not None)
+    assert all(abs(taken[s] - want[s]) <= max(1, 0.02 * want[s]) for s in sources if s is not None)  # ten documents a source
     assert rows_of(spark, "op9_mixing")["taken"].tolist() == got["taken"].tolist()
 
 
@@ -199,7 +199,7 @@ def plain_print(text):
     """Bins of the top bits with their smallest hash; an empty one probes all bins in its order."""
     bins = {}
     for v in words_hashed(text):
-        b = (v & (1 << 64) - 1) >> 56
+        b = ((v & (1 << 64) - 1) >> 56) ^ 128  # bins stand in the order of signed numbers
         bins[b] = min(v, bins.get(b, v))
     if not bins:
         return ""
@@ -338,7 +338,8 @@ def test_mixing_stage_repeats_rows_as_the_mix_takes_them(spark, docs):
     rows = spark.read.parquet(f"{SF}/documents.parquet").limit(60).union(spark.createDataFrame([(-1, "x y z", "en", "src0", 5)] * 3 + [(-2, None, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long"))
     rows = common.Tables(spark, "t").written(rows, "rows")
     mixed = stages.mix_sources(spark, rows, SF)
-    want = mixing.mix(rows, mixing.word_count(F.col("text"))).select("doc_id", F.size("draws").alias("n")).collect()
+    sizes = rows.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
+    want = mixing.mix(sizes, F.col("size"), content="hash").select("doc_id", F.size("draws").alias("n")).collect()
     count = Counter()
     for r in want:
         count[r["doc_id"]] += r["n"]
