@@ -138,8 +138,8 @@ def apart(tables: Tables, lists: DataFrame, labels: DataFrame, sets: DataFrame,
 
 
 def spanning(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the members of each of the written lists with one of them: the one with the fewest rarer values, as a text that others are
-    copies of has, then the least by a hash of list and class."""
+    """Pairs of the members of each of the written lists with one of them: the one with the fewest rarer values, as a text
+    that others are copies of has, then the least by a hash of list and class."""
     hub = lists.groupBy("value").agg(F.min(F.struct("at", F.xxhash64("value", "node").alias("h"), "node", "n", "k")).alias("hub"), F.count(F.lit(1)).alias("rows"))
     near = can_link(*[F.col(c) for c in ("at", "k", "n", "hub.at", "hub.k", "hub.n")], LONG_K, percent)
     rows = met(lists, hub, "value", "rows", lists.count())
