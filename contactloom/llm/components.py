@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from contactloom.llm.common import Tables, met
 
 
+#: Edges that one task takes as easily as many do: no node of so few is hot.
+FEW = 1 << 16
+
+
 def star(edges: DataFrame, small: bool, total: int) -> DataFrame:
     """One contraction: every node's neighbours (the smaller ones with `small`, else the larger ones) are linked to the
     least node about it. Minima are partial sums, and a node with very many of the `total` edges meets its minimum by
@@ -15,7 +19,7 @@ def star(edges: DataFrame, small: bool, total: int) -> DataFrame:
     both = edges if small else edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # rows (a, b): b is a neighbour of a; with `small`, b < a
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n"))
-    out = met(both, least, "a", "n", total)
+    out = met(both, least, "a", "n", total) if total > FEW else both.join(least, "a")
     if small:
         return out.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
     return out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -30,8 +34,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = tables.written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     last = state(edges)
     for _ in range(rounds):
-        large = tables.written(star(edges, False, last[0]), "large", [edges])
-        edges = tables.written(star(large, True, last[0]), "edges", [large])
+        large = star(edges, False, last[0])
+        if last[0] > FEW:
+            large = tables.written(large, "large", [edges])
+            edges = large
+        edges = tables.written(star(large, True, last[0]), "edges", [edges])
         now = state(edges)
         if now == last:
             break
