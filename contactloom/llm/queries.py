@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import bpe, fingerprints, hamming, languages, mixing, near_dedup, sharding, token_counts, token_ids, toxicity
-from contactloom.llm.common import Tables, scratch, table
+from contactloom.llm import bpe, conversations, fingerprints, hamming, languages, line_dedup, mixing, near_dedup, periodic, sharding, token_counts, token_ids, toxicity
+from contactloom.llm.common import Tables, let, scratch, table, words
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,80 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-NUMBERED = (op1_token_counts, op2_toxicity, op3_topk_search, op4_token_ids, op5_near_dedup, op6_byte_bpe, op7_languages, op8_sharding, op9_mixing, op10_fingerprints)
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with planted faults, and `there`, false for those that are dropped."""
+    or_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.concat(or_space("conv_id"), F.lit(":"), or_space("turn"))) % 20
+    text = F.when(h == 1, "").when(h == 2, F.regexp_replace(or_space("text"), "[.!?]", "")).otherwise(or_space("text"))
+    role = F.when(h == 4, "user").otherwise(or_space("role"))
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (h != 0).alias("there"), F.explode(F.sequence(F.lit(1), F.when(h == 3, 2).otherwise(1))))
+    return rows.drop("col")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest edits of every conversation, after planted damage."""
+    return conversations.digests(damaged(table(spark, sf_dir, "conversations")), present=F.col("there"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the lines that five documents share."""
+    out = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Shared lines by counting all keys.
+OP12_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT doc_id, i, line, translate(regexp_replace(line, '^[ 	-
+]+|[ 	-
+]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+shared AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, last IS NOT NULL AND last <> doc_id AS dropped FROM k LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def planted(doc_id: Column, text: Column) -> Column:
+    """A tenth of the texts, by doc_id, periodic from some word on."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    return F.when((h % 10 == 0) & (F.size(words(text)) > 0), let(words(text), of)).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every whole text, some of which are made periodic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    rows = periodic.with_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct((r["length"] / r["period"]).alias("e"), (-r["start"]).alias("s"), (-r["period"]).alias("p"), r["length"].alias("n"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").alias("lines"), "collapsed", F.octet_length("text").alias("n_bytes"))
+    start, period, length = -F.col("b.s"), -F.col("b.p"), F.col("b.n")
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_bytes"),  # a second use of the text keeps it a column of its own below the function
+    )
+
+
+NUMBERED = (
+    op1_token_counts, op2_toxicity, op3_topk_search, op4_token_ids, op5_near_dedup, op6_byte_bpe, op7_languages, op8_sharding, op9_mixing, op10_fingerprints,
+    op11_conversation_repair, op12_line_dedup, op13_periodic_runs,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -138,4 +211,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk_search": OP3_SQL, "op5_near_dedup": OP5_SQL}
+    return {"op3_topk_search": OP3_SQL, "op5_near_dedup": OP5_SQL, "op12_line_dedup": OP12_SQL}
