@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from contactloom.functions import kernels
+
 
 def axis(blocks: DataFrame, bins: DataFrame, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, idx, block, bin_id, chrom, start) of blocks (*keys, block, chrom, lo, hi, strand, offset), bounds in bins; a -
@@ -16,22 +20,40 @@ def axis(blocks: DataFrame, bins: DataFrame, size: int, keys: tuple[str, ...] =
     return rows.join(bins.select("chrom", "start", "bin_id"), ["chrom", "start"])
 
 
-def is_one_to_one(frame: DataFrame) -> DataFrame:
-    """One row, `ok`: whether no bin stands on the axis twice."""
-    return frame.agg((F.count(F.lit(1)) == F.countDistinct("bin_id")).alias("ok"))
+def is_one_to_one(frame: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, ok): whether no bin stands on the axis twice; without keys one row."""
+    return frame.groupBy(*keys).agg((F.count(F.lit(1)) == F.countDistinct("bin_id")).alias("ok"))
 
 
-def remapped(pixels: DataFrame, frame: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(*keys, i, j, count) with i <= j on the axis."""
-    place = frame.select(*keys, "bin_id", "idx")
-    rows = pixels.join(place.withColumnsRenamed({"bin_id": "bin1_id", "idx": "a"}), "bin1_id").join(place.withColumnsRenamed({"bin_id": "bin2_id", "idx": "b"}), ["bin2_id", *keys])
-    return rows.select(*keys, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "count").groupBy(*keys, "i", "j").agg(F.sum("count").alias("count"))
+#: Bins a side of the cells by which contacts find the axes that hold both of their bins.
+CELL = 64
 
 
-def tight(calls: DataFrame, frame: DataFrame) -> DataFrame:
-    """Calls (chrom1, start1, chrom2, start2, ...) both of whose anchors are bins of the axis."""
+def remapped(pixels: DataFrame, frame: DataFrame, keys: tuple[str, ...] = (), weights: DataFrame | None = None) -> DataFrame:
+    """(*keys, i, j, count) with i <= j on the axis; with bin weights also `balanced`, the sum of counts times both weights,
+    0 where a bin is masked. With keys a contact goes, by its pair of cells of bins, to the axes that have bins in both
+    cells, so that a locus on many axes isn't multiplied by those of them that lack the other end."""
+    place = frame.select(*keys, "bin_id", "idx")
+    if weights is not None:
+        known = weights.where(F.col("weight") > 0).select("bin_id", "weight")
+        place = place.join(known, "bin_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    if keys:
+        cells = place.select(*keys, F.floor(F.col("bin_id") / CELL).alias("c1")).distinct()
+        pairs = cells.join(cells.withColumnRenamed("c1", "c2"), list(keys)).where("c1 <= c2")
+        pixels = pixels.withColumns({"c1": F.floor(F.least("bin1_id", "bin2_id") / CELL), "c2": F.floor(F.greatest("bin1_id", "bin2_id") / CELL)})
+        pixels = pixels.join(pairs, ["c1", "c2"]).drop("c1", "c2")
+    a = place.withColumnsRenamed({"bin_id": "bin1_id", "idx": "a", "weight": "w1"})
+    b = place.withColumnsRenamed({"bin_id": "bin2_id", "idx": "b", "weight": "w2"})
+    rows = pixels.join(a, ["bin1_id", *keys]).join(b, ["bin2_id", *keys])
+    sums = [F.sum("count").alias("count")] + ([] if weights is None else [F.sum(F.col("count") * F.col("w1") * F.col("w2")).alias("balanced")])
+    return rows.withColumns({"i": F.least("a", "b"), "j": F.greatest("a", "b")}).groupBy(*keys, "i", "j").agg(*sums)
+
+
+def tight(calls: DataFrame, frame: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Calls (*keys, chrom1, start1, chrom2, start2, ...) both of whose anchors are bins of the axis."""
     for s in "12":
-        calls = calls.join(frame.select(F.col("chrom").alias(f"chrom{s}"), F.col("start").alias(f"start{s}")).distinct(), [f"chrom{s}", f"start{s}"], "left_semi")
+        ends = frame.select(*keys, F.col("chrom").alias(f"chrom{s}"), F.col("start").alias(f"start{s}")).distinct()
+        calls = calls.join(ends, [*keys, f"chrom{s}", f"start{s}"], "left_semi")
     return calls
 
 
@@ -53,21 +75,45 @@ def picked(calls: DataFrame, frame: DataFrame, contacts: DataFrame, size: int, o
     return rows.groupBy("id").agg(best.alias("b")).select("id", "b.i", "b.j", (-F.col("b.less")).alias("count"))
 
 
-def gap_free(contacts: DataFrame, least: int = 11) -> DataFrame:
-    """(idx, place): axis indices whose column of the upper triangle isn't empty, numbered anew; all that have a contact
-    where fewer than `least` remain."""
-    sums = contacts.groupBy(F.col("j").alias("idx")).agg(F.sum("count").alias("n")).where("n > 0")
-    return sums.withColumn("place", F.row_number().over(W.orderBy("idx")) - 1).withColumn("all", F.count(F.lit(1)).over(W.partitionBy())).where(F.col("all") >= least).select("idx", "place")
-
-
-def lifted(calls: DataFrame, frame: DataFrame, size: int) -> DataFrame:
-    """Calls (i, j) on the axis as places on the genome, the lesser (chrom, start) first, with their distance on the axis
-    and whether they join two blocks."""
-    a = frame.select(F.col("idx").alias("i"), F.struct("chrom", "start").alias("x"), F.col("block").alias("bx"))
-    b = frame.select(F.col("idx").alias("j"), F.struct("chrom", "start").alias("y"), F.col("block").alias("by"))
-    rows = calls.join(a, "i").join(b, "j")
+#: Places that one part of an axis has when places are numbered anew.
+PART = 4096
+
+
+def gap_free(contacts: DataFrame, frame: DataFrame, keys: tuple[str, ...] = (), least: int = 11) -> DataFrame:
+    """(*keys, idx, place): axis indices whose column of the upper triangle isn't empty, numbered anew; all indices of an axis
+    where fewer than `least` would remain. A place is its rank in its part of the axis and what the parts before it hold,
+    so that no window is wider than a part."""
+    part = F.floor(F.col("idx") / PART)
+    filled = contacts.groupBy(*keys, F.col("j").alias("idx")).agg(F.sum("count").alias("n")).where("n > 0").select(*keys, "idx", F.lit(True).alias("filled"))
+    rows = frame.select(*keys, "idx").distinct().join(filled, [*keys, "idx"], "left").withColumn("part", part)
+    parts = rows.groupBy(*keys, "part").agg(F.count("filled").alias("n"), F.count(F.lit(1)).alias("m"))
+    whole = parts.groupBy(*keys).agg((F.sum("n") < least).alias("sparse"))
+    parts = parts.join(whole, list(keys)) if keys else parts.crossJoin(F.broadcast(whole))  # one row
+    size = F.when(F.col("sparse"), F.col("m")).otherwise(F.col("n"))
+    before = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a part of 4,096 bins
+    parts = parts.select(*keys, "part", "sparse", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("base"))
+    rows = rows.join(parts, [*keys, "part"]).where("sparse OR filled")
+    at = F.row_number().over(W.partitionBy(*keys, "part").orderBy("idx")) - 1
+    return rows.select(*keys, "idx", (F.col("base") + at).cast("int").alias("place"))
+
+
+def moved(rows: DataFrame, places: DataFrame, keys: tuple[str, ...] = (), back: bool = False) -> DataFrame:
+    """Rows (*keys, i, j, ...) with i and j on the gap-free axis instead of the axis, without those that it lacks; `back`, the
+    other way."""
+    old, new = ("place", "idx") if back else ("idx", "place")
+    for c in "ij":
+        rows = rows.join(places.select(*keys, F.col(old).cast("long").alias(c), F.col(new).cast("long").alias(f"{c}_new")), [*keys, c]).drop(c)
+    return rows.withColumnsRenamed({"i_new": "i", "j_new": "j"})
+
+
+def lifted(calls: DataFrame, frame: DataFrame, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Calls (*keys, i, j) on the axis as places on the genome, the lesser (chrom, start) first, with their distance on the
+    axis and whether they join two blocks."""
+    a = frame.select(*keys, F.col("idx").alias("i"), F.struct("chrom", "start").alias("x"), F.col("block").alias("bx"))
+    b = frame.select(*keys, F.col("idx").alias("j"), F.struct("chrom", "start").alias("y"), F.col("block").alias("by"))
+    rows = calls.join(a, [*keys, "i"]).join(b, [*keys, "j"])
     lo, hi = F.least("x", "y"), F.greatest("x", "y")
-    return rows.select("i", "j", lo["chrom"].alias("chrom1"), lo["start"].alias("start1"), hi["chrom"].alias("chrom2"), hi["start"].alias("start2"), ((F.col("j") - F.col("i")) * size).alias("distance"), (F.col("bx") != F.col("by")).alias("neo"))
+    return rows.select(*keys, "i", "j", lo["chrom"].alias("chrom1"), lo["start"].alias("start1"), hi["chrom"].alias("chrom2"), hi["start"].alias("start2"), ((F.col("j") - F.col("i")) * size).alias("distance"), (F.col("bx") != F.col("by")).alias("neo"))
 
 
 def lifted_intervals(rows: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
@@ -83,6 +129,35 @@ def lifted_intervals(rows: DataFrame, blocks: DataFrame, size: int) -> DataFrame
     return met.select(F.col("a_id").alias("id"), F.col("b_block").alias("block"), (F.col("b_base") + F.when(plus, s - F.col("b_start")).otherwise(F.col("b_end") - e)).alias("lo"), (F.col("b_base") + F.when(plus, e - F.col("b_start")).otherwise(F.col("b_end") - s)).alias("hi"), F.when(plus, F.col("a_strand")).otherwise(turned).alias("strand"))
 
 
+def valid_pairs(frame: DataFrame, weights: DataFrame, longest: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, block1, block2, distance, n): pairs of valid bins of each pair of an axis's blocks by distance from 2 to
+    `longest`, as correlations of the blocks' masks, so that no pair of bins is made. A task holds one axis's masks."""
+    ok = frame.join(weights.where(F.col("weight") > 0).select("bin_id"), "bin_id").select(*keys, "block", "idx")
+    kinds = ", ".join(f"{k} {ok.schema[k].dataType.simpleString()}" for k in (*keys, "block"))
+    both = kinds[: kinds.rindex("block")] + f"block1 {ok.schema['block'].dataType.simpleString()}, block2 {ok.schema['block'].dataType.simpleString()}"
+    names = [*keys, "block1", "block2", "distance", "n"]
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        at, block = part["idx"].to_numpy(), part["block"].to_numpy()
+        own, out = np.unique(block), []
+        spans = {b: (int(at[block == b].min()), int(at[block == b].max()) + 1) for b in own.tolist()}
+        masks = {b: np.bincount(at[block == b] - spans[b][0], minlength=spans[b][1] - spans[b][0]) for b in spans}
+        for x in spans:
+            for y in spans:
+                shift = spans[y][0] - spans[x][0]
+                if spans[y][1] - 1 - spans[x][0] < 2 or shift + 1 - len(masks[x]) > longest:
+                    continue
+                n = np.rint(np.convolve(masks[y], masks[x][::-1])) if min(len(masks[x]), len(masks[y])) < 64 else kernels.correlated(masks[x], masks[y])
+                d = np.arange(len(n)) + shift - (len(masks[x]) - 1)
+                good = (d >= 2) & (d <= longest) & (n > 0)
+                own_keys = {k: [part[k].iloc[0]] * int(good.sum()) for k in keys}
+                out.append(pd.DataFrame({**own_keys, "block1": x, "block2": y, "distance": d[good], "n": n[good].astype(np.int64)}))
+        return pd.concat(out)[names] if out else pd.DataFrame({c: [] for c in names})
+
+    group = ok.groupBy(*keys) if keys else ok.withColumn("axis", F.lit(0)).groupBy("axis")
+    return group.applyInPandas(count, f"{both}, distance bigint, n bigint")
+
+
 def decay(contacts: DataFrame, frame: DataFrame, weights: DataFrame, longest: int, least: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, block1, block2, distance, mean): mean balanced contact of each pair of blocks by axis distance from 2 to `longest`,
     over all pairs of valid bins; at least `least` of them, and a mean above 0."""
@@ -90,9 +165,7 @@ def decay(contacts: DataFrame, frame: DataFrame, weights: DataFrame, longest: in
     a = ok.select(*keys, F.col("idx").alias("i"), F.col("block").alias("block1"), F.col("weight").alias("w1"))
     b = ok.select(*keys, F.col("idx").alias("j"), F.col("block").alias("block2"), F.col("weight").alias("w2"))
     by = [*keys, "block1", "block2", "distance"]
-    far = (F.col("j") - F.col("i")).alias("distance")
-    cells = a.withColumn("j", F.explode(F.sequence(F.col("i") + 2, F.col("i") + longest))).join(b, [*keys, "j"])
-    pairs = cells.withColumn("distance", far).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    pairs = valid_pairs(frame, weights, longest, keys)
     sums = contacts.where((F.col("j") - F.col("i")).between(2, longest)).join(a, [*keys, "i"]).join(b, [*keys, "j"])
-    sums = sums.withColumn("distance", far).groupBy(*by).agg(F.sum(F.col("count") * F.col("w1") * F.col("w2")).alias("total"))
+    sums = sums.withColumn("distance", F.col("j") - F.col("i")).groupBy(*by).agg(F.sum(F.col("count") * F.col("w1") * F.col("w2")).alias("total"))
     return pairs.join(sums, by).where((F.col("n") >= least) & (F.col("total") > 0)).select(*by, (F.col("total") / F.col("n")).alias("mean"))

@@ -12,7 +12,6 @@ from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactloom.functions import kernels
@@ -58,22 +57,23 @@ def best_slopes(observed: DataFrame, curve: DataFrame, keys: list[str], ranges:
     return best.select(*keys, "b.*", "unclear")
 
 
-def rescaled(contacts: DataFrame, frame: DataFrame, lines: DataFrame, least_r2: float = 0.6, given: DataFrame | None = None) -> DataFrame:
+def rescaled(contacts: DataFrame, frame: DataFrame, lines: DataFrame, least_r2: float = 0.6, given: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Axis contacts with `scaled`: blocks over their own slope, pairs of blocks times min(1 / slope, 5 / the larger slope of
-    the two blocks), where R2 is above the level and the slopes above 0; others as they are. Slopes `given` (block1,
+    the two blocks), where R2 is above the level and the slopes above 0; others as they are. Slopes `given` (*keys, block1,
     block2, slope) go before those found."""
-    own = lines.where("block1 = block2").select(F.col("block1").alias("block"), F.col("slope").alias("own"))
-    rows = lines.join(own.toDF("block1", "own1"), "block1", "left").join(own.toDF("block2", "own2"), "block2", "left")
+    own = lines.where("block1 = block2").select(*keys, F.col("block1").alias("block"), F.col("slope").alias("own"))
+    rows = lines.join(own.toDF(*keys, "block1", "own1"), [*keys, "block1"], "left").join(own.toDF(*keys, "block2", "own2"), [*keys, "block2"], "left")
     top = F.greatest(F.coalesce("own1", F.lit(0.0)), F.coalesce("own2", F.lit(0.0)))
     ok = (F.col("r2") > least_r2) & (F.col("slope") > 0) & (top > 0)
     factor = F.when(F.col("block1") == F.col("block2"), 1 / F.col("slope")).otherwise(F.least(1 / F.col("slope"), 5 / top))
-    factors = rows.select("block1", "block2", F.when(ok, factor).alias("factor"))
+    pair = [*keys, "block1", "block2"]
+    factors = rows.select(*pair, F.when(ok, factor).alias("factor"))
     if given is not None:
-        named = given.select("block1", "block2", (1 / F.col("slope")).alias("user"))
-        factors = factors.join(named, ["block1", "block2"], "full").select("block1", "block2", F.coalesce("user", "factor").alias("factor"))
-    place = frame.select("idx", "block")
-    rows = contacts.join(place.toDF("i", "block1"), "i").join(place.toDF("j", "block2"), "j")
-    return rows.join(factors, ["block1", "block2"], "left").select("i", "j", "count", (F.col("count") * F.coalesce("factor", F.lit(1.0))).alias("scaled"))
+        named = given.select(*pair, (1 / F.col("slope")).alias("user"))
+        factors = factors.join(named, pair, "full").select(*pair, F.coalesce("user", "factor").alias("factor"))
+    place = frame.select(*keys, "idx", "block")
+    rows = contacts.join(place.toDF(*keys, "i", "block1"), [*keys, "i"]).join(place.toDF(*keys, "j", "block2"), [*keys, "j"])
+    return rows.join(factors, pair, "left").select(*keys, "i", "j", "count", (F.col("count") * F.coalesce("factor", F.lit(1.0))).alias("scaled"))
 
 
 def balanced_by_class(pixels: DataFrame, bins: DataFrame, cn: str = "cn", ignore: int = 1, tolerance: float = 1e-5, rounds: int = 50) -> DataFrame:
@@ -82,14 +82,14 @@ def balanced_by_class(pixels: DataFrame, bins: DataFrame, cn: str = "cn", ignore
     null. Rounds end when the variance within classes, weighted by size, is below the tolerance."""
     usable = bins.where(is_valid(F.col("weight")) & (F.col(cn) != 0)).select("bin_id", F.col(cn).alias("cn"))
     pixels = written(pixels.where(F.abs(F.col("bin2_id") - F.col("bin1_id")) >= ignore), "pixels")
-    bias = written(usable.withColumn("bias", F.lit(1.0)), "bias")
+    bias = state = written(usable.withColumn("bias", F.lit(1.0)), "bias")
     for _ in range(rounds):
         a, b = (bias.select(F.col("bin_id").alias(f"bin{s}_id"), F.col("bias").alias(f"b{s}")) for s in "12")
         value = F.col("count") * F.col("b1") * F.col("b2")
         ends = pixels.join(a, "bin1_id").join(b, "bin2_id").select(F.explode(F.array("bin1_id", "bin2_id")).alias("bin_id"), value.alias("v"))
         marg = bias.join(ends.groupBy("bin_id").agg(F.sum("v").alias("m")), "bin_id", "left").withColumn("m", F.nullif("m", F.lit(0.0)))
         classes = marg.groupBy("cn").agg(F.avg("m").alias("mean"), F.var_pop("m").alias("var"), F.count("m").alias("n"))
-        state = written(marg.join(classes, "cn").select("bin_id", "cn", F.when(F.col("mean").isNull(), 0.0).otherwise(F.col("bias") / F.coalesce(F.col("m") / F.col("mean"), F.lit(1.0))).alias("bias"), "mean", "var", "n"), "bias")
+        state = written(marg.join(classes, "cn").select("bin_id", "cn", F.when(F.col("mean").isNull(), 0.0).otherwise(F.col("bias") / F.coalesce(F.col("m") / F.col("mean"), F.lit(1.0))).alias("bias"), "mean", "var", "n"), "bias", state)
         variance = state.select("cn", "var", "n").distinct().agg(F.try_divide(F.sum(F.col("var") * F.col("n")), F.sum("n"))).first()[0]
         bias = state.select("bin_id", "cn", "bias")
         if variance is None or variance < tolerance:
@@ -186,24 +186,6 @@ def change_points(rows: DataFrame, value: str = "x", shuffles: int = 1000, p: fl
     return rows.select("chrom", "idx", F.col(value).cast("double").alias("x")).groupBy("chrom").applyInPandas(cut, "chrom string, start bigint, end bigint, mean double")
 
 
-def windows(candidates: DataFrame, pixels: DataFrame, curve: DataFrame, half: int = 2, value: str = "count") -> DataFrame:
-    """Candidates (bin1_id, bin2_id) with the window of (2 half + 1)^2 values around them over the curve at their distance,
-    row by row. Windows need a tenth of nonzero cells, a corner (lower left) mean above 0 and a centre above a tenth of
-    it."""
-    offsets = F.explode(F.sequence(F.lit(-half), F.lit(half)))
-    cells = candidates.select("bin1_id", "bin2_id").withColumn("di", offsets).withColumn("dj", offsets)
-    cells = cells.withColumn("a", F.col("bin1_id") + F.col("di")).withColumn("b", F.col("bin2_id") + F.col("dj"))
-    known = pixels.select(F.col("bin1_id").alias("a"), F.col("bin2_id").alias("b"), F.col(value).alias("v"))
-    cells = cells.join(known, ["a", "b"], "left").withColumn("distance", F.col("b") - F.col("a")).join(curve.select("distance", F.col("value").alias("e")), "distance", "left")
-    cells = cells.withColumn("v", F.coalesce(F.try_divide(F.coalesce("v", F.lit(0)), "e"), F.coalesce("v", F.lit(0)).cast("double")))
-    side = 2 * half + 1
-    rows = cells.groupBy("bin1_id", "bin2_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("di", "dj", "v"))), lambda x: x["v"]).alias("window"))
-    center = F.get("window", F.lit(side * half + half))
-    corner = F.aggregate(F.flatten(F.transform(F.sequence(F.lit(half + 1), F.lit(side - 1)), lambda r: F.slice("window", r * side + 1, half))), F.lit(0.0), lambda s, v: s + v) / (half * half)
-    nonzero = F.size(F.filter("window", lambda v: v != 0))
-    return rows.withColumn("center", center).withColumn("corner", corner).where((nonzero >= 0.1 * side * side) & (F.col("corner") > 0) & (F.col("center") > 0.1 * F.col("corner")))
-
-
 def smoothed(window: Column, sigma: float = 1.0) -> Column:
     """A square window, row by row, blurred by a Gaussian (cut at four sigmas, edges mirrored) and scaled to 0..1; null
     where it is flat."""
@@ -227,7 +209,7 @@ def clustered(calls: DataFrame, keys: list[str], radius: float, value: str = "va
     def group(part: pd.DataFrame) -> pd.DataFrame:
         i, j = part["i"].to_numpy(), part["j"].to_numpy()
         found = kernels.grown_clusters(i, j, part["value"].to_numpy(float), radius)
-        return pd.DataFrame([(*(part[k].iloc[0] for k in keys), i[s], j[s], n) for s, n in found], columns=[*keys, "i", "j", "members"])
+        return pd.DataFrame([(*(part[k].iloc[0] for k in keys), i[s], j[s], len(rows)) for s, rows in found], columns=[*keys, "i", "j", "members"])
 
     rows = calls.select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col(value).alias("value"))
     return rows.groupBy(*keys).applyInPandas(group, f"{kinds}, i bigint, j bigint, members bigint")
@@ -240,25 +222,16 @@ def matched_once(a: DataFrame, b: DataFrame, tolerance: float, keys: tuple[str,
     return met.select("id", "match")
 
 
-def directionality(contacts: DataFrame, window: int) -> DataFrame:
-    """(idx, di): of axis contacts (i, j, value), sign(B - A) ((A - E)^2 / E + (B - E)^2 / E), with A and B the sums to the
-    `window` bins before and after and E their mean."""
+def directionality(contacts: DataFrame, window: int, keys: tuple[str, ...] = (), frame: DataFrame | None = None) -> DataFrame:
+    """(*keys, idx, di): of axis contacts (*keys, i, j, value), sign(B - A) ((A - E)^2 / E + (B - E)^2 / E), with A and B the
+    sums to the `window` bins before and after and E their mean. With a frame (*keys, idx) all of its places, 0 where there
+    is no contact."""
     near = contacts.where((F.col("j") - F.col("i")).between(1, window))
-    sums = near.select(F.col("i").alias("idx"), F.lit(0).alias("a"), F.col("value").alias("b")).union(near.select("j", "value", F.lit(0))).groupBy("idx").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+    ends = near.select(*keys, F.col("i").alias("idx"), F.lit(0.0).alias("a"), F.col("value").cast("double").alias("b"))
+    sums = ends.unionByName(near.select(*keys, F.col("j").alias("idx"), F.col("value").cast("double").alias("a"), F.lit(0.0).alias("b"))).groupBy(*keys, "idx").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     e = (F.col("a") + F.col("b")) / 2
-    return sums.select("idx", F.coalesce(F.signum(F.col("b") - F.col("a")) * F.try_divide(F.pow(F.col("a") - e, 2) + F.pow(F.col("b") - e, 2), e), F.lit(0.0)).alias("di"))
-
-
-def domains(di: DataFrame, states: int = 3) -> DataFrame:
-    """(chrom, start, end): from a run of downstream states to the end of the run of upstream states that follows."""
-    from contactloom.operators.sequences import runs
-
-    called = hidden_states(di, states, value="di")
-    parts = runs(called.withColumn("value", F.when(F.col("state") == states - 1, 1).when(F.col("state") == 0, -1).otherwise(0)))
-    parts = parts.where("value != 0")
-    order = W.partitionBy("chrom").orderBy("start")
-    rows = parts.withColumn("next", F.lead("value").over(order)).withColumn("last", F.lead("end").over(order))
-    return rows.where("value = 1 AND next = -1").select("chrom", "start", F.col("last").alias("end"))
+    out = sums.select(*keys, "idx", F.coalesce(F.signum(F.col("b") - F.col("a")) * F.try_divide(F.pow(F.col("a") - e, 2) + F.pow(F.col("b") - e, 2), e), F.lit(0.0)).alias("di"))
+    return out if frame is None else frame.select(*keys, "idx").join(out, [*keys, "idx"], "left").na.fill(0.0, ["di"])
 
 
 def structures(contacts: DataFrame, keys: list[str]) -> DataFrame:
@@ -325,26 +298,3 @@ def block_bounds(contacts: DataFrame, keys: list[str]) -> DataFrame:
         return pd.DataFrame([(*(part[k].iloc[0] for k in keys), lo + a, lo + b) for a, b in kernels.block_bounds(dense)], columns=[*keys, "start", "end"])
 
     return contacts.groupBy(*keys).applyInPandas(find, f"{kinds}, start bigint, end bigint")
-
-
-def anchors(calls: DataFrame, keys: list[str], apart: int, width: int, least: int = 2) -> DataFrame:
-    """(*keys, summit, lo, hi, n): positions i where calls pile up: local maxima of the number of calls, by falling number;
-    one within `apart` of an earlier one widens it."""
-    kinds = ", ".join(f"{k} {calls.schema[k].dataType.simpleString()}" for k in keys)
-    piles = calls.groupBy(*keys, "i").agg(F.count(F.lit(1)).alias("n"))
-
-    def peaks(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("i")
-        n = dict(zip(part["i"].tolist(), part["n"].tolist(), strict=True))
-        tops = [i for i, c in n.items() if c >= least and c >= n.get(i - 1, 0) and c > n.get(i + 1, 0)]
-        out: list[list[int]] = []
-        for i in sorted(tops, key=lambda i: (-n[i], i)):
-            for x in out:
-                if x[1] - apart <= i <= x[2] + apart:
-                    x[1], x[2] = min(x[1], i), max(x[2], i)
-                    break
-            else:
-                out.append([i, max(0, i - width // 2), i + width // 2])
-        return pd.DataFrame([(*(part[k].iloc[0] for k in keys), s, a, b, n[s]) for s, a, b in out], columns=[*keys, "summit", "lo", "hi", "n"])
-
-    return piles.groupBy(*keys).applyInPandas(peaks, f"{kinds}, summit bigint, lo bigint, hi bigint, n bigint")

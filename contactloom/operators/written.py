@@ -19,8 +19,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written below the scratch folder and read again, so that a lost executor costs one round of an iteration."""
+def written(df: DataFrame, name: str, *drop: DataFrame) -> DataFrame:
+    """The rows written below the scratch folder and read again, so that a lost executor costs one round of an iteration;
+    then the tables `drop` that this wrote, which nothing reads any more, go."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in drop:
+        dropped(old)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.operators import axis, contacts, intervals, models, sequences
+from contactloom.operators import assembly, axis, calling, contacts, domains, intervals, models, sequences, smooths
+from contactloom.plans import commands
+from contactloom.plans.relational import _numbered_svs
 from contactloom.sources import views
 
 
@@ -57,6 +59,13 @@ def poisson_profile(spark: SparkSession, d: str) -> DataFrame:
     return models.poisson_profile(rows.select("bin_id", F.coalesce("coverage", F.lit(0)).alias("coverage"), F.col("n").alias("sites"), (F.col("bin_id") % 100 + 1).alias("place")), ["sites", "place"])
 
 
+def poisson_smooths(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage over what smooth functions of two covariates let expect."""
+    bins = views.bins(spark)
+    rows = bins.join(contacts.marginals(views.pixels(spark, d)), "bin_id", "left").join(intervals.counted_in_bins(views.sites(spark, d), bins, views.BIN_SIZE), "bin_id")
+    return smooths.profile(rows.select("bin_id", F.coalesce("coverage", F.lit(0)).alias("coverage"), F.col("n").alias("sites"), (F.col("bin_id") % 100 + 1).alias("place")), ["sites", "place"])
+
+
 def gmm_states(spark: SparkSession, d: str) -> DataFrame:
     return models.mixture_states(_levels(spark, d), "x")
 
@@ -71,7 +80,7 @@ def cbs_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def window_features(spark: SparkSession, d: str) -> DataFrame:
     pixels = views.pixels(spark, d)
-    return models.windows(contacts.candidates(pixels, views.bins(spark), 6, 40), pixels, _curve(spark, d))
+    return calling.windows(contacts.candidates(pixels, views.bins(spark), 6, 40), pixels, _curve(spark, d))
 
 
 def scored_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +94,7 @@ def cluster_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def loop_anchors(spark: SparkSession, d: str) -> DataFrame:
-    return models.anchors(_by_block(spark, d).where("value >= 2"), ["block1", "block2"], 2, 4)
+    return calling.anchors(_by_block(spark, d).where("value >= 2"), ["block1", "block2"], 10_000)
 
 
 def block_stretches(spark: SparkSession, d: str) -> DataFrame:
@@ -97,12 +106,38 @@ def simulated_contacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def neo_domains(spark: SparkSession, d: str) -> DataFrame:
-    di = models.directionality(_by_block(spark, d), 20).select(F.lit("C0").alias("chrom"), "idx", "di")
-    return models.domains(di)
+    """Domains on the axes of all assemblies, by a chain trained on the chromosomes."""
+    pixels, bins = views.pixels(spark, d), views.bins(spark)
+    cis = contacts.paired(pixels, bins, "chrom").where("chrom1 = chrom2").select(F.col("chrom1").alias("chrom"), F.col("bin1_id").alias("i"), F.col("bin2_id").alias("j"), F.col("count").alias("value"))
+    model = domains.trained(models.directionality(cis, 20, ("chrom",)))
+    frame = axis.axis(views.assembly_blocks(spark, d), bins, views.BIN_SIZE, ("assembly",))
+    moved = axis.remapped(pixels, frame, ("assembly",)).withColumnRenamed("count", "value")
+    return domains.called(models.directionality(moved, 10, ("assembly",), frame), model, ("assembly",))
 
 
 def structure_coords(spark: SparkSession, d: str) -> DataFrame:
-    return models.structures(_by_block(spark, d).withColumn("assembly", F.lit("C0")), ["assembly"])
+    """Places in space of the bins of every assembly."""
+    frame = axis.axis(views.assembly_blocks(spark, d), views.bins(spark), views.BIN_SIZE, ("assembly",))
+    moved = axis.remapped(views.pixels(spark, d), frame, ("assembly",))
+    return models.structures(moved.select("assembly", "i", "j", F.col("count").alias("value")), ["assembly"])
+
+
+def keyed_loops(spark: SparkSession, d: str) -> DataFrame:
+    """Loops on the axes of all assemblies, in one job."""
+    score = F.col("center") / (F.col("center") + F.col("corner"))
+    return commands.call_loops(views.pixels(spark, d), views.bins(spark), views.assembly_blocks(spark, d), views.BIN_SIZE, score, 0.7, upper=30, half=2, ranges=(15_000, 30_000))
+
+
+def bounded_slopes(spark: SparkSession, d: str) -> DataFrame:
+    """Slopes of all rearrangements within the bounds of what they induce."""
+    svs = _numbered_svs(spark, d).withColumns({c: F.concat(F.lit("chr"), c) for c in ("c1", "c2")})
+    return assembly.allele_slopes(views.pixels(spark, d), views.bins(spark), svs, _curve(spark, d), 15_000, views.BIN_SIZE, ranges=(8_000, 15_000), bounded=True)
+
+
+def anchored_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of each pair of blocks by the rectangles of their anchors."""
+    rows = _by_block(spark, d).where("value >= 2")
+    return calling.clustered_by_anchors(rows, ["block1", "block2"], 10_000)
 
 
 def absorbed_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +148,7 @@ def absorbed_segments(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        distance_expected_isotonic, huber_decay_slope, rescaled_contacts, classwise_balance, poisson_profile, gmm_states, hmm_segments, cbs_segments, window_features, scored_candidates,
-        cluster_candidates, loop_anchors, block_stretches, simulated_contacts, neo_domains, structure_coords, absorbed_segments,
+        distance_expected_isotonic, huber_decay_slope, rescaled_contacts, classwise_balance, poisson_profile, poisson_smooths, gmm_states, hmm_segments, cbs_segments, window_features, scored_candidates,
+        cluster_candidates, loop_anchors, block_stretches, simulated_contacts, neo_domains, structure_coords, absorbed_segments, keyed_loops, bounded_slopes, anchored_calls,
     )
 }

@@ -162,11 +162,6 @@ def interval_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return intervals.coalesced(views.intervals(spark, d))
 
 
-#: The names that these had while the others kept to a share of the rows.
-interval_coalesce_all, interval_others_semi, interval_others_anti = interval_coalesce, interval_overlap_semi, interval_overlap_anti
-QUERIES |= {"interval_coalesce_all": interval_coalesce, "interval_others_semi": interval_overlap_semi, "interval_others_anti": interval_overlap_anti}
-
-
 @query(with_views("genes blocks") + """SELECT key AS id, CAST(block AS INTEGER) AS block, "offset" * 1000 + CASE WHEN b.strand = '+' THEN greatest(g.start, lo * 1000) - lo * 1000 ELSE hi * 1000 - least(g."end", hi * 1000) END AS lo,
 "offset" * 1000 + CASE WHEN b.strand = '+' THEN least(g."end", hi * 1000) - lo * 1000 ELSE hi * 1000 - greatest(g.start, lo * 1000) END AS hi,
 CASE WHEN b.strand = '+' THEN g.strand WHEN g.strand = '+' THEN '-' ELSE '+' END AS strand FROM genes g JOIN blocks b ON g.chrom = b.chrom AND g.start < hi * 1000 AND lo * 1000 < g."end\"""")
@@ -244,9 +239,10 @@ def axis_remap_contacts(spark: SparkSession, d: str) -> DataFrame:
     return axis.remapped(views.pixels(spark, d), _axis(spark))
 
 
-@query(with_views("pixels bins blocks", AXIS) + ', s AS (SELECT j AS idx FROM moved GROUP BY 1 HAVING sum("count") > 0) SELECT idx, CAST(row_number() OVER (ORDER BY idx) - 1 AS INTEGER) AS place FROM s WHERE (SELECT count(*) FROM s) >= 11')
+@query(with_views("pixels bins blocks", AXIS) + ', s AS (SELECT j AS idx FROM moved GROUP BY 1 HAVING sum("count") > 0), k AS (SELECT idx FROM axis WHERE (SELECT count(*) FROM s) < 11 OR idx IN (SELECT idx FROM s)) SELECT idx, CAST(row_number() OVER (ORDER BY idx) - 1 AS INTEGER) AS place FROM k')
 def gap_free_index(spark: SparkSession, d: str) -> DataFrame:
-    return axis.gap_free(axis.remapped(views.pixels(spark, d), _axis(spark)))
+    frame = _axis(spark)
+    return axis.gap_free(axis.remapped(views.pixels(spark, d), frame), frame)
 
 
 @query(with_views("pixels bins blocks", AXIS) + """, ok AS (SELECT axis.*, weight FROM axis JOIN bins USING (bin_id) WHERE weight > 0),
@@ -361,9 +357,6 @@ def multires_loop_merge(spark: SparkSession, d: str) -> DataFrame:
     return loops.across_resolutions({step * views.BIN_SIZE: _triples(spark, d, step) for step in (1, 2, 5)})
 
 
-multires_loop_merge_all = QUERIES["multires_loop_merge_all"] = multires_loop_merge
-
-
 @query("""WITH a AS (SELECT o_orderkey AS id, CAST(o_custkey % 97 AS VARCHAR) AS path, CAST(CASE o_orderkey % 3 WHEN 0 THEN 5000 WHEN 1 THEN 10000 ELSE 25000 END AS INTEGER) AS resolution FROM orders)
 SELECT id, path, resolution FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY resolution, id) AS r FROM a) WHERE r = 1""")
 def multires_assembly_pick(spark: SparkSession, d: str) -> DataFrame:

@@ -89,6 +89,18 @@ def blocks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, "chr1", 10, 60, "+", 0), (1, "chr3", 20, 70, "-", 50), (2, "chr2", 0, 40, "+", 100)], "block int, chrom string, lo long, hi long, strand string, offset long")
 
 
+def assembly_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(assembly, block, chrom, lo, hi, strand, offset): two blocks of 20 bins of one assembly a supplier; the second may lie
+    on the first."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("C"), k.cast("string")).alias("assembly"), k.alias("k"), F.explode(F.array(F.lit(0), F.lit(1))).alias("block"))
+    first = F.col("block") == 0
+    at = F.when(first, F.col("k") % 4).otherwise(F.floor(F.col("k") / 4) % 4)
+    lo = F.when(first, F.col("k") * 7 % 80).otherwise(F.col("k") * 13 % 80)
+    strand = F.when(first | (F.col("k") % 2 == 0), "+").otherwise("-")
+    return rows.select("assembly", "block", F.concat(F.lit("chr"), (at + 1).cast("string")).alias("chrom"), lo.alias("lo"), (lo + 20).alias("hi"), strand.alias("strand"), (F.col("block") * 20).cast("long").alias("offset"))
+
+
 #: The same views, as common table expressions by name.
 SQL = {
     "pixels": 'pixels AS (SELECT least(a, b) AS bin1_id, greatest(a, b) AS bin2_id, count(*) AS "count" FROM (SELECT l_partkey % 400 AS a, l_orderkey % 400 AS b FROM lineitem) GROUP BY 1, 2)',
@@ -99,6 +111,7 @@ SQL = {
     "sv": "sv AS (SELECT 'chr' || (c_nationkey % 4 + 1) AS c1, 'chr' || (c_custkey % 4 + 1) AS c2, CASE WHEN c_custkey % 2 = 0 THEN '+' ELSE '-' END AS s1, CASE WHEN (c_custkey // 2) % 2 = 0 THEN '+' ELSE '-' END AS s2, (c_custkey * 7919) % 100000 AS p1, (c_custkey * 104729) % 100000 AS p2 FROM customer)",
     "links": "links AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)",
     "genes": "genes AS (SELECT p_name AS gene, p_partkey AS key, 'chr' || (p_partkey % 4 + 1) AS chrom, (p_partkey * 7919) % 100000 AS start, (p_partkey * 7919) % 100000 + 500 + 100 * p_size AS \"end\", CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part)",
+    "assembly_blocks": "assembly_blocks AS (SELECT 'C' || k AS assembly, b AS block, 'chr' || (CASE WHEN b = 0 THEN k % 4 ELSE (k // 4) % 4 END + 1) AS chrom, lo, lo + 20 AS hi, CASE WHEN b = 0 OR k % 2 = 0 THEN '+' ELSE '-' END AS strand, b * 20 AS \"offset\" FROM (SELECT s_suppkey AS k, b, CASE WHEN b = 0 THEN s_suppkey * 7 % 80 ELSE s_suppkey * 13 % 80 END AS lo FROM supplier, range(2) t(b)))",
     "blocks": "blocks AS (SELECT * FROM (VALUES (0, 'chr1', 10, 60, '+', 0), (1, 'chr3', 20, 70, '-', 50), (2, 'chr2', 0, 40, '+', 100)) t(block, chrom, lo, hi, strand, \"offset\"))",
 }
 

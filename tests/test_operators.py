@@ -168,7 +168,7 @@ def test_segmentation(spark):
 
 def test_clusters_and_matches():
     i, j, v = np.array([0, 1, 1, 30]), np.array([10, 10, 11, 50]), np.array([1.0, 5, 2, 9])
-    assert kernels.grown_clusters(i, j, v, 2.0) == [(3, 1), (1, 3)]
+    assert [(seed, len(rows)) for seed, rows in kernels.grown_clusters(i, j, v, 2.0)] == [(3, 1), (1, 3)]
     assert kernels.match_once(np.array([[0, 100], [1, 100]]), np.array([[2, 100], [50, 90]]), 10) == [(0, 0)]
     assert kernels.stretches(np.array([1, 1, 0, 1, 1, 1, 0, 0, 1, 1], bool)) == [(0, 6)]
 
@@ -215,7 +215,7 @@ def test_commands(spark, planted):
     pixels, bins, *_ = planted
     genes = spark.createDataFrame([("MYC", "chr1", 0, 60000)], "gene string, chrom string, start long, end long")
     blocks = spark.createDataFrame([(0, "chr1", 5, 45, "+", 0), (1, "chr2", 10, 40, "-", 40)], "block int, chrom string, lo long, hi long, strand string, offset long")
-    calls = commands.call_loops(pixels, bins, blocks, 1000, F.col("center") / (F.col("center") + F.col("corner")), 0.0, upper=30, half=2)
+    calls = commands.call_loops(pixels, bins, blocks, 1000, F.col("center") / (F.col("center") + F.col("corner")), 0.0, upper=30, half=2, ranges=(10_000, 30_000))
     assert calls.count() > 0
     found = commands.search_by_gene(calls.withColumn("neo", F.lit(1)), genes, "myc")
     assert [r["assembly"] for r in found.collect()] == ["C0"]
@@ -224,4 +224,4 @@ def test_commands(spark, planted):
     profile = spark.createDataFrame([("chr1", i * 1000, i * 1000 + 1000, 1.0 + (i >= 40) + (i * 7 % 5) / 100) for i in range(90)], "chrom string, start long, end long, value double")
     got = commands.segment_cnv(profile, 1000, states=2)
     assert rows(got, "start", "end", "value") == [(0, 40000, 2), (40000, 90000, 4)]
-    assert commands.call_domains(pixels, bins, blocks, 1000, 10).columns == ["assembly", "start", "end"]
+    assert commands.call_domains(pixels, bins, blocks, 1000, 10_000).columns == ["assembly", "start", "end"]

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from contactloom.plans import numeric, relational
+from contactloom.plans import more, numeric, relational
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -22,9 +22,9 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(relational.SQL))
+@pytest.mark.parametrize("name", sorted({**relational.SQL, **more.SQL}))
 def test_same_as_sql(spark, db, name):
-    got, want = relational.QUERIES[name](spark, SF).toPandas(), db.execute(relational.SQL[name]).df()
+    got, want = {**relational.QUERIES, **more.QUERIES}[name](spark, SF).toPandas(), db.execute({**relational.SQL, **more.SQL}[name]).df()
     names = sorted(want.columns)
     assert sorted(got.columns) == names
     got, want = (x[names].sort_values(names).reset_index(drop=True) for x in (got, want))

@@ -55,15 +55,15 @@ def test_one_shot_match_of_all_rows(spark, peaks):
         if a and b:
             found = kernels.match_once(np.array(a, float)[:, 1:], np.array(b, float)[:, 1:], 4000.0)
             want |= {(a[i][0], b[k][0]) for i, k in found}
-    assert {(r["id"], r["match"]) for r in numeric.one_shot_peak_match(spark, SF).collect()} == want
+    assert {(r["id"], r["match"]) for r in relational.one_shot_peak_match(spark, SF).collect()} == want
 
 
 @with_data
 def test_coalesced_intervals_hold_all_rows(spark):
-    rows, got = views.intervals(spark, SF).collect(), relational.interval_coalesce_all(spark, SF).collect()
+    rows, got = views.intervals(spark, SF).collect(), relational.interval_coalesce(spark, SF).collect()
     assert sum(r["n"] for r in got) == len(rows)
     assert all(sum(x["chrom"] == r["chrom"] and x["start"] <= r["start"] and r["end"] <= x["end"] for x in got) == 1 for r in rows)
-    n = relational.interval_others_semi(spark, SF).count() + relational.interval_others_anti(spark, SF).count()
+    n = relational.interval_overlap_semi(spark, SF).count() + relational.interval_overlap_anti(spark, SF).count()
     assert n == len(rows)
 
 
@@ -106,7 +106,7 @@ def test_paths_over_all_links(spark):
 @with_data
 def test_loops_of_all_labels_and_resolutions(spark):
     names = (*loops.KEY, "assembly", "distance", "neo")
-    got = {tuple(r[n] for n in ("resolution", *names)) for r in relational.multires_loop_merge_all(spark, SF).collect()}
+    got = {tuple(r[n] for n in ("resolution", *names)) for r in relational.multires_loop_merge(spark, SF).collect()}
     fine = {tuple(r[n] for n in names) for r in relational._triples(spark, SF, 1).collect()}
     assert {x[7] for x in got} == {f"C{i}" for i in range(7)} and {(1000, *x) for x in fine} <= got
     for size in (2000, 5000):
