@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm import varbytes
-from contactloom.llm.common import Tables, on_workers, spread
+from contactloom.llm.common import Tables, on_workers, released, spread
 from contactloom.llm.pretokens import Numbers, pretokens, ranges
 from contactloom.llm.token_ids import binaries, chunks
 
@@ -128,6 +128,8 @@ def exploded(df: DataFrame, key: str, text: str, buckets: int, block_chars: int)
                         numbers, keys, counts, positions, held, block = Numbers(), [], [], [], 0, block + 1
         if keys:
             yield from flush()
+        del numbers, keys, counts, positions
+        released()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(run, FIELDS.format(key=kind))
@@ -154,6 +156,8 @@ def word_ids(words: DataFrame, path: str, parts: int) -> DataFrame:
                     start = end
                 n = np.fromiter(map(len, out), np.uint32, len(out))
                 yield row(key_type, block, bucket, None, None, squeeze(n), squeeze(np.fromiter((i for ids in out for i in ids), np.uint32, int(n.sum()))))
+        del known
+        released()
 
     return words.repartition(parts, "bucket").mapInArrow(run, words.schema)
 
@@ -195,6 +199,8 @@ def assembled(rows: DataFrame, key: str, path: str, decode: bool, parts: int) ->
                     ids.append(unsqueeze(body.as_py()))
         if head is not None:
             yield from flush()
+        del head, lengths, ids
+        released()
 
     return rows.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(run, f"`{key}` {kind}, ids binary" + ", decoded binary" * decode)
 

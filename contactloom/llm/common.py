@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +75,16 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released() -> None:
+    """Gives memory that is free back to the system, where the C library can: a worker serves many tasks and a driver many
+    jobs, and what one of them needed for a while isn't held against the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores added until no column of df has it, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []

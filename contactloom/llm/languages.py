@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm import crf
-from contactloom.llm.common import fresh, on_workers
+from contactloom.llm.common import fresh, on_workers, released
 from contactloom.llm.token_ids import chunks
 
 UNKNOWN = "und"
@@ -25,7 +25,10 @@ def fit(docs: DataFrame, per_language: int = 300, most_bytes: int = 1 << 16, key
     picks = some.groupBy(F.col(language).alias("y"), F.pmod(h, F.lit(per_language)).alias("r")).agg(F.min(F.struct(h, F.col(key)))[key].alias("k")).select("k", "y")
     rows = some.select(F.col(key).alias("k"), F.col(language).alias("y"), F.col(text).alias("t")).join(F.broadcast(picks), ["k", "y"])  # keys of what the driver holds next
     found = rows.groupBy("k", "y").agg(F.max("t").alias("t")).select("t", "y").toArrow().to_pylist()
-    return crf.fit(sorted((r["t"], r["y"]) for r in found))
+    field = crf.fit(sorted((r["t"], r["y"]) for r in found))
+    del found
+    released()
+    return field
 
 
 def labelled(docs: DataFrame, field: crf.Field | None, text: str = "text") -> DataFrame:
@@ -48,6 +51,8 @@ def labelled(docs: DataFrame, field: crf.Field | None, text: str = "text") -> Da
                 best.extend(names[np.where(counts > 0, shares.argmax(axis=1), len(field.languages))])
                 score.extend(np.clip(shares.max(axis=1), 0, 1))
             yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+        del labeller
+        released()
 
     (found,) = fresh(docs, "found")
     out = docs.withColumn(found, run(F.col(text)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm import compression
-from contactloom.llm.common import on_workers
+from contactloom.llm.common import on_workers, released
 from contactloom.llm.token_ids import chunks
 
 LEVEL = 0.7
@@ -27,8 +27,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 2500, most_ordinar
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.octet_length("t") <= most_bytes)
     found = rows.join(F.broadcast(some), "k").groupBy("k", "y").agg(F.max("t").alias("t")).select("t", "y").toArrow()  # at most the two limits
     # in order of the text: the same model whatever order rows come in
-    texts = lambda y: sorted(t for t in found.filter(pc.equal(found["y"], y))["t"].to_pylist() if t)
-    return compression.fit(texts(1), texts(0), LEVEL)
+    toxic, ordinary = (sorted(t for t in found.filter(pc.equal(found["y"], y))["t"].to_pylist() if t) for y in (1, 0))
+    del found
+    model = compression.fit(toxic, ordinary, LEVEL)
+    del toxic, ordinary
+    released()
+    return model
 
 
 def score(text: Column, model: compression.Model | None) -> Column:
@@ -44,6 +48,8 @@ def score(text: Column, model: compression.Model | None) -> Column:
             for a, b in chunks(batch, 1 << 22):
                 out.extend(model.scores([t or "" for t in batch.slice(a, b - a).to_pylist()], scorer).tolist())
             yield pa.array(out, pa.float64())
+        del scorer
+        released()
 
     return run(text)
 
