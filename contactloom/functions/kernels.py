@@ -39,25 +39,34 @@ def huber_line(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, rounds: int
     return huber_fit(x, y, epsilon, rounds)[:3]
 
 
+def weighted_line(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Slope and intercept of the weighted least-squares line; level where all x are one."""
+    total = w.sum()
+    mx, my = (w @ x) / total, (w @ y) / total
+    dx = x - mx
+    spread = (w * dx) @ dx
+    slope = (w * dx) @ (y - my) / spread if spread > 1e-300 else 0.0
+    return np.array([slope, my - slope * mx])
+
+
 def huber_fit(x: np.ndarray, y: np.ndarray, epsilon: float = 1.35, rounds: int = 100) -> tuple[float, float, float, int]:
     """Slope, intercept and R2 of the inliers of a robust line, by reweighting with the scale re-estimated; and how many
     inliers there are."""
-    a = np.stack([x, np.ones_like(x)], axis=1)
     w, beta, scale = np.ones(len(x)), np.zeros(2), 1.0
     for _ in range(rounds):
-        root = np.sqrt(w)
-        new = np.linalg.lstsq(a * root[:, None], y * root, rcond=None)[0]
-        r = np.abs(y - a @ new)
+        new = weighted_line(x, y, w)
+        r = np.abs(y - new[0] * x - new[1])
         scale = max(1.4826 * float(np.median(r)), 1e-12)
         w = np.minimum(1.0, epsilon * scale / np.maximum(r, 1e-300))
         if np.abs(new - beta).max() < 1e-10:
             beta = new
             break
         beta = new
-    inside = np.abs(y - a @ beta) <= epsilon * scale
+    left = y - beta[0] * x - beta[1]
+    inside = np.abs(left) <= epsilon * scale
     kept = y[inside]
     total = float(((kept - kept.mean()) ** 2).sum()) if len(kept) else 0.0
-    return float(beta[0]), float(beta[1]), 1 - float(((kept - a[inside] @ beta) ** 2).sum()) / total if total > 0 else 0.0, int(inside.sum())
+    return float(beta[0]), float(beta[1]), 1 - float((left[inside] ** 2).sum()) / total if total > 0 else 0.0, int(inside.sum())
 
 
 def without_flat_start(x: np.ndarray, y: np.ndarray) -> int:

@@ -129,6 +129,36 @@ def lifted_intervals(rows: DataFrame, blocks: DataFrame, size: int) -> DataFrame
     return met.select(F.col("a_id").alias("id"), F.col("b_block").alias("block"), (F.col("b_base") + F.when(plus, s - F.col("b_start")).otherwise(F.col("b_end") - e)).alias("lo"), (F.col("b_base") + F.when(plus, e - F.col("b_start")).otherwise(F.col("b_end") - s)).alias("hi"), F.when(plus, F.col("a_strand")).otherwise(turned).alias("strand"))
 
 
+def lifted_genes(genes: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+    """(id, gene, block, lo, hi, strand, exon_starts, exon_sizes): genes (id, gene, chrom, start, end, strand, exons) on the axis, cut
+    where their block ends, in base pairs; a - block turns them. Exons, arrays of (start, end), are lifted and cut with
+    their gene; those that start after it does are given by where they start in it and their whole size. Of exons that
+    start at one place the longest stays, and one that starts within the one kept before it goes. Genes without a strand
+    are left out."""
+    from contactloom.operators.intervals import overlap
+
+    b = blocks.select("chrom", (F.col("lo") * size).alias("start"), (F.col("hi") * size).alias("end"), "block", F.col("strand").alias("way"), (F.col("offset") * size).alias("base"))
+    rows = genes.where(F.col("strand").isin("+", "-")).select("chrom", "start", "end", "id", "gene", "strand", "exons")
+    met = overlap(rows, b, size=100 * size)
+    plus = F.col("b_way") == "+"
+    lift = lambda x: F.col("b_base") + F.when(plus, x - F.col("b_start")).otherwise(F.col("b_end") - x)
+    lo, hi = F.least(lift(F.col("a_start")), lift(F.col("a_end"))), F.greatest(lift(F.col("a_start")), lift(F.col("a_end")))
+    top = F.col("b_base") + F.col("b_end") - F.col("b_start")
+    met = met.withColumns({"lo": F.greatest(lo, F.col("b_base")), "hi": F.least(hi, top)}).where("hi > lo")
+
+    def exon(e):
+        first, last = F.least(lift(e["start"]), lift(e["end"])), F.greatest(lift(e["start"]), lift(e["end"]))
+        return F.struct((F.greatest(first, F.col("lo")) - F.col("lo")).alias("at"), (F.col("lo") - F.greatest(first, F.col("lo")) + F.least(last, F.col("hi")) - F.col("lo")).alias("left"), (e["start"] - e["end"]).alias("less"))
+
+    found = F.filter(F.transform("a_exons", exon), lambda x: (x["left"] > 0) & (x["at"] > 0))
+    ordered = F.array_sort(F.transform(found, lambda x: F.struct(x["at"].cast("long").alias("at"), x["less"].cast("long").alias("less"))))
+    empty = F.struct(F.lit(-1).cast("long").alias("end"), F.array().cast("array<struct<at: bigint, less: bigint>>").alias("kept"))
+    fold = F.aggregate(ordered, empty, lambda a, x: F.when(x["at"] < a["end"], a).otherwise(F.struct((x["at"] - x["less"]).alias("end"), F.concat(a["kept"], F.array(x)).alias("kept"))))
+    met = met.withColumn("kept", fold["kept"])
+    turned = F.when(plus, F.col("a_strand")).when(F.col("a_strand") == "+", "-").otherwise("+")
+    return met.select(F.col("a_id").alias("id"), F.col("a_gene").alias("gene"), F.col("b_block").alias("block"), "lo", "hi", turned.alias("strand"), F.col("kept.at").alias("exon_starts"), F.transform("kept.less", lambda x: -x).alias("exon_sizes"))
+
+
 def valid_pairs(frame: DataFrame, weights: DataFrame, longest: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, block1, block2, distance, n): pairs of valid bins of each pair of an axis's blocks by distance from 2 to
     `longest`, as correlations of the blocks' masks, so that no pair of bins is made. A task holds one axis's masks."""

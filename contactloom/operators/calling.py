@@ -147,3 +147,28 @@ def called(contacts: DataFrame, places: DataFrame, curve: DataFrame, scorer, lea
     for c, b in (("i", "block1"), ("j", "block2")):
         hits = hits.join(block.select(*keys, F.col("place").cast("long").alias(c), F.col("block").alias(b)), [*keys, c])
     return clustered_by_anchors(hits, [*keys, "block1", "block2"], size, least_calls)
+
+
+def local_maxima(calls: DataFrame, contacts: DataFrame, frame: DataFrame, reach: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, i, j, to_i, to_j): each call's cell with the most contacts within `reach` places to all sides, in the same pair of
+    blocks; of equal ones the first by i, then j, and the call's own before others. Calls whose surroundings hang over the
+    axis stay. Calls look into the cells of a grid around them, so that only neighbours meet."""
+    side = max(reach, 8)
+    block = frame.select(*keys, F.col("idx").cast("long").alias("idx"), "block")
+    named = lambda rows, a, b: rows.join(block.toDF(*keys, a, f"{a}_block"), [*keys, a]).join(block.toDF(*keys, b, f"{b}_block"), [*keys, b])
+    size = frame.groupBy(*keys).agg(F.max("idx").alias("top"))
+    own = named(calls.select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).distinct(), "i", "j")
+    own = own.join(size, list(keys)) if keys else own.crossJoin(F.broadcast(size))  # one row
+    inside = (F.col("i") >= reach) & (F.col("j") + reach <= F.col("top"))
+    near = own.where(inside)
+    for c, g in (("i", "g1"), ("j", "g2")):
+        near = near.withColumn(g, F.explode(F.sequence(F.floor((F.col(c) - reach) / side), F.floor((F.col(c) + reach) / side))))
+    cells = named(contacts.select(*keys, F.col("i").cast("long").alias("x"), F.col("j").cast("long").alias("y"), F.col("value").alias("v")), "x", "y")
+    cells = cells.withColumns({"g1": F.floor(F.col("x") / side), "g2": F.floor(F.col("y") / side)})
+    met = near.join(cells, [*keys, "g1", "g2"]).where((F.abs(F.col("x") - F.col("i")) <= reach) & (F.abs(F.col("y") - F.col("j")) <= reach))
+    met = met.where((F.col("x_block") == F.col("i_block")) & (F.col("y_block") == F.col("j_block")))
+    mine = (F.col("x") == F.col("i")) & (F.col("y") == F.col("j"))
+    best = F.min(F.struct((-F.col("v")).alias("less"), (~mine).alias("other"), "x", "y"))
+    found = met.groupBy(*keys, "i", "j").agg(best.alias("b"))
+    rows = own.select(*keys, "i", "j").join(found, [*keys, "i", "j"], "left")
+    return rows.select(*keys, "i", "j", F.coalesce("b.x", "i").alias("to_i"), F.coalesce("b.y", "j").alias("to_j"))

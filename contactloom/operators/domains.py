@@ -74,13 +74,14 @@ def expecting(chain: Chain, names: list[str]) -> Callable[[pd.DataFrame], pd.Dat
 
 def trained(index: DataFrame, keys: tuple[str, ...] = ("chrom",), least: int = 20, rounds: int = 200, gain: float = 1e-5) -> DataFrame:
     """The model (kind, a, b, weight, mean, variance) trained on runs of more than `least` places without zeros, until a
-    round raises the log-likelihood by less than `gain`; the initial one where there is no such run."""
+    round raises the log-likelihood by less than `gain` a place; the initial one where there is no such run."""
     spark = index.sparkSession
     rows = filled_runs(index, keys)
     long = rows.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
     rows = written(rows.join(long.drop("n"), [*keys, "run"]).withColumn("di", F.col("di").cast("double")), "runs")
     chain, last = initial(), -np.inf
-    if rows.isEmpty():
+    places = rows.count()
+    if not places:
         return table_of(spark, chain)
     size = 1 + 20 + 3 * 4 * PARTS
     names = [f"s{k}" for k in range(size)]
@@ -95,7 +96,7 @@ def trained(index: DataFrame, keys: tuple[str, ...] = ("chrom",), least: int = 2
         means = np.where(seen, held[1] / np.maximum(held[0], 1e-9), means)
         variances = np.where(seen, np.maximum(held[2] / np.maximum(held[0], 1e-9) - means**2, 1e-3), variances)
         chain = moves, weights, means, variances
-        if now - last < gain:
+        if now - last < gain * places:
             break
         last = now
     return table_of(spark, chain)

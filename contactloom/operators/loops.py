@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.operators.intervals import overlap
+from contactloom.operators.written import written
 
 KEY = ("chrom1", "start1", "end1", "chrom2", "start2", "end2")
 
@@ -32,25 +33,28 @@ def across_resolutions(by_resolution: dict[int, DataFrame]) -> DataFrame:
     finer level from start//size to end//size, both included, count as inside."""
     sizes = sorted(by_resolution)
     names = (*KEY, "assembly", "distance", "neo")
-    result = by_resolution[sizes[0]].select(F.lit(sizes[0]).alias("resolution"), *names)
-    levels = {sizes[0]: result.select(*KEY).distinct()}
+    finest = written(by_resolution[sizes[0]].select(*names), "calls")
+    parts = [finest.select(F.lit(sizes[0]).alias("resolution"), *names)]
+    levels = {sizes[0]: written(finest.select(*KEY).distinct(), "level")}
     for size in sizes[1:]:
-        coarse = by_resolution[size].select(*names)
+        coarse = written(by_resolution[size].select(*names), "calls")
         loops = coarse.select(*KEY).distinct()
-        missed, added = [], []
+        hits = None  # (KEY, fine, f1, f2): the finer loops inside each, of all finer levels
         for fine, known in levels.items():
             keys = loops
             for s in "12":
-                inside = F.sequence(F.floor(F.col(f"start{s}") / fine), F.floor(F.col(f"end{s}") / fine))
-                keys = keys.withColumn(f"f{s}", F.explode(F.transform(inside, lambda b: b * fine)))
-            hits = keys.join(known.select(F.col("chrom1"), F.col("chrom2"), *[F.col(f"start{s}").alias(f"f{s}") for s in "12"]), ["chrom1", "chrom2", "f1", "f2"])
-            missed.append(loops.join(hits.select(*KEY).distinct(), list(KEY), "left_anti"))
-            moved = coarse.join(hits, list(KEY)).select("chrom1", F.col("f1").alias("start1"), (F.col("f1") + fine).alias("end1"), "chrom2", F.col("f2").alias("start2"), (F.col("f2") + fine).alias("end2"), "assembly", "distance", "neo")
-            added.append(moved.select(F.lit(fine).alias("resolution"), *names))
-        own = coarse.join(reduce(lambda a, b: a.unionByName(b), missed).distinct(), list(KEY), "left_semi")
-        result = reduce(lambda a, b: a.unionByName(b), [result, *added, own.select(F.lit(size).alias("resolution"), *names)])
+                ends = [F.floor(F.col(f"{c}{s}") / fine) * fine for c in ("start", "end")]
+                keys = keys.withColumn(f"f{s}", F.explode(F.sequence(*ends, F.lit(fine).cast("long"))))
+            met = keys.join(known.select("chrom1", "chrom2", *[F.col(f"start{s}").alias(f"f{s}") for s in "12"]), ["chrom1", "chrom2", "f1", "f2"])
+            met = met.select(*KEY, F.lit(fine).alias("fine"), "f1", "f2")
+            hits = met if hits is None else hits.unionByName(met)
+        hits = written(hits, "hits")
+        moved = coarse.join(hits, list(KEY)).select(F.col("fine").alias("resolution"), "chrom1", F.col("f1").alias("start1"), (F.col("f1") + F.col("fine")).alias("end1"), "chrom2", F.col("f2").alias("start2"), (F.col("f2") + F.col("fine")).alias("end2"), "assembly", "distance", "neo")
+        everywhere = hits.groupBy(*KEY).agg(F.countDistinct("fine").alias("n")).where(F.col("n") == len(levels))
+        own = written(coarse.join(everywhere, list(KEY), "left_anti"), "own")
+        parts += [moved, own.select(F.lit(size).alias("resolution"), *names)]
         levels[size] = own.select(*KEY).distinct()
-    return result.distinct()
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
 
 
 def gene_search(calls: DataFrame, genes: DataFrame, least: int = 15_000) -> DataFrame:

@@ -4,7 +4,7 @@ What relates rows is DataFrame work; a kernel sees one group (a chromosome's axi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,25 +34,35 @@ def isotonic_curve(curve: DataFrame, longest: int) -> DataFrame:
 def slopes(observed: DataFrame, curve: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
     """(*keys, slope, r2, n, unclear): robust lines of observed means on a curve at common distances, by group: of all
     distances or of those after a flat start, whichever fits better; slope 0 where too few are inliers."""
-    both = observed.join(curve.select("distance", F.col("value").alias("expected")), "distance").select(*keys, "distance", "mean", "expected")
+    return lines_up_to(observed, curve, keys, [None], least).select(*keys, "slope", "r2", "n", "unclear")
+
+
+def lines_up_to(observed: DataFrame, curve: DataFrame, keys: list[str], ranges: list[int | None], least: int = 5) -> DataFrame:
+    """(*keys, upto, slope, r2, n, unclear): as slopes, a row for each range of distances with `least` points. A group is one
+    row of its points, as many as there are distances, and tasks take rows in batches."""
+    both = observed.join(curve.select("distance", F.col("value").cast("double").alias("expected")), "distance")
+    points = F.array_sort(F.collect_list(F.struct(F.col("distance").cast("double").alias("d"), "expected", F.col("mean").cast("double").alias("m"))))
+    rows = both.groupBy(*keys).agg(points.alias("points")).select(*keys, F.col("points.d").alias("d"), F.col("points.expected").alias("x"), F.col("points.m").alias("y"))
     kinds = ", ".join(f"{k} {both.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, "upto", "slope", "r2", "n", "unclear"]
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) < least:
-            return pd.DataFrame({k: [] for k in [*keys, "slope", "r2", "n", "unclear"]})
-        rows = rows.sort_values("distance")
-        x, y = rows["expected"].to_numpy(float), rows["mean"].to_numpy(float)
-        slope, r2 = kernels.best_line(rows["distance"].to_numpy(float), x, y, least)
-        unclear = kernels.trend_is_unclear(rows["distance"].to_numpy(float), y)
-        return pd.DataFrame([[*(rows[k].iloc[0] for k in keys), slope, r2, len(rows), unclear]], columns=[*keys, "slope", "r2", "n", "unclear"])
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for own, d, x, y in zip(rows[keys].itertuples(index=False, name=None), rows["d"], rows["x"], rows["y"], strict=True):
+                for upto in ranges:
+                    n = len(d) if upto is None else int(np.searchsorted(d, upto, side="right"))
+                    if n >= least:
+                        slope, r2 = kernels.best_line(d[:n], x[:n], y[:n], least)
+                        out.append((*own, upto or 0, slope, r2, n, kernels.trend_is_unclear(d[:n], y[:n])))
+            yield pd.DataFrame(out, columns=names)
 
-    return both.groupBy(*keys).applyInPandas(fit, f"{kinds}, slope double, r2 double, n bigint, unclear boolean")
+    return rows.mapInPandas(fit, f"{kinds}, upto int, slope double, r2 double, n bigint, unclear boolean")
 
 
 def best_slopes(observed: DataFrame, curve: DataFrame, keys: list[str], ranges: list[int], least: int = 5) -> DataFrame:
     """For each group the line of largest R2 over ranges of distance, the first in a tie; unclear where any range's trend is."""
-    rows = observed.withColumn("upto", F.explode(F.lit(ranges))).where(F.col("distance") <= F.col("upto"))
-    every = slopes(rows, curve, [*keys, "upto"], least)
+    every = lines_up_to(observed, curve, keys, ranges, least)
     best = every.groupBy(*keys).agg(F.max_by(F.struct("upto", "slope", "r2", "n"), F.struct("r2", -F.col("upto"))).alias("b"), F.max("unclear").alias("unclear"))
     return best.select(*keys, "b.*", "unclear")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.functions import text
-from contactloom.operators import assembly, axis, contacts, intervals, loops, models, rearrangements, sequences
+from contactloom.operators import assembly, axis, calling, contacts, intervals, loops, models, rearrangements, sequences
 from contactloom.operators.written import scratch
 from contactloom.plans import commands
 from contactloom.plans.relational import AXIS, RUNS, Query, _numbered_svs, _triples
@@ -95,9 +95,12 @@ def mean_marginal(spark: SparkSession, d: str) -> DataFrame:
     return contacts.mean_marginal(views.pixels(spark, d))
 
 
-@query(with_views("bins") + "SELECT bin_id, CASE WHEN weight > 0 THEN 1 / weight ELSE 0 END AS bias FROM bins")
+@query(with_views("pixels") + """, ends AS (SELECT bin1_id AS bin_id, "count" FROM pixels UNION ALL SELECT bin2_id, "count" FROM pixels) SELECT bin_id, CASE WHEN bin_id % 37 <> 0 THEN round(sqrt(sum("count")), 9) ELSE 0 END AS bias FROM ends GROUP BY 1""")
 def bias_inverse(spark: SparkSession, d: str) -> DataFrame:
-    return contacts.bias(views.bins(spark)).select("bin_id", "bias")
+    """The bias of bins whose weight is one over the root of their coverage, and is null for masked ones."""
+    cover = contacts.marginals(views.pixels(spark, d))
+    weight = F.when(F.col("bin_id") % 37 != 0, 1 / F.sqrt("coverage"))
+    return contacts.bias(cover.select("bin_id", weight.alias("weight"))).select("bin_id", F.round("bias", 9).alias("bias"))
 
 
 @query(with_views("pixels bins") + """, g AS (SELECT sum(n) AS genome FROM (SELECT max("end") AS n FROM bins GROUP BY chrom)), t AS (SELECT CAST(sum("count") AS DOUBLE) AS total FROM pixels), x AS (SELECT 3031042417.0 / genome * total * (1000 / 5000.0) * 0.73256754 AS depth FROM g, t)
@@ -110,9 +113,36 @@ def _axis(spark: SparkSession) -> DataFrame:
     return axis.axis(views.blocks(spark), views.bins(spark), views.BIN_SIZE)
 
 
-@query(with_views("bins blocks", AXIS.split(",\nmoved")[0]) + "SELECT count(*) = count(DISTINCT bin_id) AS ok FROM axis")
+#: The axes of all assemblies, and contacts on them.
+AXES = """axes AS (SELECT assembly, "offset" + CASE WHEN strand = '+' THEN k - lo ELSE hi - 1 - k END AS idx, block, b.bin_id, x.chrom, b.start, b.weight FROM (SELECT *, unnest(range(lo, hi)) AS k FROM assembly_blocks) x JOIN bins b ON b.chrom = x.chrom AND b.start = k * 1000),
+moved AS (SELECT a.assembly, least(a.idx, b.idx) AS i, greatest(a.idx, b.idx) AS j, CAST(sum("count") AS BIGINT) AS "count", sum("count" * coalesce(a.weight, 0) * coalesce(b.weight, 0)) AS balanced FROM pixels JOIN axes a ON a.bin_id = bin1_id JOIN axes b ON b.bin_id = bin2_id AND b.assembly = a.assembly GROUP BY 1, 2, 3)"""
+
+
+def _axes(spark: SparkSession, d: str) -> DataFrame:
+    return axis.axis(views.assembly_blocks(spark, d), views.bins(spark), views.BIN_SIZE, ("assembly",))
+
+
+@query(with_views("pixels bins assembly_blocks", AXES) + "SELECT assembly, count(*) = count(DISTINCT bin_id) AS ok FROM axes GROUP BY 1")
 def axis_one_to_one(spark: SparkSession, d: str) -> DataFrame:
-    return axis.is_one_to_one(_axis(spark))
+    """Which assemblies' axes hold no bin twice."""
+    return axis.is_one_to_one(_axes(spark, d), ("assembly",))
+
+
+@query(with_views("pixels bins assembly_blocks", AXES) + """SELECT assembly, i, j, "count", round(balanced, 9) AS balanced FROM moved""")
+def keyed_axis_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Contacts on the axes of all assemblies."""
+    rows = axis.remapped(views.pixels(spark, d), _axes(spark, d), ("assembly",), views.bins(spark))
+    return rows.withColumn("balanced", F.round("balanced", 9))
+
+
+@query(with_views("pixels bins assembly_blocks", AXES) + """, s AS (SELECT assembly, j AS idx FROM moved WHERE "count" >= 2 GROUP BY 1, 2), n AS (SELECT assembly, count(*) AS n FROM s GROUP BY 1),
+k AS (SELECT DISTINCT x.assembly, x.idx FROM axes x LEFT JOIN n USING (assembly) LEFT JOIN s ON s.assembly = x.assembly AND s.idx = x.idx WHERE coalesce(n, 0) < 11 OR s.idx IS NOT NULL)
+SELECT assembly, idx, CAST(row_number() OVER (PARTITION BY assembly ORDER BY idx) - 1 AS INTEGER) AS place FROM k""")
+def keyed_gap_free(spark: SparkSession, d: str) -> DataFrame:
+    """Places without gaps on the axes of all assemblies; sparse axes stay whole."""
+    frame = _axes(spark, d)
+    moved = axis.remapped(views.pixels(spark, d), frame, ("assembly",)).where("count >= 2")
+    return axis.gap_free(moved, frame, ("assembly",))
 
 
 CALLS = """calls AS (SELECT DISTINCT chrom1, start1, end1, chrom2, start2, end2, CAST(chrom1 <> chrom2 AS INTEGER) AS neo FROM loops)"""
@@ -214,3 +244,91 @@ def assembled_chains(spark: SparkSession, d: str) -> DataFrame:
     svs = _numbered_svs(spark, d)
     out = commands.assemblies(commands.assemble(svs, 400, 10, 3), svs, 400)
     return files.assembly_lines(out)
+
+
+EXONS = """exons AS (SELECT *, [{'s': start + 50, 'e': start + 150}, {'s': start + 120, 'e': start + 300}, {'s': start + 50, 'e': start + 200}, {'s': "end" - 90, 'e': "end"}, {'s': start + 301, 'e': start + 302 + key % 200}] AS exons FROM genes)"""
+
+
+@query(with_views("genes blocks", EXONS) + """, met AS (SELECT g.*, block, b.strand AS way, lo * 1000 AS bs, hi * 1000 AS be, "offset" * 1000 AS base FROM exons g JOIN blocks b ON g.chrom = b.chrom AND g.start < hi * 1000 AND lo * 1000 < g."end"),
+body AS (SELECT *, base + CASE WHEN way = '+' THEN greatest(start, bs) - bs ELSE be - least("end", be) END AS lo, base + CASE WHEN way = '+' THEN least("end", be) - bs ELSE be - greatest(start, bs) END AS hi FROM met),
+cut AS (SELECT *, list_transform(exons, lambda x: {'at': greatest(CASE WHEN way = '+' THEN base + x.s - bs ELSE base + be - x.e END, lo) - lo, 'stop': least(CASE WHEN way = '+' THEN base + x.e - bs ELSE base + be - x.s END, hi) - lo, 'size': x.e - x.s}) AS c FROM body),
+kept AS (SELECT *, list_reduce(list_transform(list_sort(list_transform(list_filter(c, lambda x: x.at > 0 AND x.stop > x.at), lambda x: {'at': x.at, 'less': -x.size})), lambda x: [x]), lambda a, x: CASE WHEN len(a) > 0 AND x[1].at < a[-1].at - a[-1].less THEN a ELSE list_concat(a, x) END, CAST([] AS STRUCT("at" BIGINT, less BIGINT)[])) AS k FROM cut)
+SELECT key AS id, gene, CAST(block AS INTEGER) AS block, lo, hi, CASE WHEN way = '+' THEN strand WHEN strand = '+' THEN '-' ELSE '+' END AS strand, array_to_string(list_transform(k, lambda x: x.at), ',') AS starts, array_to_string(list_transform(k, lambda x: -x.less), ',') AS sizes FROM kept""")
+def gene_exons_lifted(spark: SparkSession, d: str) -> DataFrame:
+    """Genes with exons on the axis."""
+    s, e, k = F.col("start"), F.col("end"), F.col("key")
+    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    genes = views.genes(spark, d).withColumn("exons", F.array(pair(s + 50, s + 150), pair(s + 120, s + 300), pair(s + 50, s + 200), pair(e - 90, e), pair(s + 301, s + 302 + k % 200)))
+    out = axis.lifted_genes(genes.withColumnRenamed("key", "id"), views.blocks(spark), views.BIN_SIZE)
+    return out.select("id", "gene", "block", "lo", "hi", "strand", F.array_join("exon_starts", ",").alias("starts"), F.array_join("exon_sizes", ",").alias("sizes"))
+
+
+@query(with_views("pixels bins blocks", AXIS) + """, b AS (SELECT idx, block FROM axis), c AS (SELECT m.i, m.j, "count" AS v, x.block AS bi, y.block AS bj FROM moved m JOIN b x ON x.idx = i JOIN b y ON y.idx = j),
+met AS (SELECT a.i, a.j, o.i AS x, o.j AS y, row_number() OVER (PARTITION BY a.i, a.j ORDER BY o.v DESC, CASE WHEN o.i = a.i AND o.j = a.j THEN 0 ELSE 1 END, o.i, o.j) AS r FROM c a JOIN c o ON o.i BETWEEN a.i - 3 AND a.i + 3 AND o.j BETWEEN a.j - 3 AND a.j + 3 AND o.bi = a.bi AND o.bj = a.bj
+WHERE a.v >= 2 AND a.i >= 3 AND a.j + 3 <= (SELECT max(idx) FROM b))
+SELECT c.i, c.j, coalesce(x, c.i) AS to_i, coalesce(y, c.j) AS to_j FROM c LEFT JOIN met ON met.i = c.i AND met.j = c.j AND r = 1 WHERE v >= 2""")
+def local_maxima(spark: SparkSession, d: str) -> DataFrame:
+    """Calls moved to the cell with the most contacts around them."""
+    frame = _axis(spark)
+    rows = axis.remapped(views.pixels(spark, d), frame).withColumnRenamed("count", "value")
+    return calling.local_maxima(rows.where("value >= 2"), rows, frame, 3)
+
+
+@query(with_views("pixels bins") + """SELECT a.chrom AS chrom1, b.chrom AS chrom2, bin1_id % 100 AS at1, bin2_id % 100 AS at2, "count" AS value FROM pixels JOIN bins a ON a.bin_id = bin1_id JOIN bins b ON b.bin_id = bin2_id WHERE a.chrom = 'chr2'""")
+def contact_table_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Contacts written by pairs of chromosomes, and those of one first chromosome read back."""
+    path = scratch(spark, "contacts")
+    files.write_contacts(views.pixels(spark, d), views.bins(spark), path)
+    return files.contacts(spark, path, "chr2")
+
+
+@query(with_views("pixels bins") + """, ends AS (SELECT bin1_id AS bin_id, "count" FROM pixels UNION ALL SELECT bin2_id, "count" FROM pixels), c AS (SELECT bin_id, CAST(sum("count") AS BIGINT) AS cn FROM ends GROUP BY 1)
+SELECT bin_id, chrom, start, c.cn FROM bins LEFT JOIN c USING (bin_id)""")
+def bin_columns_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A column of bins put in another's place, as a second version, and read back."""
+    path, bins = scratch(spark, "bins"), views.bins(spark)
+    files.write_bins(bins, bins.select("bin_id", "weight"), path)
+    cover = contacts.marginals(views.pixels(spark, d)).select("bin_id", F.col("coverage").alias("cn"))
+    files.write_bins(bins, cover, path, converged=True)
+    return files.read_version(spark, path).select("bin_id", "chrom", "start", "cn")
+
+
+@query("""SELECT c_custkey - (SELECT min(c_custkey) FROM customer) AS idx, chr(CAST(65 + c_custkey % 3 AS INTEGER)) AS chain, round((c_custkey * 7919 % 20011) / 1000.0 - 10, 3) AS x, round((c_custkey * 104729 % 20011) / 1000.0, 3) AS y, round(c_custkey % 1000 / 8.0, 3) AS z FROM customer WHERE c_custkey < 9999""")
+def pdb_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Points written as a structure file and read back; the format numbers 9,999 at most."""
+    path, k = scratch(spark, "pdb"), F.col("c_custkey")
+    rows = views.table(spark, d, "customer").where("c_custkey < 9999")
+    least = rows.agg(F.min("c_custkey").alias("least"))
+    rows = rows.crossJoin(F.broadcast(least)).select((k - F.col("least")).alias("idx"), (k % 3).cast("int").alias("block"), ((k * 7919 % 20011) / 1000 - 10).alias("x"), ((k * 104729 % 20011) / 1000).alias("y"), (k % 1000 / 8).alias("z"))  # one row
+    files.pdb_lines(rows).write.text(path)
+    return files.pdb(spark, path)
+
+
+@query(with_views("pixels bins assembly_blocks", AXES) + """, p AS (SELECT assembly, idx, block, chrom, start FROM axes), t AS (SELECT a.assembly, {'c': a.chrom, 's': a.start} AS x, {'c': b.chrom, 's': b.start} AS y, CAST(a.block <> b.block AS INTEGER) AS neo FROM p a JOIN p b ON a.assembly = b.assembly WHERE a.idx = 3 AND b.idx = 30)
+SELECT least(x, y).c AS chrom1, least(x, y).s AS start1, least(x, y).s + 1000 AS end1, greatest(x, y).c AS chrom2, greatest(x, y).s AS start2, greatest(x, y).s + 1000 AS end2, string_agg(DISTINCT assembly || ',27000,' || neo, ',' ORDER BY assembly || ',27000,' || neo) AS label FROM t GROUP BY 1, 2, 3, 4, 5, 6""")
+def domain_file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Domains of all assemblies placed on the genome, labelled, written and read back."""
+    path, frame = scratch(spark, "domains"), _axes(spark, d)
+    ends = frame.select("assembly").distinct().select("assembly", F.lit(3).cast("long").alias("start"), F.lit(31).cast("long").alias("end"))
+    files.write_loops(loops.labelled(commands.placed_domains(ends, frame, views.BIN_SIZE)), path)
+    return files.loops(spark, path)
+
+
+@query(with_views("sv") + """SELECT 'P' || p1 AS name, CAST(10000 AS INTEGER) AS resolution, c1, p1, c2, p2, abs(p1 - p2) AS apart, p1 % 2 = 0 AS induced FROM sv WHERE abs(p1 - p2) <= 50000 AND c1 <> c2 AND p1 % 2 = 0""")
+def sv_peak_read(spark: SparkSession, d: str) -> DataFrame:
+    """Induced peaks between chromosomes and not too far apart, from lines of text."""
+    path, t = scratch(spark, "sv-peaks"), F.split("value", "\t")
+    a, b = t[3].cast("long"), t[4].cast("long")
+    views.sv_lines(spark, d).select(F.concat_ws("\t", F.concat(F.lit("P"), t[3]), F.lit("10000"), t[0], t[3], t[1], t[4], F.abs(a - b).cast("string"), (a % 2 == 0).cast("string"))).write.text(path)
+    return files.sv_peaks(spark, path, 50_000, only_inter=True, last=True)
+
+
+@query(with_views("track") + """, c AS (SELECT chrom, row_number() OVER (ORDER BY chrom) AS ord, max(idx) + 1 AS length FROM track GROUP BY 1), b AS (SELECT chrom, coalesce(sum(length) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM c)
+SELECT chrom, CAST(base + idx AS BIGINT) AS at, round(log2(value), 9) AS log2 FROM track JOIN b USING (chrom) WHERE value > 0""")
+def plot_points(spark: SparkSession, d: str) -> DataFrame:
+    """A profile at cumulative positions."""
+    from pyspark.sql import Window as W
+
+    t = views.track(spark, d)
+    chroms = t.groupBy("chrom").agg((F.max("idx") + 1).alias("length")).withColumn("ord", F.row_number().over(W.orderBy("chrom")))
+    return commands.cnv_plot_points(t.withColumn("start", F.col("idx")), chroms).withColumn("log2", F.round("log2", 9))

@@ -277,7 +277,7 @@ def sv_label(spark: SparkSession, d: str) -> DataFrame:
     return rearrangements.labelled(rearrangements.parsed(views.sv_lines(spark, d), 1000, 5000))
 
 
-FLANKS = """ids AS (SELECT row_number() OVER (ORDER BY c1, p1, s1, c2, p2, s2) AS id, * FROM parsed),
+FLANKS = """ids AS (SELECT CAST('0x' || md5(concat_ws(',', c1, p1, s1, c2, p2, s2))[1:15] AS BIGINT) AS id, * FROM parsed),
 both_ways AS (SELECT id, c1, p1, s1, c2, p2, s2, FALSE AS mirrored FROM ids UNION ALL SELECT id, c2, p2, s2, c1, p1, s1, TRUE FROM ids),
 flank AS (SELECT *, CASE WHEN s1 = '+' THEN greatest(0, p1 - 400) ELSE p1 END AS lo1, CASE WHEN s1 = '+' THEN p1 ELSE p1 + 400 END AS hi1, CASE WHEN s2 = '+' THEN greatest(0, p2 - 400) ELSE p2 END AS lo2, CASE WHEN s2 = '+' THEN p2 ELSE p2 + 400 END AS hi2 FROM both_ways)"""
 
@@ -289,10 +289,10 @@ def sv_connect_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _numbered_svs(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
+    """Rearrangements with an id above 0 from the hash of their six fields."""
     rows = rearrangements.parsed(views.sv_lines(spark, d), 1000, 5000)
-    return rows.withColumn("id", F.row_number().over(W.orderBy("c1", "p1", "s1", "c2", "p2", "s2")).cast("long"))
+    digest = F.md5(F.concat_ws(",", "c1", "p1", "s1", "c2", "p2", "s2"))
+    return rows.withColumn("id", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
 
 
 @query(with_views("links") + """, walk AS (SELECT DISTINCT src, dst, 1 AS hops FROM links WHERE src <> dst AND src % 100 = 0 UNION SELECT w.src, e.dst, w.hops + 1 FROM walk w JOIN links e ON w.dst = e.src WHERE w.hops < 6 AND e.dst <> w.src AND e.src <> e.dst)
