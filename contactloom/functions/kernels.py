@@ -160,29 +160,26 @@ def chain_sums(x: np.ndarray, moves: np.ndarray, weights: np.ndarray, means: np.
     its log-likelihood, the moves by state, and weight, sum and sum of squares by state and part, in one row. Zeros where
     the chain can't make the sequence."""
     logs = mixture_logs(x, weights, means, variances)
-    top = logs.max(axis=(1, 2), keepdims=True)
-    each = np.exp(logs - top)
-    e, (n, k) = each.sum(axis=2), logs.shape[:2]
-    inner, last = moves[:, :k], moves[:, k]
-    alpha, beta, scale = np.zeros((n, k)), np.zeros((n, k)), np.ones(n)
-    for t in range(n):
-        a = e[t] * (np.eye(k)[0] if t == 0 else alpha[t - 1] @ inner)
-        scale[t] = a.sum()
-        if scale[t] <= 0:
-            return np.zeros(1 + moves.size + 3 * means.size)
-        alpha[t] = a / scale[t]
-    end = float(alpha[-1] @ last)
-    if end <= 0:
-        return np.zeros(1 + moves.size + 3 * means.size)
-    beta[-1] = last / end
+    top = logs.max(axis=2, keepdims=True)
+    e = (top + np.log(np.exp(logs - top).sum(axis=2, keepdims=True)))[:, :, 0]
+    n, k = e.shape
+    with np.errstate(divide="ignore"):
+        inner, last = np.log(moves[:, :k]), np.log(moves[:, k])
+    alpha, beta = np.full((n, k), -np.inf), np.full((n, k), -np.inf)  # logs throughout: values may be far from all means
+    alpha[0, 0], beta[-1] = e[0, 0], last
+    for t in range(1, n):
+        alpha[t] = e[t] + np.logaddexp.reduce(alpha[t - 1][:, None] + inner, axis=0)
     for t in range(n - 2, -1, -1):
-        beta[t] = inner @ (e[t + 1] * beta[t + 1]) / scale[t + 1]
-    p = alpha * beta
-    pairs = (alpha[:-1, :, None] * inner * (e[1:] * beta[1:] / scale[1:, None])[:, None, :]).sum(axis=0)
+        beta[t] = np.logaddexp.reduce(inner + (e[t + 1] + beta[t + 1])[None], axis=1)
+    whole = np.logaddexp.reduce(alpha[-1] + last)
+    if not np.isfinite(whole):
+        return np.zeros(1 + moves.size + 3 * means.size)
+    p = np.exp(alpha + beta - whole)
+    pairs = np.exp(alpha[:-1, :, None] + inner + (e[1:] + beta[1:])[:, None, :] - whole).sum(axis=0)
     counts = np.concatenate([pairs, p[-1][:, None]], axis=1)
-    part = p[:, :, None] * each / np.maximum(e, 1e-300)[:, :, None]
+    part = p[:, :, None] * np.exp(logs - e[:, :, None])
     held = [part.sum(axis=0), (part * x[:, None, None]).sum(axis=0), (part * (x * x)[:, None, None]).sum(axis=0)]
-    return np.concatenate([[np.log(scale).sum() + top.sum() + np.log(end)], counts.ravel(), *(h.ravel() for h in held)])
+    return np.concatenate([[whole], counts.ravel(), *(h.ravel() for h in held)])
 
 
 def likeliest_chain(x: np.ndarray, moves: np.ndarray, weights: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:

@@ -90,6 +90,8 @@ def trained(index: DataFrame, keys: tuple[str, ...] = ("chrom",), least: int = 2
         got = np.array(sums.agg(*[F.sum(n).alias(n) for n in names]).first())
         now, counts, held = got[0], got[1:21].reshape(4, 5), got[21:].reshape(3, 4, PARTS)
         moves, weights, means, variances = chain
+        if not held[0].any():
+            break
         moves = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-300)
         weights = held[0] / np.maximum(held[0].sum(axis=1, keepdims=True), 1e-300)
         seen = held[0] > 1e-9

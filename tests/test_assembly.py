@@ -36,7 +36,7 @@ def test_scaled_junction_has_its_slope(spark):
     frame = axis.axis(blocks, bins, size, ("id",))
     scaled = assembly.rescaled_junctions(axis.remapped(pixels, frame, ("id",)), frame, assembly.allele_slopes(pixels, bins, svs, curve, 40 * size, size, None, (10 * size, 30 * size)))
     one = {(r["i"], r["j"]): (r["count"], r["scaled"]) for r in scaled.where("id = 1").collect()}
-    across = [v / c for (i, j), (c, v) in one.items() if i < 40 <= j]
+    across = [v / c for (i, j), (c, v) in one.items() if i < 41 <= j]
     assert np.allclose(across, 2.5, rtol=0.1)
 
 
