@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import spread
+from contactloom.llm.common import fresh, spread
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -33,17 +33,17 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 def shards(df: DataFrame, key: str, weights: Sequence[float], more: Sequence[float] = (1.0,), content: str | None = None, chunk_rows: int = 2000) -> DataFrame:
     """The rows with shard int, slot long (0 .. rows of the shard - 1) and grown_shard int (the shard once shards of
-    the weights `more` are added). Columns of these names are replaced.
+    the weights `more` are added). Columns of these names are replaced; others keep their names and values, whatever these are.
 
     A null key is a key of its own. Rows of one key share a shard; they are ordered by `content` (a column name),
     and rows alike in both are interchangeable. An empty table gives an empty table."""
-    temp = "__chunk"
+    chunk, n, before, number = fresh(df, "chunk", "n", "before", "number")
     parts = spread(df.count(), chunk_rows, 8)
     tied = F.col(content) if content else F.lit(0)
     df = df.withColumn("shard", rendezvous(F.col(key), weights))
-    df = df.withColumn(temp, F.pmod(F.xxhash64(F.col(key), tied), F.lit(parts)))
-    counts = df.groupBy("shard", temp).agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("shard", temp, (F.sum("__n").over(W.partitionBy("shard").orderBy(temp)) - F.col("__n")).alias("__before"))
-    number = F.row_number().over(W.partitionBy("shard", temp).orderBy(F.col(key), tied))
-    out = df.withColumn("grown_shard", rendezvous(F.col(key), [*weights, *more])).withColumn("__number", number)
-    return out.join(before, ["shard", temp]).withColumn("slot", F.col("__before") + F.col("__number") - 1).drop(temp, "__before", "__number")
+    df = df.withColumn(chunk, F.pmod(F.xxhash64(F.col(key), tied), F.lit(parts)))
+    counts = df.groupBy("shard", chunk).agg(F.count(F.lit(1)).alias(n))
+    sums = counts.select("shard", chunk, (F.sum(n).over(W.partitionBy("shard").orderBy(chunk)) - F.col(n)).alias(before))
+    at = F.row_number().over(W.partitionBy("shard", chunk).orderBy(F.col(key), tied))
+    out = df.withColumn("grown_shard", rendezvous(F.col(key), [*weights, *more])).withColumn(number, at)
+    return out.join(sums, ["shard", chunk]).withColumn("slot", F.col(before) + F.col(number) - 1).drop(chunk, before, number)

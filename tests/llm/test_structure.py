@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from contactloom.llm import conversations, line_dedup, periodic, queries
+from contactloom.llm import conversations, line_dedup, periodic, queries, sharding
 
 SF = "/root/testdata/sf0.001"
 with_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -285,3 +285,17 @@ def test_odd_texts(spark):
     runs = sorted([(r["doc_id"], [tuple(x) for x in r["runs"]], len(r["collapsed"])) for r in got], key=repr)
     want = [(1, [], 0), (1, [], 0), (None, [], 0), (2, [], 0), (3, [], 45), (4, [(0, 24, 1)], 3), (7, [(0, 48, 2)], 3), (5, [(0, 50000, 7)], 20), (6, [], 100000)]
     assert runs == sorted(want, key=repr) and got[0]["start"] == "x" and periodic.with_runs(df.limit(0)).count() == 0
+
+
+# names that clash
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    names = ("chunk", "n", "before", "number", "__chunk", "__n", "__before", "__number")
+    df = spark.range(300).withColumnRenamed("id", "doc_id").withColumns({c: F.lit(c) for c in names})
+    got = sharding.shards(df, "doc_id", [1.0] * 4).collect()
+    assert all(r[c] == c for r in got for c in names) and set(names) <= set(got[0].asDict())
+    for shard in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    assert {r["grown_shard"] for r in got if r["grown_shard"] != r["shard"]} == {4}
