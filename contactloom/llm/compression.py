@@ -1,10 +1,10 @@
 """Compression-distance classification of text windows with zstandard dictionaries.
 
-A window is a word of the lower-cased text, spaces around it. Two dictionaries stand apart: one trained by zstandard on
-ordinary text; and one of toxic text, of the windows that come back in toxic texts and hardly ever stand in ordinary
-ones, the most frequent last, where a match is cheapest. A window's gain is by how many bytes the toxic dictionary
-codes it shorter than the ordinary one: what only toxic text repeats gains its length, other windows lose. A document's
-score is a calibrated function of how many of its windows reach each gain.
+A window is a word of the lower-cased text, spaces around it. Two dictionaries are trained by zstandard and stand apart:
+one on ordinary texts, and one on toxic texts. The latter's samples are toxic texts without the windows that ordinary
+texts have as well: the trainer takes what comes back in most samples, and the language both kinds share would fill it.
+A window's gain is by how many bytes the toxic dictionary codes it shorter than the ordinary one. A document's score is a
+calibrated function of how many of its windows reach each gain.
 """
 
 from __future__ import annotations
@@ -23,11 +23,15 @@ from contactloom.llm.pretokens import Numbers
 
 #: Lower-cased UTF-8: letters and digits; longer runs are several windows.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]{1,48}")
+#: A piece of a training sample within one window.
+PIECE = re.compile(rb"[ 0-9a-z\x80-\xff]{3,}")
 #: A window counts from these gains on (bytes).
 GAINS = (1, 2, 3, 4, 5, 6)
 #: Stands behind every window, as the compressor looks for no match in the last bytes of its input and stores what hardly
 #: shrinks: bytes that no UTF-8 text has in this order, and that both dictionaries end with.
 TAIL = bytes(range(128, 160)) + bytes(range(1, 9))
+#: Stands between the windows of a training sample, as long as the trainer's patterns.
+APART = bytes(range(1, 9))
 
 
 def windows_of(text: str) -> list[bytes]:
@@ -39,26 +43,26 @@ def joined(windows: list[bytes]) -> bytes:
     return b" " + b" ".join(windows) + b" "
 
 
-def trained(size: int, texts: Iterable[bytes], most: int = 1 << 24) -> bytes:
-    """A dictionary of at most `size` bytes, trained on the first `most` bytes of the texts; their own bytes where there
-    are too few to train on."""
-    samples, held = [], 0
-    for t in texts:
-        samples += [t[i : i + 256] for i in range(0, len(t), 256)]
-        held += len(t)
-        if held >= most:
-            break
+def trained(size: int, texts: Iterable[bytes], total: int = 0, most: int = 1 << 24) -> bytes:
+    """A dictionary of at most `size` bytes, trained on texts in pieces of 256 bytes. Where the texts' `total` bytes are over
+    `most`, pieces are chosen by their hash, so that about `most` bytes from all texts are. Under twice `size` there is too
+    little to train on, and the last `size` bytes of the pieces are the dictionary."""
+    step = max(1, ceil(total / most))
+    pieces = (t[i : i + 256] for t in texts for i in range(0, len(t), 256))
+    samples = [p for p in pieces if step == 1 or zlib.crc32(p) % step == 0]
     try:
-        if len(samples) < 16 or held < 2 * size:
+        if len(samples) < 16 or sum(map(len, samples)) < 2 * size:
             raise zstandard.ZstdError("few samples")
         return zstandard.train_dictionary(size, samples, k=16, d=6).as_bytes()
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def repeated(toxic: list[np.ndarray], ordinary: list[np.ndarray], words: list[bytes], size: int, least: int, share: float) -> bytes:
-    """The windows, given by number, that at least `least` toxic texts have, and less than `share` times as large a part of
-    the ordinary texts; ascending by how many have them, the last `size` bytes."""
+def contrasted(toxic: list[np.ndarray], ordinary: list[np.ndarray], words: list[bytes], size: int, least: int, share: float, seed: int = 1) -> bytes:
+    """A dictionary of at most `size` bytes, trained on the toxic texts, one sample a text. A sample holds the text's
+    windows, given by number, but for those that fewer than `least` toxic texts have, or `share` times as large a part of
+    the ordinary texts. They stand in random order and apart, so that no pair of neighbours is taken for a pattern. Where
+    there is too little to train on, the samples' own windows are the dictionary."""
 
     def texts_with(texts: list[np.ndarray]) -> np.ndarray:
         out = np.zeros(len(words), np.int64)
@@ -67,8 +71,17 @@ def repeated(toxic: list[np.ndarray], ordinary: list[np.ndarray], words: list[by
         return out
 
     count, others = texts_with(toxic), texts_with(ordinary)
-    kept = np.flatnonzero((count >= least) & (others / max(1, len(ordinary)) < share * count / max(1, len(toxic))))
-    return joined([w for _, w in sorted((int(count[i]), words[i]) for i in kept.tolist())])[-size:]
+    kept = (count >= least) & (others / max(1, len(ordinary)) < share * count / max(1, len(toxic)))
+    rng = np.random.default_rng(seed)
+    own = (rng.permutation(np.unique(t[kept[t]])).tolist() for t in toxic)
+    samples = [APART + APART.join(b" " + words[i] + b" " for i in some) + APART for some in own if some]
+    try:
+        found = zstandard.train_dictionary(size, samples, k=24, d=8).as_bytes()
+    except zstandard.ZstdError:
+        found = b"".join(samples)[-size:]
+    # what the trainer kept of windows, without its tables and what stood between; the spaces are the samples' own
+    held = b"".join(samples)
+    return b"\n".join(x for x in dict.fromkeys(PIECE.findall(found)) if x in held)
 
 
 @dataclass
@@ -169,8 +182,8 @@ def fold_of(text: str) -> int:
 
 def fit(toxic: list[str], ordinary: list[str], level: float = 0.7, ordinary_size: int = 112_640, toxic_size: int = 16_384, least: float = 0.015, share: float = 0.1) -> Model | None:
     """The calibrated model; None where a class has fewer than 8 texts. Weights come from texts that the dictionaries
-    haven't seen, by folds. Then `level` is put where the F1 measure of those texts is best. A window counts as repeated
-    from a part `least` of the toxic texts on, and from 4 of them."""
+    haven't seen, by folds. Then `level` is put where the F1 measure of those texts is best. The toxic dictionary is trained
+    on windows that a part `least` of the toxic texts have, and at least 4 of them."""
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     if min(len(toxic), len(ordinary)) < 8:
         return None
@@ -182,11 +195,13 @@ def fit(toxic: list[str], ordinary: list[str], level: float = 0.7, ordinary_size
 
     texts = [[(fold_of(t), numbered(t)) for t in side] for side in (toxic, ordinary)]
     words = list(numbers)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
 
     def gains_of(fold: int | None) -> Gains:
         a, b = ([own for f, own in side if f != fold] for side in texts)
-        dictionary = trained(ordinary_size, (joined([words[i] for i in own.tolist()]) for own in b))
-        return Gains(dictionary, repeated(a, b, words, toxic_size, max(4, ceil(least * len(a))), share))
+        total = sum(int(lengths[own].sum()) + len(own) + 1 for own in b)
+        dictionary = trained(ordinary_size, (joined([words[i] for i in own.tolist()]) for own in b), total)
+        return Gains(dictionary, contrasted(a, b, words, toxic_size, max(4, ceil(least * len(a))), share))
 
     xs, ys = [], []
     for fold in range(FOLDS):

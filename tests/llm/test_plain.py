@@ -83,6 +83,32 @@ def test_gains_are_the_differences_of_window_lengths():
     assert np.array_equal(x, plain) and not x[1].any() and np.array_equal(kept.features([words, [], words[2:4]]), plain)
 
 
+def test_toxic_dictionary_is_trained_on_what_ordinary_texts_lack():
+    """The trainer keeps whole windows that come back in toxic texts, in front or behind, and none that both kinds have."""
+    words = [b"plain", b"words", b"rotten", b"scoundrel", b"vermin", b"wretched", b"once"]
+    rng = np.random.default_rng(3)
+    toxic = [np.concatenate([rng.integers(0, 2, 30), rng.integers(2, 6, 2)]) for _ in range(200)] + [np.array([6])]
+    ordinary = [rng.integers(0, 2, 30) for _ in range(200)]
+    found = compression.contrasted(toxic, ordinary, words, 4096, 4, 0.1)
+    assert all(b" " + w + b" " in found for w in words[2:6])
+    assert not any(w in found for w in (b"plain", b"words", b"once")) and compression.APART not in found
+    assert found == compression.contrasted(toxic, ordinary, words, 4096, 4, 0.1)
+    few = compression.contrasted(toxic[:5], ordinary, words, 4096, 1, 0.1)  # too few to train on
+    assert few and all(any(words[i] in few for i in t.tolist() if i > 1) for t in toxic[:5])
+    assert compression.contrasted([], [], [], 4096, 4, 0.1) == b""
+
+
+def test_dictionary_pieces_come_from_all_texts():
+    """Beyond the bound, pieces of the last text are as likely as those of the first."""
+    texts = [b"".join(b"%05d " % ((i * 7919 + k * 104729) % 99991) for k in range(300)) for i in range(60)]
+    total = sum(map(len, texts))
+    own = compression.trained(1 << 20, texts, total, total)
+    part = compression.trained(1 << 20, texts, total, total // 4)  # too little for its size: the pieces themselves
+    assert len(own) == total and total // 8 < len(part) < total // 2
+    halves = [sum(t[i : i + 256] in part for t in side for i in range(0, len(t), 256)) for side in (texts[:30], texts[30:])]
+    assert min(halves) > max(halves) / 2
+
+
 def test_logistic_weights_are_stationary():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(200, 3))
