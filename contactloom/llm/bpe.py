@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm import varbytes
-from contactloom.llm.common import Tables, on_workers, released, spread
+from contactloom.llm.common import Tables, beside, on_workers, released, spread
 from contactloom.llm.pretokens import Numbers, pretokens, ranges
 from contactloom.llm.token_ids import binaries, chunks
 
@@ -165,7 +165,8 @@ def word_ids(words: DataFrame, path: str, parts: int) -> DataFrame:
 def assembled(rows: DataFrame, key: str, path: str, decode: bool, parts: int) -> DataFrame:
     """(key, ids), with `decode` also their bytes, from a block's rows in bucket order, the one of bucket -1 first."""
     kind = rows.schema["keys"].dataType.elementType.simpleString()
-    names = [key, "ids", *["decoded"] * decode]
+    added = beside(key, "ids", *["decoded"] * decode)
+    names = [key, *added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, lengths, ids, key_type = None, [], [], None
@@ -202,7 +203,7 @@ def assembled(rows: DataFrame, key: str, path: str, decode: bool, parts: int) ->
         del head, lengths, ids
         released()
 
-    return rows.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(run, f"`{key}` {kind}, ids binary" + ", decoded binary" * decode)
+    return rows.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(run, f"`{key}` {kind}" + "".join(f", `{c}` binary" for c in added))
 
 
 def bytes_of(ids: np.ndarray, counts: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +216,8 @@ def bytes_of(ids: np.ndarray, counts: np.ndarray, path: str) -> tuple[np.ndarray
 
 def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, decode: bool = False) -> DataFrame:
     """(key, ids): the ids of each row's text as little-endian unsigned 32-bit integers, by the ranks at `path`; with
-    `decode` also `decoded`, the bytes that `decoded()` gives for them, in the same task. Null and empty texts have none. Repeated rows and keys, and null keys, give a row each; an empty table an empty one."""
+    `decode` also `decoded`, the bytes that `decoded()` gives for them, in the same task. Null and empty texts have none. Repeated rows and keys, and null keys, give a row each; an empty table an empty one. Where the key is called ids or decoded, the column so called gets
+    an underscore."""
     spark = df.sparkSession
     on_workers(spark)
     parts = spread(df.agg(F.sum(F.octet_length(text))).first()[0] or 0, BUCKET_BYTES, 1, 1 << 14)

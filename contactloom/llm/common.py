@@ -96,6 +96,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def beside(key: str, *names: str) -> list[str]:
+    """The names of columns beside the key; the one that is the key's, whatever its case, with an underscore."""
+    return [n + "_" * (n == key.lower()) for n in names]
+
+
 #: A key with more than this part of all rows is hot; there are fewer such keys than this.
 HOT = 4096
 

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactloom.llm import varbytes
-from contactloom.llm.common import Tables, cut_points, on_workers, part_of
+from contactloom.llm.common import Tables, beside, cut_points, on_workers, part_of
 from contactloom.llm.pretokens import WordIds, is_even, piece_tokens, pieces, ranges, sums
 
 #: Characters that one round of encoding takes, and ids that a block holds (a longer document is a block).
@@ -211,7 +211,9 @@ def write(df: DataFrame, folder: str, path: str, end_id: int | None = None, key:
 
 def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
     """(key, start, ids) of each document in the files: how many ids stand before it, and its ids as little-endian
-    unsigned 32-bit integers. `key` names the first column; any name but start and ids."""
+    unsigned 32-bit integers. `key` names the first column; where it is start or ids, the other so called gets an
+    underscore."""
+    at, of = beside(key, "start", "ids")
     on_workers(spark)
     table = spark.read.parquet(f"{folder}/ranks").select("id", "rank").toPandas().sort_values("rank")
     shared = spark.sparkContext.broadcast(table["id"].to_numpy(np.uint32))
@@ -228,7 +230,7 @@ def read(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
                 n = lengths.values.to_numpy().astype(np.int64)
                 ids = shared.value[varbytes.decode_rows(control.as_py(), data.as_py(), n)]
                 starts = start.as_py() + np.cumsum(n) - n
-                yield pa.RecordBatch.from_arrays([keys.values, pa.array(starts, pa.int64()), binaries(ids.astype("<u4", copy=False), n).cast(pa.binary())], [key, "start", "ids"])
+                yield pa.RecordBatch.from_arrays([keys.values, pa.array(starts, pa.int64()), binaries(ids.astype("<u4", copy=False), n).cast(pa.binary())], [key, at, of])
 
     kind = found.schema["keys"].dataType.elementType.simpleString()
-    return rows.mapInArrow(documents, f"`{key}` {kind}, start bigint, ids binary")
+    return rows.mapInArrow(documents, f"`{key}` {kind}, `{at}` bigint, `{of}` binary")

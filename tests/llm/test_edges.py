@@ -255,3 +255,20 @@ def test_models_without_labels(spark, docs, none):
 def test_digests(spark, docs):
     row = docs.where("doc_id = 9").select(F.crc32("text").alias("c"), F.sha2("text", 256).alias("s")).first()
     assert row["c"] == zlib.crc32(TEXTS[10][1].encode()) and row["s"] == hashlib.sha256(TEXTS[10][1].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("key", ["start", "ids", "decoded", "IDS"])
+def test_keys_called_as_what_operators_add(spark, docs, key):
+    plain = docs.select(F.col("doc_id").alias(key), "text")
+    path, folder = public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, f"keys-{key}")
+    token_ids.write(plain, folder, path, 2, key=key)
+    got = token_ids.read(spark, folder, key=key)
+    assert got.columns == [key, *[c + "_" * (c == key.lower()) for c in ("start", "ids")]]
+    token_ids.write(docs.select("doc_id", "text"), f"{folder}-plain", path, 2)
+    want = token_ids.read(spark, f"{folder}-plain").collect()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want)))
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    got = bpe.encode(plain, ranks, key=key, decode=True)
+    assert got.columns == [key, *[c + "_" * (c == key.lower()) for c in ("ids", "decoded")]]
+    want = bpe.encode(docs.select("doc_id", "text"), ranks, decode=True)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
