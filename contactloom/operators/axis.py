@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactloom.functions import kernels
+from contactloom.operators.written import written
 
 
 def axis(blocks: DataFrame, bins: DataFrame, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -29,24 +30,42 @@ def is_one_to_one(frame: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 CELL = 64
 
 
+def met_cells(pixels: DataFrame, place: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """For contacts (lo, hi, count, c1, c2) and places (*keys, bin_id, ...) the pairs of cells that an axis has bins in and
+    contacts lie in: (*keys, a, b), the pairs of places of those where these are few, and (*keys, c1, c2), those where there
+    are fewer contacts than a fourth of them."""
+    held = F.struct(*[c for c in place.columns if c not in keys])
+    cells = place.groupBy(*keys, F.floor(F.col("bin_id") / CELL).alias("c1")).agg(F.collect_list(held).alias("at1"))
+    pairs = cells.join(cells.withColumnsRenamed({"c1": "c2", "at1": "at2"}), list(keys)).where("c1 <= c2")
+    pairs = pairs.join(pixels.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")), ["c1", "c2"])
+    few = F.size("at1").cast("long") * F.size("at2") <= 4 * F.col("n")
+    ways = pairs.where(few).select(*keys, F.explode("at1").alias("a"), "at2").select(*keys, "a", F.explode("at2").alias("b"))
+    return ways.where("a.bin_id <= b.bin_id"), pairs.where(~few).select(*keys, "c1", "c2")
+
+
 def remapped(pixels: DataFrame, frame: DataFrame, keys: tuple[str, ...] = (), weights: DataFrame | None = None) -> DataFrame:
     """(*keys, i, j, count) with i <= j on the axis; with bin weights also `balanced`, the sum of counts times both weights,
-    0 where a bin is masked. With keys a contact goes, by its pair of cells of bins, to the axes that have bins in both
-    cells, so that a locus on many axes isn't multiplied by those of them that lack the other end."""
+    0 where a bin is masked. With keys an axis looks up the contacts of its pairs of places, cell by cell of bins, or gets
+    those of the cell where they are fewer, so that a locus on many axes isn't multiplied by what these lack."""
     place = frame.select(*keys, "bin_id", "idx")
     if weights is not None:
         known = weights.where(F.col("weight") > 0).select("bin_id", "weight")
         place = place.join(known, "bin_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    lo, hi = F.least("bin1_id", "bin2_id"), F.greatest("bin1_id", "bin2_id")
+    held = F.struct(*[c for c in place.columns if c not in keys])
+    ends = lambda s: place.select(*keys, F.col("bin_id").alias(f"bin{s}_id"), held.alias("ab"[s - 1]))
     if keys:
-        cells = place.select(*keys, F.floor(F.col("bin_id") / CELL).alias("c1")).distinct()
-        pairs = cells.join(cells.withColumnRenamed("c1", "c2"), list(keys)).where("c1 <= c2")
-        pixels = pixels.withColumns({"c1": F.floor(F.least("bin1_id", "bin2_id") / CELL), "c2": F.floor(F.greatest("bin1_id", "bin2_id") / CELL)})
-        pixels = pixels.join(pairs, ["c1", "c2"]).drop("c1", "c2")
-    a = place.withColumnsRenamed({"bin_id": "bin1_id", "idx": "a", "weight": "w1"})
-    b = place.withColumnsRenamed({"bin_id": "bin2_id", "idx": "b", "weight": "w2"})
-    rows = pixels.join(a, ["bin1_id", *keys]).join(b, ["bin2_id", *keys])
-    sums = [F.sum("count").alias("count")] + ([] if weights is None else [F.sum(F.col("count") * F.col("w1") * F.col("w2")).alias("balanced")])
-    return rows.withColumns({"i": F.least("a", "b"), "j": F.greatest("a", "b")}).groupBy(*keys, "i", "j").agg(*sums)
+        pixels = pixels.groupBy(lo.alias("lo"), hi.alias("hi")).agg(F.sum("count").alias("count"))
+        pixels = written(pixels.withColumns({"c1": F.floor(F.col("lo") / CELL), "c2": F.floor(F.col("hi") / CELL)}), "pixels")
+        ways, rest = met_cells(pixels, place, keys)
+        rows = ways.withColumns({"lo": F.col("a.bin_id"), "hi": F.col("b.bin_id")}).join(pixels.select("lo", "hi", "count"), ["lo", "hi"]).select(*keys, "a", "b", "count")
+        rest = rest.join(pixels.withColumnsRenamed({"lo": "bin1_id", "hi": "bin2_id"}), ["c1", "c2"])
+        rows = rows.unionByName(rest.join(ends(1), ["bin1_id", *keys]).join(ends(2), ["bin2_id", *keys]).select(*keys, "a", "b", "count"))
+    else:
+        rows = pixels.join(ends(1), "bin1_id").join(ends(2), "bin2_id")
+    sums = [F.sum("count").alias("count")] + ([] if weights is None else [F.sum(F.col("count") * F.col("a.weight") * F.col("b.weight")).alias("balanced")])
+    rows = rows.select(*keys, F.least("a.idx", "b.idx").alias("i"), F.greatest("a.idx", "b.idx").alias("j"), "count", *([] if weights is None else ["a", "b"]))
+    return rows.groupBy(*keys, "i", "j").agg(*sums)
 
 
 def tight(calls: DataFrame, frame: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -85,6 +104,7 @@ def gap_free(contacts: DataFrame, frame: DataFrame, keys: tuple[str, ...] = (),
     so that no window is wider than a part."""
     part = F.floor(F.col("idx") / PART)
     filled = contacts.groupBy(*keys, F.col("j").alias("idx")).agg(F.sum("count").alias("n")).where("n > 0").select(*keys, "idx", F.lit(True).alias("filled"))
+    filled = written(filled, "filled") if keys else filled  # a row a place, asked for twice
     rows = frame.select(*keys, "idx").distinct().join(filled, [*keys, "idx"], "left").withColumn("part", part)
     parts = rows.groupBy(*keys, "part").agg(F.count("filled").alias("n"), F.count(F.lit(1)).alias("m"))
     whole = parts.groupBy(*keys).agg((F.sum("n") < least).alias("sparse"))
