@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from contactloom.operators import axis
+from contactloom.operators import axis, intervals
 
 
 def test_axes_look_up_no_more_than_their_places_or_the_contacts(spark):
@@ -16,3 +16,13 @@ def test_axes_look_up_no_more_than_their_places_or_the_contacts(spark):
     one = pixels.where("lo = 3 AND hi = 5").select(F.col("hi").alias("bin1_id"), F.col("lo").alias("bin2_id"), "count")
     got = {(r["id"], r["i"], r["j"]) for r in axis.remapped(one, frame, ("id",)).collect()}
     assert got == {(k, 3 - k % 50, 5 - k % 50) for k in range(500) if k % 50 <= 3}
+
+
+def test_equal_intervals_meet_as_one(spark):
+    """2,000 rows of four intervals are four rows, and each of their pairs comes out once."""
+    rows = spark.range(2000).select("id", F.lit("a").alias("chrom"), (F.col("id") % 4 * 10).alias("start"), (F.col("id") % 4 * 10 + 15).alias("end"))
+    assert intervals.equal_rows(rows).count() == 4
+    got = intervals.overlap_of_equals(rows.where("id % 50 = 0"), rows, 32)
+    want = {(a, b) for a in range(0, 2000, 50) for b in range(2000) if abs(a % 4 - b % 4) <= 1}
+    pairs = [(r["a_id"], r["b_id"]) for r in got.collect()]
+    assert len(pairs) == len(want) and set(pairs) == want
