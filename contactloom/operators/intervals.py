@@ -19,7 +19,7 @@ def bucketed(rows: DataFrame, size: int) -> DataFrame:
 def overlap(a: DataFrame, b: DataFrame, size: int = 10_000, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """Pairs that overlap: the keys, a's other columns as a_<name>, b's as b_<name>."""
     named = lambda rows, p: rows.select(*keys, "__bucket", *[F.col(c).alias(f"{p}_{c}") for c in rows.columns if c not in (*keys, "__bucket")])
-    met = named(bucketed(a, size), "a").join(named(bucketed(b, size), "b"), [*keys, "__bucket"])
+    met = named(bucketed(a, size), "a").join(named(bucketed(b, size), "b").hint("merge"), [*keys, "__bucket"])  # a file's size doesn't tell its buckets': no broadcast
     own = (F.col("__bucket") == F.greatest("a___first", "b___first")) & (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end"))
     return met.where(own).drop("__bucket", "a___first", "b___first")
 
@@ -78,11 +78,13 @@ def meeting_others(rows: DataFrame, how: str = "left_semi", size: int = 10_000,
 
 
 def range_means(rows: DataFrame, track: DataFrame, key: str = "id", size: int = 10_000) -> DataFrame:
-    """(key, signal): the track's mean over the covered part of each row, weighted by length; 0 without cover."""
-    met = overlap(rows.select("chrom", "start", "end", key), track.select("chrom", "start", "end", "value"), size)
+    """(key, signal): the track's mean over the covered part of each row, weighted by length; 0 without cover. Each distinct
+    range meets the track once."""
+    span = ["chrom", "start", "end"]
+    met = overlap(rows.select(*span).distinct(), track.select(*span, "value"), size)
     n = length(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
-    found = met.groupBy(F.col(f"a_{key}").alias(key)).agg((F.sum(F.col("b_value") * n) / F.sum(n)).alias("signal"))
-    return rows.select(key).join(found, key, "left").select(key, F.coalesce("signal", F.lit(0.0)).alias("signal"))
+    found = met.groupBy("chrom", F.col("a_start").alias("start"), F.col("a_end").alias("end")).agg((F.sum(F.col("b_value") * n) / F.sum(n)).alias("signal"))
+    return rows.select(*span, key).join(found.hint("merge"), span, "left").select(key, F.coalesce("signal", F.lit(0.0)).alias("signal"))
 
 
 def binned_means(rows: DataFrame, track: DataFrame, parts: int, key: str = "id", size: int = 10_000) -> DataFrame:

@@ -26,3 +26,12 @@ def test_equal_intervals_meet_as_one(spark):
     want = {(a, b) for a in range(0, 2000, 50) for b in range(2000) if abs(a % 4 - b % 4) <= 1}
     pairs = [(r["a_id"], r["b_id"]) for r in got.collect()]
     assert len(pairs) == len(want) and set(pairs) == want
+
+
+def test_ranges_of_a_small_file_are_not_broadcast(spark):
+    rows = spark.range(1000).select("id", F.lit("a").alias("chrom"), (F.col("id") % 5).alias("start"), (F.col("id") % 5 + 40).alias("end"))
+    track = spark.range(10).select(F.lit("a").alias("chrom"), (F.col("id") * 5).alias("start"), (F.col("id") * 5 + 5).alias("end"), F.col("id").alias("value"))
+    out = intervals.range_means(rows, track, size=8)
+    got = {r["id"]: r["signal"] for r in out.collect()}
+    assert got[0] == got[5] == sum(range(8)) / 8 and len(got) == 1000
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
