@@ -21,6 +21,21 @@ def axis(blocks: DataFrame, bins: DataFrame, size: int, keys: tuple[str, ...] =
     return rows.join(bins.select("chrom", "start", "bin_id"), ["chrom", "start"])
 
 
+def classes(blocks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(blocks, members): of axes (key) of equal blocks those of the first by order, and (like, key), which axis each is like.
+    Axes of equal blocks hold equal contacts, so that what follows from these is worked out once a class."""
+    held = F.array_sort(F.collect_list(F.struct("block", "chrom", "lo", "hi", "strand", "offset")))
+    shapes = written(blocks.groupBy(key).agg(held.alias("blocks")), "shapes")
+    first = written(shapes.groupBy("blocks").agg(F.min(key).alias("like")), "classes")
+    members = shapes.join(first, "blocks").select("like", key)
+    return first.select(F.col("like").alias(key), F.explode("blocks").alias("b")).select(key, "b.*"), members
+
+
+def for_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """Rows of the first axis of each class, for all axes like it."""
+    return rows.withColumnRenamed(key, "like").join(members, "like").select(*rows.columns)
+
+
 def is_one_to_one(frame: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, ok): whether no bin stands on the axis twice; without keys one row."""
     return frame.groupBy(*keys).agg((F.count(F.lit(1)) == F.countDistinct("bin_id")).alias("ok"))

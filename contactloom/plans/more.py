@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contactloom.functions import text
 from contactloom.operators import assembly, axis, calling, contacts, intervals, loops, models, rearrangements, sequences
-from contactloom.operators.written import scratch
+from contactloom.operators.written import scratch, written
 from contactloom.plans import commands
 from contactloom.plans.relational import AXIS, RUNS, Query, _numbered_svs, _triples
 from contactloom.sources import files, views
@@ -140,9 +140,10 @@ k AS (SELECT DISTINCT x.assembly, x.idx FROM axes x LEFT JOIN n USING (assembly)
 SELECT assembly, idx, CAST(row_number() OVER (PARTITION BY assembly ORDER BY idx) - 1 AS INTEGER) AS place FROM k""")
 def keyed_gap_free(spark: SparkSession, d: str) -> DataFrame:
     """Places without gaps on the axes of all assemblies; sparse axes stay whole."""
-    frame = _axes(spark, d)
+    blocks, members = axis.classes(views.assembly_blocks(spark, d), "assembly")
+    frame = axis.axis(blocks, views.bins(spark), views.BIN_SIZE, ("assembly",))
     moved = axis.remapped(views.pixels(spark, d), frame, ("assembly",)).where("count >= 2")
-    return axis.gap_free(moved, frame, ("assembly",))
+    return axis.for_members(written(axis.gap_free(moved, frame, ("assembly",)), "places"), members, "assembly")
 
 
 CALLS = """calls AS (SELECT DISTINCT chrom1, start1, end1, chrom2, start2, end2, CAST(chrom1 <> chrom2 AS INTEGER) AS neo FROM loops)"""

@@ -35,3 +35,16 @@ def test_ranges_of_a_small_file_are_not_broadcast(spark):
     got = {r["id"]: r["signal"] for r in out.collect()}
     assert got[0] == got[5] == sum(range(8)) / 8 and len(got) == 1000
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_axes_of_equal_blocks_are_one(spark):
+    """300 axes of three forms come to the kernels as three, and each has the rows that it has alone."""
+    rows = [(f"C{k}", b, "chr1", 10 * (k % 3) + 30 * b, 10 * (k % 3) + 30 * b + 6, "+-"[b], 6 * b) for k in range(300) for b in (0, 1)]
+    blocks = spark.createDataFrame(rows, "assembly string, block int, chrom string, lo long, hi long, strand string, offset long")
+    once, members = axis.classes(blocks, "assembly")
+    assert {r["assembly"] for r in once.collect()} == {"C0", "C1", "C101"} and once.count() == 6
+    bins = spark.range(100).select(F.col("id").alias("bin_id"), F.lit("chr1").alias("chrom"), (F.col("id") * 10).alias("start"))
+    pixels = spark.range(4000).select((F.col("id") * 7 % 90).alias("bin1_id"), (F.col("id") * 11 % 90).alias("bin2_id"), (F.col("id") % 5).alias("count"))
+    moved = lambda b: axis.remapped(pixels, axis.axis(b, bins, 10, ("assembly",)), ("assembly",))
+    got = [tuple(r) for r in axis.for_members(moved(once), members, "assembly").collect()]
+    assert len(got) > 300 and sorted(got) == sorted(tuple(r) for r in moved(blocks).collect())
