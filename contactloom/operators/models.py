@@ -249,12 +249,14 @@ def structures(contacts: DataFrame, keys: list[str]) -> DataFrame:
     kinds = ", ".join(f"{k} {contacts.schema[k].dataType.simpleString()}" for k in keys)
 
     def place(part: pd.DataFrame) -> pd.DataFrame:
-        part = part[(part["i"] != part["j"]) & (part["value"] > 0)]
+        part = part[(part["i"] != part["j"]) & (part["value"] > 0)].sort_values(["i", "j"])
         at = np.unique(np.concatenate([part["i"], part["j"]]))
         x = kernels.coordinates(np.searchsorted(at, part["i"]), np.searchsorted(at, part["j"]), part["value"].to_numpy(float), len(at)) if len(at) else np.zeros((0, 3))
         return pd.DataFrame({**{k: [part[k].iloc[0]] * len(at) for k in keys}, "idx": at, "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]})
 
-    return contacts.groupBy(*keys).applyInPandas(place, f"{kinds}, idx bigint, x double, y double, z double")
+    # a number of parts, as small inputs would else be put together and these take long
+    parts = int(contacts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return contacts.repartition(parts, *keys).groupBy(*keys).applyInPandas(place, f"{kinds}, idx bigint, x double, y double, z double")
 
 
 def simulated(pixels: DataFrame, bins: DataFrame, reference: int, cn: str = "cn") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.operators import assembly, axis, calling, contacts, domains, intervals, models, sequences, smooths
+from contactloom.operators.written import written
 from contactloom.plans import commands
 from contactloom.plans.relational import _numbered_svs
 from contactloom.sources import views
@@ -117,9 +118,10 @@ def neo_domains(spark: SparkSession, d: str) -> DataFrame:
 
 def structure_coords(spark: SparkSession, d: str) -> DataFrame:
     """Places in space of the bins of every assembly."""
-    frame = axis.axis(views.assembly_blocks(spark, d), views.bins(spark), views.BIN_SIZE, ("assembly",))
-    moved = axis.remapped(views.pixels(spark, d), frame, ("assembly",))
-    return models.structures(moved.select("assembly", "i", "j", F.col("count").alias("value")), ["assembly"])
+    blocks, members = axis.classes(views.assembly_blocks(spark, d), "assembly")
+    moved = axis.remapped(views.pixels(spark, d), axis.axis(blocks, views.bins(spark), views.BIN_SIZE, ("assembly",)), ("assembly",))
+    placed = written(models.structures(moved.select("assembly", "i", "j", F.col("count").alias("value")), ["assembly"]), "placed")
+    return axis.for_members(placed, members, "assembly")
 
 
 def keyed_loops(spark: SparkSession, d: str) -> DataFrame:
