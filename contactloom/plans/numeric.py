@@ -111,9 +111,11 @@ def neo_domains(spark: SparkSession, d: str) -> DataFrame:
     pixels, bins = views.pixels(spark, d), views.bins(spark)
     cis = contacts.paired(pixels, bins, "chrom").where("chrom1 = chrom2").select(F.col("chrom1").alias("chrom"), F.col("bin1_id").alias("i"), F.col("bin2_id").alias("j"), F.col("count").alias("value"))
     model = domains.trained(models.directionality(cis, 20, ("chrom",)))
-    frame = axis.axis(views.assembly_blocks(spark, d), bins, views.BIN_SIZE, ("assembly",))
+    blocks, members = axis.classes(views.assembly_blocks(spark, d), "assembly")
+    frame = axis.axis(blocks, bins, views.BIN_SIZE, ("assembly",))
     moved = axis.remapped(pixels, frame, ("assembly",)).withColumnRenamed("count", "value")
-    return domains.called(models.directionality(moved, 10, ("assembly",), frame), model, ("assembly",))
+    index = written(models.directionality(moved, 10, ("assembly",), frame), "index")
+    return axis.for_members(domains.called(index, model, ("assembly",)), members, "assembly")
 
 
 def structure_coords(spark: SparkSession, d: str) -> DataFrame:
