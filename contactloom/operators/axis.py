@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from contactloom.functions import kernels
-from contactloom.operators.written import written
+from contactloom.operators.written import shuffles, written
 
 
 def axis(blocks: DataFrame, bins: DataFrame, size: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -202,25 +204,32 @@ def valid_pairs(frame: DataFrame, weights: DataFrame, longest: int, keys: tuple[
     both = kinds[: kinds.rindex("block")] + f"block1 {ok.schema['block'].dataType.simpleString()}, block2 {ok.schema['block'].dataType.simpleString()}"
     names = [*keys, "block1", "block2", "distance", "n"]
 
-    def count(part: pd.DataFrame) -> pd.DataFrame:
-        at, block = part["idx"].to_numpy(), part["block"].to_numpy()
-        own, out = np.unique(block), []
-        spans = {b: (int(at[block == b].min()), int(at[block == b].max()) + 1) for b in own.tolist()}
-        masks = {b: np.bincount(at[block == b] - spans[b][0], minlength=spans[b][1] - spans[b][0]) for b in spans}
-        for x in spans:
-            for y in spans:
-                shift = spans[y][0] - spans[x][0]
-                if spans[y][1] - 1 - spans[x][0] < 2 or shift + 1 - len(masks[x]) > longest:
-                    continue
-                n = np.rint(np.convolve(masks[y], masks[x][::-1])) if min(len(masks[x]), len(masks[y])) < 64 else kernels.correlated(masks[x], masks[y])
-                d = np.arange(len(n)) + shift - (len(masks[x]) - 1)
-                good = (d >= 2) & (d <= longest) & (n > 0)
-                own_keys = {k: [part[k].iloc[0]] * int(good.sum()) for k in keys}
-                out.append(pd.DataFrame({**own_keys, "block1": x, "block2": y, "distance": d[good], "n": n[good].astype(np.int64)}))
-        return pd.concat(out)[names] if out else pd.DataFrame({c: [] for c in names})
-
-    group = ok.groupBy(*keys) if keys else ok.withColumn("axis", F.lit(0)).groupBy("axis")
-    return group.applyInPandas(count, f"{both}, distance bigint, n bigint")
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for k, (at, block) in enumerate(zip(rows["idx"], rows["block"], strict=True)):
+                spans = {b: (int(at[block == b].min()), int(at[block == b].max()) + 1) for b in np.unique(block).tolist()}
+                masks = {b: np.bincount(at[block == b] - spans[b][0], minlength=spans[b][1] - spans[b][0]) for b in spans}
+                for x in spans:
+                    for y in spans:
+                        shift = spans[y][0] - spans[x][0]
+                        if spans[y][1] - 1 - spans[x][0] < 2 or shift + 1 - len(masks[x]) > longest:
+                            continue
+                        n = np.rint(np.convolve(masks[y], masks[x][::-1])) if min(len(masks[x]), len(masks[y])) < 64 else kernels.correlated(masks[x], masks[y])
+                        d = np.arange(len(n)) + shift - (len(masks[x]) - 1)
+                        good = (d >= 2) & (d <= longest) & (n > 0)
+                        out.append((k, x, y, d[good], n[good].astype(np.int64)))
+            if not out:
+                continue
+            size = [len(o[3]) for o in out]
+            own = np.repeat([o[0] for o in out], size)
+            ends = {f"block{s}": [o[s] for o in out for _ in range(len(o[3]))] for s in (1, 2)}
+            yield pd.DataFrame({**{c: rows[c].to_numpy()[own] for c in keys}, **ends, "distance": np.concatenate([o[3] for o in out]), "n": np.concatenate([o[4] for o in out])})[names]
+
+    # an axis is one row, so that a task takes small ones in batches
+    ok = ok.repartition(shuffles(frame.sparkSession), *keys) if keys else ok
+    rows = ok.groupBy(*keys).agg(F.collect_list(F.struct("block", "idx")).alias("at")).select(*keys, F.col("at.block").alias("block"), F.col("at.idx").alias("idx"))
+    return rows.mapInPandas(count, f"{both}, distance bigint, n bigint")
 
 
 def decay(contacts: DataFrame, frame: DataFrame, weights: DataFrame, longest: int, least: int = 3, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from contactloom.functions import kernels
 from contactloom.operators.contacts import cn_pairs, is_valid, paired
 from contactloom.operators.intervals import nearest
-from contactloom.operators.written import written
+from contactloom.operators.written import shuffles, written
 
 
 def isotonic_curve(curve: DataFrame, longest: int) -> DataFrame:
@@ -31,6 +31,10 @@ def isotonic_curve(curve: DataFrame, longest: int) -> DataFrame:
     return curve.select("distance", "value", F.lit(0).alias("curve")).groupBy("curve").applyInPandas(fit, "distance bigint, value double")
 
 
+#: Fits that a task keeps.
+FITS = 50_000
+
+
 def slopes(observed: DataFrame, curve: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
     """(*keys, slope, r2, n, unclear): robust lines of observed means on a curve at common distances, by group: of all
     distances or of those after a flat start, whichever fits better; slope 0 where too few are inliers."""
@@ -39,22 +43,33 @@ def slopes(observed: DataFrame, curve: DataFrame, keys: list[str], least: int =
 
 def lines_up_to(observed: DataFrame, curve: DataFrame, keys: list[str], ranges: list[int | None], least: int = 5) -> DataFrame:
     """(*keys, upto, slope, r2, n, unclear): as slopes, a row for each range of distances with `least` points. A group is one
-    row of its points, as many as there are distances, and tasks take rows in batches."""
+    row of its points, as many as there are distances, and tasks take rows in batches; equal points, which meet in one
+    task, have one fit."""
     both = observed.join(curve.select("distance", F.col("value").cast("double").alias("expected")), "distance")
     points = F.array_sort(F.collect_list(F.struct(F.col("distance").cast("double").alias("d"), "expected", F.col("mean").cast("double").alias("m"))))
     rows = both.groupBy(*keys).agg(points.alias("points")).select(*keys, F.col("points.d").alias("d"), F.col("points.expected").alias("x"), F.col("points.m").alias("y"))
+    rows = rows.repartition(shuffles(observed.sparkSession), F.xxhash64("d", "x", "y"))
     kinds = ", ".join(f"{k} {both.schema[k].dataType.simpleString()}" for k in keys)
     names = [*keys, "upto", "slope", "r2", "n", "unclear"]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, tuple[float, float, bool]] = {}
+
+        def line(d: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, float, bool]:
+            points = np.concatenate([d, x, y]).tobytes()
+            if points not in known:
+                if len(known) >= FITS:
+                    known.clear()
+                known[points] = (*kernels.best_line(d, x, y, least), kernels.trend_is_unclear(d, y))
+            return known[points]
+
         for rows in batches:
             out = []
             for own, d, x, y in zip(rows[keys].itertuples(index=False, name=None), rows["d"], rows["x"], rows["y"], strict=True):
-                for upto in ranges:
-                    n = len(d) if upto is None else int(np.searchsorted(d, upto, side="right"))
+                for n, upto in ((len(d) if u is None else int(np.searchsorted(d, u, side="right")), u) for u in ranges):
                     if n >= least:
-                        slope, r2 = kernels.best_line(d[:n], x[:n], y[:n], least)
-                        out.append((*own, upto or 0, slope, r2, n, kernels.trend_is_unclear(d[:n], y[:n])))
+                        slope, r2, unclear = line(d[:n], x[:n], y[:n])
+                        out.append((*own, upto or 0, slope, r2, n, unclear))
             yield pd.DataFrame(out, columns=names)
 
     return rows.mapInPandas(fit, f"{kinds}, upto int, slope double, r2 double, n bigint, unclear boolean")
@@ -254,9 +269,7 @@ def structures(contacts: DataFrame, keys: list[str]) -> DataFrame:
         x = kernels.coordinates(np.searchsorted(at, part["i"]), np.searchsorted(at, part["j"]), part["value"].to_numpy(float), len(at)) if len(at) else np.zeros((0, 3))
         return pd.DataFrame({**{k: [part[k].iloc[0]] * len(at) for k in keys}, "idx": at, "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]})
 
-    # a number of parts, as small inputs would else be put together and these take long
-    parts = int(contacts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contacts.repartition(parts, *keys).groupBy(*keys).applyInPandas(place, f"{kinds}, idx bigint, x double, y double, z double")
+    return contacts.repartition(shuffles(contacts.sparkSession), *keys).groupBy(*keys).applyInPandas(place, f"{kinds}, idx bigint, x double, y double, z double")
 
 
 def simulated(pixels: DataFrame, bins: DataFrame, reference: int, cn: str = "cn") -> DataFrame:
