@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from contactloom.operators import axis, intervals
+from contactloom.operators import assembly, axis, intervals
 
 
 def test_axes_look_up_no_more_than_their_places_or_the_contacts(spark):
@@ -48,3 +48,18 @@ def test_axes_of_equal_blocks_are_one(spark):
     moved = lambda b: axis.remapped(pixels, axis.axis(b, bins, 10, ("assembly",)), ("assembly",))
     got = [tuple(r) for r in axis.for_members(moved(once), members, "assembly").collect()]
     assert len(got) > 300 and sorted(got) == sorted(tuple(r) for r in moved(blocks).collect())
+
+
+def test_junctions_of_equal_bins_are_one(spark):
+    """Forty rearrangements whose breakpoints lie in two pairs of bins have two axes, as many slopes as they are, and tasks
+    count the pairs of an axis's valid bins from its one row."""
+    svs = spark.createDataFrame([(k, "chr1", 3000 + k, "+", "chr2", 5000 + 1000 * (k % 2) + k, "-") for k in range(1, 41)], "id long, c1 string, p1 long, s1 string, c2 string, p2 long, s2 string")
+    bins = spark.range(40).select(F.col("id").alias("bin_id"), F.concat(F.lit("chr"), (F.floor(F.col("id") / 20) + 1).cast("string")).alias("chrom"), (F.col("id") % 20 * 1000).alias("start"), F.lit(1.0).alias("weight"))
+    blocks, members = axis.classes(assembly.junction_blocks(svs, 3000, 1000, bins), "id")
+    assert {r["id"] for r in blocks.collect()} == {1, 2} and members.count() == 40
+    pairs = axis.valid_pairs(axis.axis(blocks, bins, 1000, ("id",)), bins, 3, ("id",))
+    got = {(r["block1"], r["block2"], r["distance"]): r["n"] for r in pairs.where("id = 1").collect()}
+    assert got == {(0, 0, 2): 2, (0, 0, 3): 1, (0, 1, 2): 2, (0, 1, 3): 3, (1, 1, 2): 2, (1, 1, 3): 1}
+    pixels = spark.createDataFrame([(a, b, 9) for a in range(40) for b in range(a, 40)], "bin1_id long, bin2_id long, count long")
+    curve = spark.range(20).select(F.col("id").alias("distance"), (1.0 / (F.col("id") + 1)).alias("value"))
+    assert assembly.allele_slopes(pixels, bins, svs, curve, 3000, 1000, ranges=(3000,), bounded=True).select("id").distinct().count() == 40
