@@ -132,3 +132,12 @@ def test_one_shuffle_in_a_thousand_rejects(spark):
     x[80:120] += 0.7
     df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "chrom string, idx long, x double")
     assert pieces() == 1 < pieces(shuffles=100, p=0.01)
+
+
+@with_data
+def test_overlaps_of_all_rows(spark):
+    """Both sides are the whole table, so that each pair comes out both ways."""
+    rows = views.intervals(spark, SF).collect()
+    want = {(a["id"], b["id"]) for a in rows for b in rows if a["id"] != b["id"] and a["chrom"] == b["chrom"] and a["start"] < b["end"] and b["start"] < a["end"]}
+    got = [(r["a_id"], r["b_id"]) for r in relational.interval_overlap_join(spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want and any(a % 50 for a, _ in got)
