@@ -28,6 +28,16 @@ def test_equal_intervals_meet_as_one(spark):
     assert len(pairs) == len(want) and set(pairs) == want
 
 
+def test_shares_are_worked_out_once_for_equal_intervals(spark):
+    """Below the steps that pair rows, for distinct intervals; before, for each pair of rows."""
+    rows = spark.range(500).select("id", F.lit("a").alias("chrom"), (F.col("id") % 4 * 10).alias("start"), (F.col("id") % 4 * 10 + 15).alias("end"))
+    ends = [F.col(c) for c in ("a_start", "a_end", "b_start", "b_end")]
+    out = intervals.overlap_of_equals(rows, rows, 32, more={"ratio": F.round(intervals.ratio(*ends), 9)}).select("a_id", "b_id", "ratio")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("explode(b_ids") < plan.rindex("explode(a_ids") < plan.index("round(")
+    assert {(abs(r["a_id"] % 4 - r["b_id"] % 4), r["ratio"]) for r in out.collect()} == {(0, 1.0), (1, 0.2)}
+
+
 def test_ranges_of_a_small_file_are_not_broadcast(spark):
     rows = spark.range(1000).select("id", F.lit("a").alias("chrom"), (F.col("id") % 5).alias("start"), (F.col("id") % 5 + 40).alias("end"))
     track = spark.range(10).select(F.lit("a").alias("chrom"), (F.col("id") * 5).alias("start"), (F.col("id") * 5 + 5).alias("end"), F.col("id").alias("value"))
